@@ -98,3 +98,18 @@ def mix(docs: DataFrame, weights: dict[str, Column], budget_percent: int = BUDGE
     upto = F.col("start") + F.sum("tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0))
     cut = edge.withColumn("upto", upto).filter("upto - tokens < rest").select(*columns, F.least(F.col("tokens"), F.col("rest") - F.col("upto") + F.col("tokens")).alias("taken"))
     return full.unionByName(inside).unionByName(cut)
+
+
+def texts_of(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``taken`` (from ``mix``) takes, once for each epoch, with the columns of ``docs``.
+
+    A document of which a leaf takes only a prefix keeps its first ``taken``
+    words, joined by single spaces; ``n_chars`` follows the text.
+    """
+    part = taken.select(F.col("doc_id").alias("_id"), F.when(F.col("taken") < F.col("tokens"), F.col("taken")).alias("_words"))
+    rows = docs.join(part, F.col("doc_id") == F.col("_id"))
+    prefix = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")))
+    rows = rows.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(prefix))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

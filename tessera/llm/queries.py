@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, simhash, urls
-from tessera.llm.common import table
+from tessera.llm import balltree, html_density, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc
+from tessera.llm.common import crc32_text, table
 
 #: Target weights by level; sources weigh more the longer their name.
 DOMAIN = "concat('d', coalesce(try_cast(substr(source, 4) as int) % 4, 0))"
@@ -19,6 +19,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_OP2 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+  d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+  f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= {warc.MIN_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM d LEFT JOIN f USING (payload_digest)"""
+
+
 def mixing_weights() -> dict:
     return {"domain": F.expr(DOMAIN_WEIGHT), "lang": F.expr(LANG_WEIGHT), "source": F.expr(SOURCE_WEIGHT)}
 
@@ -89,9 +102,59 @@ SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, CASE WHEN l.canon
 FROM canon c LEFT JOIN fits f ON c.page_id = f.page_id AND c.host = f.host AND c.path = f.path LEFT JOIN listed l ON c.canon = l.canon"""
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(packing.TOKENIZER)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(crc32_text(F.col("doc_id")), F.lit(1)) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.maximum_inner_product(table(spark, sf_dir, "embeddings"))
+
+
+_FINITE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+SQL_OP7 = f"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_urls": op6_urls}
+    return {
+        "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_quality": op5_quality,
+        "op6_urls": op6_urls, "op7_top_k": op7_top_k, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _sql_op3(), "op6_urls": SQL_OP6}
+    return {"op2_warc": SQL_OP2, "op3_mixing": _sql_op3(), "op6_urls": SQL_OP6, "op7_top_k": SQL_OP7}
