@@ -22,6 +22,8 @@ MAX_ROWS = 4096
 MAX_FEATURES = 1024
 #: Features must differ between the classes by so many standard errors.
 MIN_Z = 4.0
+#: ... and be so much likelier in toxic rows, as a natural logarithm.
+MIN_LIFT = 3.0
 PREFIX = 4
 #: Documents of at least this probability of a grade above 0 are toxic.
 THRESHOLD = 0.5
@@ -80,7 +82,7 @@ def fit(grades: np.ndarray, offsets: np.ndarray, values: np.ndarray, steps: int
     share = total / (n0 + n1)
     z = (has / n1 - (total - has) / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
     lift = np.log((has + 0.5) / (n1 + 1)) - np.log((total - has + 0.5) / (n0 + 1))
-    chosen = np.nonzero((z >= MIN_Z) & (lift >= 1))[0]
+    chosen = np.nonzero((z >= MIN_Z) & (lift >= MIN_LIFT))[0]
     chosen = np.sort(chosen[np.argsort(-z[chosen] * lift[chosen], kind="stable")[:MAX_FEATURES]])
     place = np.full(len(known), -1)
     place[chosen] = np.arange(len(chosen))
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "grade", max_rows: in
     """Fits on the labelled documents; ``grade`` of ``labels`` is 0 for clean texts.
 
     If no labelled row has a grade above 1, the toxic rows are graded 1 or 2, as
-    indicative words are less or more frequent in them than in the median row.
+    they have fewer indicative features than the median toxic row or as many.
     """
     chosen = sample_labels(labels, grade, max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -147,8 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "grade", max_rows: in
     if grades.size and grades.max() == 1 and grades.min() == 0:
         first = fit(grades, offsets, values, steps=1)
         hits = np.add.reduceat(np.append(np.isin(values, first.features), 0), offsets[:-1]) * (np.diff(offsets) > 0)
-        density = hits / np.maximum(np.diff(offsets), 1)
-        grades = np.where(grades > 0, 1 + (density > np.median(density[grades > 0])), 0)
+        grades = np.where(grades > 0, 1 + (hits >= np.median(hits[grades > 0])), 0)
     return fit(grades, offsets, values)
 
 

@@ -48,6 +48,7 @@ def search(rows: DataFrame, is_query: Column, k: int, task: Callable, tau: bool
     def run(first: int, last: int, asking: DataFrame) -> DataFrame:
         left = rows.filter(F.col("shard").between(first, last)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         right = asking.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        right = right.toDF(*right.columns)  # columns of its own, though both sides come from one table
         keys = ["dim", "shard", "grp"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block(task, score), f"qkey long, query_id long, vec_id long, score {score}")
 
