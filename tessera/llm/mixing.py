@@ -104,10 +104,18 @@ def texts_of(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``taken`` (from ``mix``) takes, once for each epoch, with the columns of ``docs``.
 
     A document of which a leaf takes only a prefix keeps its first ``taken``
-    words, joined by single spaces; ``n_chars`` follows the text.
+    words, joined by single spaces; ``n_chars`` follows the text.  Rows that repeat
+    an id are told apart by their order.
     """
-    part = taken.select(F.col("doc_id").alias("_id"), F.when(F.col("taken") < F.col("tokens"), F.col("taken")).alias("_words"))
-    rows = docs.join(part, F.col("doc_id") == F.col("_id"))
+    keys = ["doc_id", "lang", "source"]
+    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = Window.partitionBy("doc_id", "_lang", "_source").orderBy("_tokens", F.xxhash64("text"))
+    rows = docs.withColumns({"_lang": level("lang"), "_source": level("source"), "_tokens": token_count(F.col("text"))}).filter("_tokens > 0")
+    rows = rows.withColumn("_n", F.row_number().over(order))
+    again = Window.partitionBy(*keys, "epoch").orderBy("tokens", F.desc("taken"))
+    part = taken.withColumn("n", F.row_number().over(again)).select(*(F.col(c).alias(f"_k{c}") for c in keys), F.col("n").alias("_kn"), F.when(F.col("taken") < F.col("tokens"), F.col("taken")).alias("_words"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kdoc_id")) & (F.col("_lang") == F.col("_klang")) & (F.col("_source") == F.col("_ksource")) & (F.col("_n") == F.col("_kn"))
+    rows = rows.join(part, same)
     prefix = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")))
     rows = rows.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(prefix))
     if "n_chars" in docs.columns:
