@@ -26,6 +26,8 @@ from tessera.llm.common import pieces, shared_dir, written
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
 SPLIT_BYTES = 8 << 20
+#: Tasks of a reading stage, at most; beyond it a task reads several ranges.
+MAX_TASKS = 100_000
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -201,14 +203,15 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool =
     """The records of archives (path, bytes), each range of ``split_bytes`` a row of work."""
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
-    dealt = ranges.repartition("path", "start")
-    return dealt.mapInArrow(_reader(with_payload), READ)
+    # a row here stands for megabytes, so the number of tasks is given: rows this small would be merged into one
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(tasks), MAX_TASKS)).mapInArrow(_reader(with_payload), READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes every row of ``pages`` as a record into the shared folder and reads the archives back.
 
-    Null html is an empty payload; null ids come back null and neither refer nor
+    Null html is an empty payload and a null URL an empty one; null ids come back null and neither refer nor
     are referred to; repeated rows are each written, and those of the smallest id
     are each a response.  An empty table gives no archive and no row.
     """
