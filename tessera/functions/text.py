@@ -43,10 +43,10 @@ def windows(c: Column, size: int = 900, overlap: int = 120) -> Column:
 
 def sections(c: Column) -> Column:
     """Array of (heading, body) of ``## `` sections; those without a body are dropped."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), c), r"\n##[ \t]+"), F.lit(2), F.greatest(F.size(F.split(F.concat(F.lit("\n"), c), r"\n##[ \t]+")) - 1, F.lit(0)))
-    cut = F.transform(parts, lambda p: F.struct(strip(F.substring_index(p, "\n", 1)).alias("heading"), strip(F.when(F.instr(p, "\n") > 0, F.expr("''")).otherwise(F.lit(""))).alias("none"), p.alias("raw")))
-    full = F.transform(cut, lambda s: F.struct(s["heading"].alias("heading"), strip(F.regexp_replace(s["raw"], r"^[^\n]*\n?", "")).alias("body")))
-    return F.filter(full, lambda s: s["body"] != "")
+    split = F.split(F.concat(F.lit("\n"), c), r"\n##[ \t]+")
+    parts = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0)))
+    cut = F.transform(parts, lambda p: F.struct(strip(F.substring_index(p, "\n", 1)).alias("heading"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    return F.filter(cut, lambda s: s["body"] != "")
 
 
 def replace_rules(c: Column, rules: Iterable[tuple[str, str]]) -> Column:

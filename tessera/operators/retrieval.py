@@ -53,8 +53,6 @@ def bm25(chunks: DataFrame, terms: list[tuple[int, str]], columns: tuple[str, ..
     size = sum(F.greatest(F.length(c) - 2, F.lit(0)) for c in columns)
     sized = chunks.select(*{"doc_id", "chunk_index", *columns}, size.alias("trigrams"))
     stats = sized.agg(F.count("*").alias("n"), (F.sum("trigrams") / F.count("*")).alias("avg_trigrams"))
-    low = [F.lower(F.col(c)) for c in columns]
-    del low
     matches = term_matches(sized, terms, columns)
     df = matches.select("term", "doc_id", "chunk_index").distinct().groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -9,9 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
-from tessera.plans import analytics, corpus, dialogue, retrieval, streams
+from tessera.plans import analytics, corpus, dialogue, more, retrieval, streams
 
-OWN = {k: m for m in (corpus, retrieval, dialogue, analytics, streams) for k in m.QUERIES}
+OWN = {k: m for m in (corpus, retrieval, dialogue, analytics, more, streams) for k in m.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import random
 import struct
+import wave
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import signal, speech, text, web
-from tessera.operators import chunking, crawl, dialogue, evaluation, retrieval, series
+from tessera.functions import binary, readings, signal, speech, text, web
+from tessera.operators import chunking, crawl, dialogue, evaluation, retrieval, series, terms
 from tessera.sources import archives, files, frames, sse
 
 
@@ -229,3 +230,32 @@ def test_versioned_table_keeps_the_old_version_on_failure(spark, tmp_path):
     assert t.current().count() == 3
     t.publish(spark.range(5))
     assert t.current().count() == 5
+
+
+@pytest.mark.parametrize(
+    ("n", "want"),
+    [(0, "ぜろ"), (10, "じゅう"), (300, "さんびゃく"), (3600, "さんぜんろっぴゃく"), (8001, "はっせんいち"), (10_000, "いちまん"), (10**12, "いっちょう"), (10**16 + 1, "いちけいいち"), (2024, "にせんにじゅうよん")],
+)
+def test_readings(spark, n, want):
+    assert one(spark, readings.integer_reading(F.col("n")), n=n) == want
+
+
+def test_wav(spark):
+    data = bytes(spark.range(1).select(binary.wav(F.lit(b"\x01\x02\x03\x04"), 16000).alias("w")).first()["w"])
+    with wave.open(io.BytesIO(data)) as w:
+        assert (w.getframerate(), w.getnchannels(), w.getsampwidth(), w.readframes(9)) == (16000, 1, 2, b"\x01\x02\x03\x04")
+    df = spark.createDataFrame([(data,), (b"no",)], "d binary").select(binary.wav_samples(F.col("d")).alias("s"))
+    assert [r.s and bytes(r.s) for r in df.collect()] == [b"\x01\x02\x03\x04", None]
+
+
+def test_page_charsets(spark):
+    rows = [("é".encode("latin-1"), "text/html; charset=latin-1", "é"), ("é".encode(), None, "é"), ("日本".encode("cp932"), "text/html", "日本"), (None, None, None), ("日".encode(), "x; charset=nonsense", "日")]
+    df = spark.createDataFrame([(d, h) for d, h, _ in rows], "d binary, h string")
+    assert [r.t for r in df.select(binary.decode_page("d", "h").alias("t")).collect()] == [w for _, _, w in rows]
+
+
+def test_word_break_and_credit():
+    words = frozenset({"open", "day"})
+    assert terms.breaks("openday", "", words) and not terms.breaks("opendax", "", words)
+    assert terms.breaks("opencampus", "the campus", words)
+    assert terms.credit("library", "the libra of", frozenset()) == 0.5 * 5 / 7 and terms.credit("zzz", "abc", frozenset()) == 0.0
