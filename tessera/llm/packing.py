@@ -31,6 +31,8 @@ EPOCHS = 2
 GENERATIONS = 3
 POPULATION = 4
 SEED = 29
+#: Tasks of a stage that evolves islands, at most; beyond it a task takes several.
+MAX_TASKS = 100_000
 #: Words whose ids a worker keeps.
 CACHE = 600_000
 _CACHES: dict[str, dict[bytes, bytes]] = {}
@@ -256,14 +258,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
     """
     total = parts.count()
     dealt = max(1, round(total / shard))
+    # a row of an island stands for much work, so numbers of tasks are given: rows this small would be merged into one
+    spread = lambda df, n, *keys: df.repartition(min(n, MAX_TASKS), *keys)
     sharded = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(dealt)).cast("int"))
     gathered = sharded.select("shard", "length").groupBy("shard").applyInPandas(_gather(capacity), "shard int, lengths binary").filter(F.length("lengths") > 0)
     start = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.lit(None).cast("binary").alias("packing"))
-    elite = written(start.groupBy("shard", "island").applyInPandas(_island_epoch(capacity, 0, seed), ISLAND), "packing-elite")
+    elite = written(spread(start, dealt * islands, "shard", "island").groupBy("shard", "island").applyInPandas(_island_epoch(capacity, 0, seed), ISLAND), "packing-elite")
     for epoch in range(1, epochs):
         migrants = elite.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
         met = elite.unionByName(migrants) if islands > 1 else elite
-        elite = written(met.select("shard", "island", "lengths", "packing").groupBy("shard", "island").applyInPandas(_island_epoch(capacity, epoch, seed), ISLAND), "packing-elite")
+        met = spread(met.select("shard", "island", "lengths", "packing"), dealt * islands, "shard", "island")
+        elite = written(met.groupBy("shard", "island").applyInPandas(_island_epoch(capacity, epoch, seed), ISLAND), "packing-elite")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return sharded.groupBy("shard").cogroup(elite.drop("lengths").groupBy("shard")).applyInPandas(_unpack(capacity, dealt), schema)
 
