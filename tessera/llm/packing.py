@@ -11,7 +11,9 @@ at the end the best packing of each shard is taken.
 
 from __future__ import annotations
 
+import struct
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,11 @@ from tessera.llm.common import pieces, written
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = np.zeros(1, "<u4").tobytes()
+#: Marks that end a word; with no apostrophe, which may belong to a contraction.
+MARKS = b".,;:!?%&$#*|()[]\"-"
+#: How byte-level vocabularies show bytes that are no printable character: by characters from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Pieces of a shard, about.
 SHARD = 32768
 ISLANDS = 2
@@ -33,9 +40,9 @@ POPULATION = 4
 SEED = 29
 #: Tasks of a stage that evolves islands, at most; beyond it a task takes several.
 MAX_TASKS = 100_000
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps; as many that it met before stay at hand.
 CACHE = 600_000
-_CACHES: dict[str, dict[bytes, bytes]] = {}
+_CACHES: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 class WordTokenizer:
@@ -52,30 +59,73 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = _CACHES.setdefault(path, {})
+        self.cache, self.old = _CACHES.setdefault(path, ({}, {}))
 
     def _whole(self, text: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes unknown words in one text, and cuts its ids where the words end."""
-        joined = " ".join(w.decode("utf-8", "replace") for w in words)
-        got = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids, offsets = np.asarray(got.ids, "<u4"), np.asarray(got.offsets, np.int64).reshape(-1, 2)
-        starts = np.cumsum([0] + [len(w.decode("utf-8", "replace")) + 1 for w in words])
-        cuts = np.searchsorted(offsets[:, 0], starts)
-        for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.cache[w] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cache = self.cache
+    def _plain(self, word: bytes) -> bytes | None:
+        """Ids of a word of lower-case letters only: the vocabulary's first steps leave it as it is, so its model is asked at once."""
+        text = word.decode("utf-8", "replace")
+        if not text.isalpha() or text != text.lower() or not (text.isascii() or is_normalized("NFC", text)):
+            return None
+        shown = text if text.isascii() else word.decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Puts the ids of ``words`` into the cache, from what it held before or by encoding them.
+
+        Marks after a letter are encoded apart, as the vocabulary does, so a
+        word is encoded once whatever follows it.  What is no plain word is
+        encoded with others in one text.
+        """
+        cache, old = self.cache, self.old
         if len(cache) > CACHE:
+            old.clear()
+            old.update(cache)
             cache.clear()
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        new = {w for words in split if words is not None for w in words if w not in cache}
+        ends, new, asked = {}, set(), set()
+        for w in words:
+            if w in old:
+                cache[w] = old[w]
+                continue
+            bare = w.rstrip(MARKS)
+            if len(bare) < len(w) and bare[-1:].isalpha():
+                ends[w] = (bare, w[len(bare) :])
+                asked.update(ends[w])
+            else:
+                asked.add(w)
+        for w in asked:
+            if w not in cache:
+                ids = self._plain(w)
+                if ids is None:
+                    new.add(w)
+                else:
+                    cache[w] = ids
         if new:
-            self._learn(sorted(new))
-        return [self._whole(t) if words is None else b"".join([cache[w] for w in words]) for t, words in zip(texts, split)]
+            listed = sorted(new)
+            texts = [w.decode("utf-8", "replace") for w in listed]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.asarray(got.ids, "<u4").tobytes()
+            begin = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids) // 4)
+            starts = np.cumsum([0] + [len(x) + 1 for x in texts])
+            cuts = (4 * np.searchsorted(begin, starts)).tolist()
+            for w, a, b in zip(listed, cuts, cuts[1:]):
+                cache[w] = ids[a:b]
+        for w, (bare, tail) in ends.items():
+            cache[w] = cache[bare] + cache[tail]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        get = self.cache.get
+        found = [None if words is None else list(map(get, words)) for words in split]
+        lacking = [i for i, ids in enumerate(found) if ids is not None and None in ids]
+        if lacking:
+            self._learn({w for i in lacking for w, ids in zip(split[i], found[i]) if ids is None})
+            for i in lacking:
+                found[i] = [self.cache[w] if ids is None else ids for w, ids in zip(split[i], found[i])]
+        return [self._whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found)]
 
 
 def _piece_batches(path: str, capacity: int):
