@@ -41,7 +41,7 @@ SEED = 29
 #: Tasks of a stage that evolves islands, at most; beyond it a task takes several.
 MAX_TASKS = 100_000
 #: Words whose ids a worker keeps; as many that it met before stay at hand.
-CACHE = 600_000
+CACHE = 250_000
 _CACHES: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 

@@ -32,7 +32,7 @@ BUCKETS = 1024
 SHAPES = 512
 EXTRA = 16
 TERMS = BUCKETS + SHAPES + EXTRA
-CACHE = 400_000
+CACHE = 150_000
 _MARKS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 
 

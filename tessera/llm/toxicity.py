@@ -28,7 +28,7 @@ PREFIX = 4
 #: Documents of at least this probability of a grade above 0 are toxic.
 THRESHOLD = 0.5
 #: Words that a worker keeps the features of.
-CACHE = 400_000
+CACHE = 150_000
 PUNCTUATION = b".,;:!?\"'()[]{}<>|%&$#*-_/\\"
 
 
