@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 FULL = "".join(chr(0xFF01 + i) for i in range(94))
 HALF = "".join(chr(0x21 + i) for i in range(94))
+#: Small vowels and glides, which belong to the kana before.
+SMALL_KANA = r"[\x{3043}\x{3045}\x{3047}\x{3049}\x{3083}\x{3085}\x{3087}\x{308E}\x{30A3}\x{30A5}\x{30A7}\x{30A9}\x{30E3}\x{30E5}\x{30E7}\x{30EE}]"
 #: (pattern, replacement) in order
 SYMBOLS = [("%", " percent "), ("&", " and "), (r"\+", " plus "), ("=", " equals ")]
 MARKDOWN = [(r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"https?://[^ \n]+", "link"), (r"(?m)^[ \t]*(?:#+|[-*>])[ \t]+", ""), (r"\*\*([^*]*)\*\*", "$1")]
@@ -27,8 +29,9 @@ def normalize_speech(c: Column) -> Column:
 def mora(c: Column) -> Column:
     """Kana and digits 1, small kana and long marks 0, kanji 2, letters a third, in whole thirds."""
     kana = F.regexp_count(c, F.lit(r"[\x{3042}-\x{3096}\x{30A2}-\x{30FA}]"))
+    small = F.regexp_count(c, F.lit(SMALL_KANA))
     han = F.regexp_count(c, F.lit(r"[\x{4E00}-\x{9FFF}]"))
-    return kana * 3 + han * 6 + F.regexp_count(c, F.lit("[0-9]")) * 3 + F.regexp_count(c, F.lit("[A-Za-z]"))
+    return (kana - small) * 3 + han * 6 + F.regexp_count(c, F.lit("[0-9]")) * 3 + F.regexp_count(c, F.lit("[A-Za-z]"))
 
 
 def max_seconds(thirds: Column) -> Column:

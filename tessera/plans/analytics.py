@@ -278,7 +278,7 @@ SQL = {
     "vector_topk": """WITH v AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM v GROUP BY ALL),
         s AS (SELECT v.label, vec_id, round(sum(x * c) / sqrt(sum(x * x)) / sqrt(sum(c * c)), 9) AS cosine FROM v JOIN c ON v.label = c.label AND v.i = c.i GROUP BY ALL)
         SELECT * FROM (SELECT label, vec_id, cosine, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10""",
-    "mora_estimate": r"""WITH m AS (SELECT conv_id, turn, (len(regexp_extract_all(text, '[\x{3042}-\x{3096}\x{30A2}-\x{30FA}]')) * 3 + len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) * 6 + len(regexp_extract_all(text, '[0-9]')) * 3 + len(regexp_extract_all(text, '[A-Za-z]')))::BIGINT AS thirds FROM conversations)
+    "mora_estimate": r"""WITH m AS (SELECT conv_id, turn, ((len(regexp_extract_all(text, '[\x{3042}-\x{3096}\x{30A2}-\x{30FA}]')) - len(regexp_extract_all(text, '[\x{3043}\x{3045}\x{3047}\x{3049}\x{3083}\x{3085}\x{3087}\x{308E}\x{30A3}\x{30A5}\x{30A7}\x{30A9}\x{30E3}\x{30E5}\x{30E7}\x{30EE}]'))) * 3 + len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) * 6 + len(regexp_extract_all(text, '[0-9]')) * 3 + len(regexp_extract_all(text, '[A-Za-z]')))::BIGINT AS thirds FROM conversations)
         SELECT conv_id, turn, thirds, round_even(least(greatest(0.7::DOUBLE + thirds / 18.0::DOUBLE, 1.2::DOUBLE), 30::DOUBLE), 3) AS max_seconds FROM m""",
     "segment_coalesce": f"""WITH s AS (SELECT conv_id, turn, {_SENT} AS p FROM conversations), c AS (SELECT conv_id, turn, CASE WHEN len(p) <= 3 THEN p ELSE list_slice(p, 1, 2) || [array_to_string(list_slice(p, 3, len(p)), ' ')] END AS q FROM s)
         SELECT conv_id, turn, len(q) AS n, array_to_string(q, '|') AS joined FROM c""",

@@ -57,7 +57,7 @@ def scripted_replies(spark, d):
 def unknown_names(spark, d):
     """Capitalised words of user messages that no assistant message holds, counted."""
     turns = table(spark, d, "conversations")
-    words = lambda role: turns.filter(F.col("role") == role).select("conv_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{4,})\b"), F.lit(1)))).alias("name")).distinct()
+    words = lambda role: turns.filter(F.col("role") == role).select("conv_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{4,})"), F.lit(1)))).alias("name")).distinct()
     return words("user").join(words("assistant").select("name").distinct(), "name", "left_anti").groupBy("conv_id").agg(F.count("*").alias("names"))
 
 
@@ -145,7 +145,7 @@ SQL = {
     "paragraph_gaps": f"""WITH s AS (SELECT conv_id, turn, {analytics._SENT} AS parts FROM conversations)
         SELECT conv_id, sum(len(parts))::BIGINT AS n, sum(CASE WHEN len(parts) > 0 THEN 650 + 300 * (len(parts) - 1) ELSE 0 END)::BIGINT AS silence_ms FROM s GROUP BY conv_id HAVING sum(len(parts)) > 0""",
     "scripted_replies": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches({dialogue._LINE}, '{p}') THEN '{n}'" for _, p, n in SCRIPTED) + " END AS reply FROM conversations WHERE role = 'user'",
-    "unknown_names": """WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{4,})\\b', 1)) AS name FROM conversations)
+    "unknown_names": """WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(text, '([A-Z][a-z]{4,})', 1)) AS name FROM conversations)
         SELECT conv_id, count(*) AS names FROM w WHERE role = 'user' AND name NOT IN (SELECT name FROM w WHERE role = 'assistant') GROUP BY conv_id""",
     "effective_year": r"""WITH y AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\b(20[0-9]{2})\b', 1)[-1]::INT AS year FROM documents)
         SELECT doc_id, year, CASE WHEN year IS NULL THEN 'current_or_undated' WHEN year >= 2024 THEN 'current' ELSE 'historical' END AS status FROM y""",

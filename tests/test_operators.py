@@ -97,7 +97,6 @@ def test_budget_equals_a_fold(spark):
         for _, r, h, b in (x for x in rows if x[0] == q):
             left = 120 - used - len(h) - 8
             if not b:
-                used += len(h) + 2
                 continue
             if left <= 0:
                 break
