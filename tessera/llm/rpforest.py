@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.vectors import finite, search
 
-TREES = 8
-LEAF = 64
+TREES = 16
+LEAF = 32
 #: Part of a shard's rows that a query meets as candidates, and their least number.
-SEARCH_SHARE = 0.2
+SEARCH_SHARE = 0.65
 SEARCH_LEAST = 1024
+#: Queries whose margins to all splits are held at a time.
+MARGINS = 256
 SEED = 11
 
 
@@ -82,11 +84,12 @@ def nearest(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
     unit, qunit = points / norms[:, None], queries / qnorms[:, None]
     forest = Forest(unit, [SEED, *seed])
     wanted = max(SEARCH_LEAST, int(SEARCH_SHARE * len(points)))
-    margins = qunit @ forest.normals.T - forest.cuts[None, :]
     seen = np.full(len(points), -1)
     out_q, out_i, out_s = [], [], []
     for n in range(len(queries)):
-        rows = forest.candidates(margins[n], wanted, seen, n)
+        if n % MARGINS == 0:
+            margins = qunit[n : n + MARGINS] @ forest.normals.T - forest.cuts[None, :]
+        rows = forest.candidates(margins[n % MARGINS], wanted, seen, n)
         rows = rows[ids[rows] != query_ids[n]]
         score = (points[rows] * queries[n]).sum(1) / (norms[rows] * qnorms[n])
         best = np.lexsort((ids[rows], -score))[:k]

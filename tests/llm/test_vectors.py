@@ -111,3 +111,20 @@ def test_queries_on_table(spark):
     for r in queries.op9_neighbours(spark, SF).collect():
         by.setdefault(r.query_id, set()).add(r.vec_id)
     assert recall(rows, by) >= 0.9
+
+
+def test_forest_recall_of_64_dimensions(spark):
+    """More rows than are searched whole: the table at sf0.1, and a full shard."""
+    large = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, list(r.embedding), "") for r in spark.read.parquet(f"{large}/embeddings.parquet").collect()]
+    by = {}
+    for r in queries.op9_neighbours(spark, large).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(rows) > rpforest.SEARCH_LEAST and recall(rows, by) >= 0.9
+    points, ids = np.random.default_rng(4).standard_normal((8192, 64)), np.arange(8192)
+    asked = ids % 50 == 0
+    q, found, _ = rpforest.nearest(ids, points, ids[asked], points[asked], [0], 5)
+    by = {}
+    for n, i in zip(ids[asked][q], found):
+        by.setdefault(n, set()).add(i)
+    assert recall([(i, v, "") for i, v in enumerate(points)], by) >= 0.9
