@@ -27,6 +27,7 @@ from tessera.llm.common import pieces
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea title iframe".split()}
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +62,6 @@ def parse(page: str) -> Node:
     root = Node("html", None, False)
     here, at = root, 0
     open_names = {"html": 1}
-    raw = ""
 
     def shut(upto: Node):
         nonlocal here
@@ -69,18 +69,15 @@ def parse(page: str) -> Node:
             open_names[here.name] -= 1
             here = here.parent
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         name = m.group(2)
         name = name.lower() if name else ""
-        if raw and not (name == raw and m.group(1)):
-            continue
-        if m.start() > at and not raw:
+        if m.start() > at:
             here.children.append(page[at : m.start()])
         at = m.end()
         if not name:
             continue
         if m.group(1):
-            raw = ""
             if name == "p" and not open_names.get("p"):
                 continue
             if open_names.get(name) and name != "html":
@@ -115,9 +112,10 @@ def parse(page: str) -> Node:
         if name not in VOID and not m.group(3).rstrip().endswith("/"):
             here = node
             open_names[name] = open_names.get(name, 0) + 1
-            if name in RAW and name not in ("noscript", "svg", "math", "object"):
-                raw = name
-    if at < len(page) and not raw:
+            if name in _END:
+                end = _END[name].search(page, at)
+                at = end.start() if end else len(page)
+    if at < len(page):
         here.children.append(page[at:])
     return root
 

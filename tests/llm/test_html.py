@@ -56,3 +56,13 @@ def test_pages_of_the_table(spark):
         inside = re.search(r"(?s)<article>(.*)</article>", pages[r.page_id]).group(1)
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h\d)>", inside))
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_text_after_scripts_and_styles():
+    for code in ("for(i=0;i<n;i++){f()}", "if(a<b&&c>d){}", "<!-- a", "x=\"<a href='\"", "it's <b title=\"", "<p>'", "</scriptx>"):
+        assert H.main_text(f"<script>{code}</script><article><p>Hello words</p></article>") == "Hello words"
+        assert H.main_text(f"<p>Before</p><SCRIPT>{code}</Script ><p>Hello</p>") == "Before\n\nHello"
+        assert H.main_text(f"<style>{code}</style\n><p>Hi</p>") == "Hi"
+    assert H.main_text("<style><!-- a{} </style><p>Hi</p>") == "Hi"
+    assert H.main_text("<p>Seen</p><script>if (a<b) never closed <p>no") == "Seen"
+    assert H.main_text("<textarea><!-- </textarea><title>'<a</title><p>Hi</p>") == "Hi"
