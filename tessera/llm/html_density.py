@@ -49,11 +49,12 @@ BESIDE = frozenset(
 class Node:
     """An element: its children are nodes and strings in page order."""
 
-    __slots__ = ("c", "children", "density", "lc", "lt", "name", "parent", "skip", "sum", "t")
+    __slots__ = ("c", "children", "density", "lc", "linked", "lt", "name", "parent", "skip", "sum", "t")
 
     def __init__(self, name: str, parent: Node | None, skip: bool):
         self.name, self.parent, self.skip, self.children = name, parent, skip, []
         self.c = self.t = self.lc = self.lt = 0
+        self.linked = False
         self.density = self.sum = 0.0
 
 
@@ -131,18 +132,20 @@ def _beside(name: str, attributes: str) -> bool:
     return any(w in BESIDE for m in _MARK.finditer(low) for w in _SPLIT.split(m.group(1) or m.group(2) or m.group(3) or ""))
 
 
-def _measure(node: Node, linked: bool) -> None:
-    """Fills c, t, lc and lt below ``node``; skipped parts count as empty."""
-    for child in node.children:
-        if isinstance(child, str):
-            n = len(_SPACE.sub(" ", child).strip())
-            node.c += n
-            node.lc += n if linked else 0
-        elif not child.skip:
-            link = linked or child.name == "a"
-            _measure(child, link)
-            node.c, node.t = node.c + child.c, node.t + child.t + 1
-            node.lc, node.lt = node.lc + child.lc, node.lt + child.lt + (child.name == "a")
+def _measure(body: Node) -> list[Node]:
+    """Fills c, t, lc and lt of ``body`` and the nodes below it, which are returned; skipped parts count as empty."""
+    nodes = list(_nodes(body))
+    for node in nodes[1:]:
+        node.linked = node.parent.linked or node.name == "a"
+    for node in reversed(nodes):
+        n = sum(len(_SPACE.sub(" ", x).strip()) for x in node.children if isinstance(x, str))
+        node.c += n
+        node.lc += n if node.linked else 0
+        if node is not body:
+            up = node.parent
+            up.c, up.t = up.c + node.c, up.t + node.t + 1
+            up.lc, up.lt = up.lc + node.lc, up.lt + node.lt + (node.name == "a")
+    return nodes
 
 
 def _density(node: Node, share: float) -> float:
@@ -155,20 +158,21 @@ def _density(node: Node, share: float) -> float:
 
 
 def _nodes(node: Node):
-    yield node
-    for child in node.children:
-        if isinstance(child, Node) and not child.skip:
-            yield from _nodes(child)
+    """``node`` and those below it in page order, without skipped parts."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += [x for x in reversed(node.children) if isinstance(x, Node) and not x.skip]
 
 
 def main_node(root: Node) -> Node | None:
     """The subtree with the largest density sum among those that reach the path threshold."""
     body = next((x for x in _nodes(root) if x.name == "body"), root)
-    _measure(body, False)
+    nodes = _measure(body)
     if not body.c:
         return None
     share = body.lc / body.c
-    nodes = list(_nodes(body))
     for x in nodes:
         x.density = _density(x, share)
     for x in nodes:
@@ -190,21 +194,31 @@ def main_node(root: Node) -> Node | None:
     return chosen
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            out[-1].append(child)
-        elif child.name in ("br", "td", "th"):
-            out[-1].append(" ")
-            _blocks(child, out)
-            out[-1].append(" ")
-        elif not child.skip:
-            apart = child.name in BLOCK
-            if apart:
+def _blocks(node: Node) -> list[list[str]]:
+    """The texts of each block below ``node``, in page order."""
+    out: list[list[str]] = [[]]
+    stack: list = [iter(node.children)]
+    ends: list = [None]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            end = ends.pop()
+            if end == " ":
+                out[-1].append(end)
+            elif end:
                 out.append([])
-            _blocks(child, out)
-            if apart:
+        elif isinstance(child, str):
+            out[-1].append(child)
+        elif child.name in ("br", "td", "th") or not child.skip:
+            end = " " if child.name in ("br", "td", "th") else "block" if child.name in BLOCK else None
+            if end == " ":
+                out[-1].append(end)
+            elif end:
                 out.append([])
+            stack.append(iter(child.children))
+            ends.append(end)
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -214,28 +228,21 @@ def main_text(page: str | None) -> str:
     node = main_node(parse(page))
     if node is None:
         return ""
-    out: list[list[str]] = [[]]
-    _blocks(node, out)
-    texts = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in out)
+    texts = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in _blocks(node))
     return "\n\n".join(t for t in texts if t)
 
 
+#: No page needs another way; the name that callers used while deep pages did.
+_safe = main_text
+
+
 def _text_batches(batches):
     for whole in batches:
         for batch in pieces(whole):
-            texts = [_safe(page) for page in batch.column(2).to_pylist()]
+            texts = [main_text(page) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _safe(page: str | None) -> str:
-    """Deeply nested pages exceed Python's recursion limit: their text is taken without a tree."""
-    try:
-        return main_text(page)
-    except RecursionError:
-        kept = _TOKEN.sub(lambda m: "\n\n" if (m.group(2) or "").lower() in BLOCK else " ", re.sub(r"(?is)<(script|style|head|nav|footer|form)\b.*?(</\1\s*>|\Z)", " ", page or ""))
-        return "\n\n".join(t for t in (_SPACE.sub(" ", html.unescape(x)).strip() for x in kept.split("\n\n")) if t)
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
 

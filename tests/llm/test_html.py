@@ -66,3 +66,13 @@ def test_text_after_scripts_and_styles():
     assert H.main_text("<style><!-- a{} </style><p>Hi</p>") == "Hi"
     assert H.main_text("<p>Seen</p><script>if (a<b) never closed <p>no") == "Seen"
     assert H.main_text("<textarea><!-- </textarea><title>'<a</title><p>Hi</p>") == "Hi"
+
+
+def test_deep_pages_are_decided_by_density():
+    """Levels that add nothing to a page change nothing in its text."""
+    for level in ("div", "span", "font"):
+        deep = PAGE.replace("<article>", "<article>" + f"<{level}>" * 5000).replace("</article>", f"</{level}>" * 5000 + "</article>")
+        assert H.main_text(deep) == H.main_text(PAGE)
+    text = "A number of words that stand in the page, long enough to count."
+    beside = "<aside>Side words</aside><div class='sidebar'>More of them</div><nav>One<nav>Two</nav>Three</nav>"
+    assert H.main_text(beside + "<div>" * 5000 + f"<p>{text}</p>") == text
