@@ -10,7 +10,8 @@ density sum adds the densities of its children.  The threshold is the least
 density on the path from the node with the largest sum up to the body; of the
 nodes that reach it, walking down from the body, the subtree with the largest
 sum is the main text.  Parts that are not the article by their element or by
-their class, id or role never count and are never printed.
+their class, id or role never count and are never printed, unless they hold the
+page's articles or most of its unlinked text (``_settle``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,29 +34,35 @@ _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text of these is never text of the page.
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
-SKIP = RAW | frozenset("head nav footer aside form button select option menu dialog fieldset label figcaption audio video canvas".split())
+RAW = frozenset("script style textarea title template iframe".split())
+SKIP = RAW | frozenset("head button select option label audio video canvas".split())
+#: Elements beside the article, unless they hold it.
+ASIDE = frozenset("nav footer aside form menu fieldset".split())
 BLOCK = frozenset(
     "html body article section main header footer aside nav div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure address details summary hr form fieldset hgroup center".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "thead", "tbody", "tfoot", "tr", "caption", "li", "dt", "dd"}
-#: Words of a class, id or role that name a part beside the article.
+#: Words of a class, id or role that name a part beside the article; a token counts if its other words are of PLAIN.
 BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead topbar comment comments disqus respond reply replies share sharing social "
     "related recommended newsletter subscribe subscription signup login search pagination pager toolbar complementary contentinfo skip".split()
 )
+PLAIN = frozenset(
+    " area bar block body box btn button buttons center col column container content element form global group header holder icons inner item items js left link links list "
+    "main mobile module outer page panel post primary right row secondary section site slot small sub text title top bottom unit widget widgets wrap wrapper".split(" ")
+)
 
 
 class Node:
     """An element: its children are nodes and strings in page order."""
 
-    __slots__ = ("c", "children", "density", "lc", "linked", "lt", "name", "parent", "skip", "sum", "t")
+    __slots__ = ("c", "children", "density", "lc", "linked", "lt", "marked", "name", "parent", "skip", "sum", "t")
 
     def __init__(self, name: str, parent: Node | None, skip: bool):
         self.name, self.parent, self.skip, self.children = name, parent, skip, []
         self.c = self.t = self.lc = self.lt = 0
-        self.linked = False
+        self.linked = self.marked = False
         self.density = self.sum = 0.0
 
 
@@ -107,8 +115,8 @@ def parse(page: str) -> Node:
             while node.name != "head":
                 node = node.parent
             shut(node.parent)
-        skip = here.skip or name in SKIP or _beside(name, m.group(3)) or (name == "header" and not (open_names.get("article") or open_names.get("main")))
-        node = Node(name, here, skip)
+        node = Node(name, here, here.skip or name in SKIP or _hidden(name, m.group(3)))
+        node.marked = name in ASIDE or _beside(name, m.group(3)) or (name == "header" and not (open_names.get("article") or open_names.get("main")))
         here.children.append(node)
         if name not in VOID and not m.group(3).rstrip().endswith("/"):
             here = node
@@ -121,22 +129,72 @@ def parse(page: str) -> Node:
     return root
 
 
+def _hidden(name: str, attributes: str) -> bool:
+    low = attributes.lower()
+    return "hidden" in low and name not in ("html", "body", "article", "main") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", low))
+
+
 def _beside(name: str, attributes: str) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     low = attributes.lower()
-    if "hidden" in low and re.search(r"(?:^|\s)hidden(?:\s|=|$)", low):
-        return True
     if "class" not in low and "id" not in low and "role" not in low:
         return False
-    return any(w in BESIDE for m in _MARK.finditer(low) for w in _SPLIT.split(m.group(1) or m.group(2) or m.group(3) or ""))
+    tokens = (t for m in _MARK.finditer(low) for t in (m.group(1) or m.group(2) or m.group(3) or "").split())
+    return any(_names_beside(t) for t in tokens)
+
+
+@lru_cache(65_536)
+def _names_beside(token: str) -> bool:
+    """Whether a class, id or role names a part beside the article: sidebar-left and cookie-notice do, has-sidebar, ad-free and menu-open do not."""
+    words = _SPLIT.split(token)
+    return any(w in BESIDE for w in words) and all(w in BESIDE or w in PLAIN for w in words)
+
+
+def _settle(body: Node) -> None:
+    """Skips the marked parts, except those that hold the article themselves.
+
+    A marked part without another article or main beside it stays if it holds
+    one or most of the unlinked text of the page; parts marked inside it are
+    then looked at in the same way.
+    """
+    nodes = list(_nodes(body))
+    if not any(x.marked for x in nodes):
+        return
+    unlinked, articles = {}, {}
+    for x in nodes:
+        x.linked = x is not body and (x.parent.linked or x.name == "a")
+    for x in reversed(nodes):
+        below = [y for y in x.children if isinstance(y, Node) and not y.skip]
+        own = 0 if x.linked else sum(len(_SPACE.sub(" ", y).strip()) for y in x.children if isinstance(y, str))
+        unlinked[x] = own + sum(unlinked[y] for y in below)
+        articles[x] = sum(articles[y] for y in below) + (x.name in ("article", "main") and unlinked[x] > 0)
+    met, waiting, freed = 0, [], [(body, 0)]
+    while freed:
+        stack = freed
+        while stack:
+            x, around = stack.pop()
+            here = x.name in ("article", "main") and unlinked[x] > 0
+            met, around = met + here, around + here
+            for y in x.children:
+                if isinstance(y, Node) and not y.skip:
+                    (waiting if y.marked else stack).append((y, around))
+        freed, waiting_still = [], []
+        for x, around in waiting:
+            holds = met == around and (articles[x] or 2 * unlinked[x] > unlinked[body])
+            (freed if holds else waiting_still).append((x, around))
+        waiting = waiting_still if freed else waiting
+        for x, _ in freed:
+            x.marked = False
+    for x, _ in waiting:
+        x.skip = True
 
 
 def _measure(body: Node) -> list[Node]:
     """Fills c, t, lc and lt of ``body`` and the nodes below it, which are returned; skipped parts count as empty."""
     nodes = list(_nodes(body))
-    for node in nodes[1:]:
-        node.linked = node.parent.linked or node.name == "a"
+    for node in nodes:
+        node.linked = node is not body and (node.parent.linked or node.name == "a")
     for node in reversed(nodes):
         n = sum(len(_SPACE.sub(" ", x).strip()) for x in node.children if isinstance(x, str))
         node.c += n
@@ -169,6 +227,7 @@ def _nodes(node: Node):
 def main_node(root: Node) -> Node | None:
     """The subtree with the largest density sum among those that reach the path threshold."""
     body = next((x for x in _nodes(root) if x.name == "body"), root)
+    _settle(body)
     nodes = _measure(body)
     if not body.c:
         return None
@@ -210,7 +269,7 @@ def _blocks(node: Node) -> list[list[str]]:
                 out.append([])
         elif isinstance(child, str):
             out[-1].append(child)
-        elif child.name in ("br", "td", "th") or not child.skip:
+        elif not child.skip:
             end = " " if child.name in ("br", "td", "th") else "block" if child.name in BLOCK else None
             if end == " ":
                 out[-1].append(end)

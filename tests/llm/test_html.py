@@ -76,3 +76,19 @@ def test_deep_pages_are_decided_by_density():
     text = "A number of words that stand in the page, long enough to count."
     beside = "<aside>Side words</aside><div class='sidebar'>More of them</div><nav>One<nav>Two</nav>Three</nav>"
     assert H.main_text(beside + "<div>" * 5000 + f"<p>{text}</p>") == text
+
+
+def test_marks_do_not_drop_the_article():
+    text = "A number of words that stand in the page, and they are long enough to count."
+    for mark in ("layout has-sidebar", "content no-sidebar", "post has-comments", "page ad-free", "menu-open", "sidebar", "search", "banner ads"):
+        for inside in (f"<article><p>{text}</p></article>", f"<p>{text}</p><p>{text}</p>"):
+            whole = "\n\n".join([text] * inside.count("<p>"))
+            assert H.main_text(f"<body><div class='{mark}'>{inside}</div></body>") == whole
+            assert H.main_text(f"<body><div id={mark.split()[0]}><div class='{mark}'>{inside}</div></div><footer>me</footer></body>") == whole
+    assert H.main_text(f"<form id=f><nav>One</nav><main><p>{text}</p></main></form>") == text
+    assert H.main_text(f"<article><p>{text}</p><div class=ad>Buy</div></article><section id=comments><article>{text * 9}</article></section>") == text
+    assert H.main_text(f"<article><p>{text}</p><div class='cookie-notice'>x</div><div class='share-buttons'>x</div></article>") == text
+    kept = f"<article><p>{text}</p><figure><figcaption>Caption</figcaption></figure><math><mi>x</mi></math></article>"
+    assert H.main_text(kept) == f"{text}\n\nCaption\n\nx"
+    for name in ("noscript", "object", "svg", "dialog"):
+        assert H.main_text(f"<article><p>{text}</p><{name}>words</{name}></article>") == f"{text}\n\nwords"
