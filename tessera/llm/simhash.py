@@ -56,7 +56,7 @@ def _fingerprint_batches(batches):
         for batch in pieces(whole):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 @lru_cache(1)
@@ -166,8 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprints(docs, id_col, text_col), "simhash-prints")
     groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
-    roots = components(links(groups.select("fp"), max_bucket))
-    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(groups, max_bucket)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labelled = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(labelled, "fp").select(
@@ -175,10 +174,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _rooted(groups: DataFrame, max_bucket: int = 256) -> DataFrame:
+    """``groups`` (a row for each fp) with the ``root`` of each one's component."""
+    roots = components(links(groups.select("fp"), max_bucket)).withColumnRenamed("node", "fp")
+    return groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one of each, with the columns of ``docs``.
+    """One row of each component of ``docs``, with the columns of ``docs``.
 
-    Rows with a null id go: nothing tells them from their copies.
+    It is the one with the smallest id (rows without an id come last) and, of
+    those with the same id, the smallest text hash.  Components are told apart
+    by fingerprint, so null and repeated ids lose none.
     """
-    first = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    d = F.col("doc_id")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = written(narrow.withColumn("hash", F.xxhash64("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long, hash long"), "simhash-prints")
+    groups = written(prints.groupBy("fp").agg(F.min(F.struct(d.isNull().alias("none"), d, "hash")).alias("first")), "simhash-groups")
+    first = _rooted(groups).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_one_id"), F.col("first.hash").alias("_one_hash"))
+    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(first, F.col("_id").eqNullSafe(F.col("_one_id")) & (F.col("_hash") == F.col("_one_hash")), "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
