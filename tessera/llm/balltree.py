@@ -1,9 +1,11 @@
 """Exact maximum inner product search by ball-tree branch and bound.
 
-Each shard has a ball tree.  A query visits its nodes in the order of the upper
-bound q.c + |q| r on any inner product inside the ball, and stops when no node
-can reach the kth score so far.  That score starts from the one reached on the
-first shard, which all shards share.  Ties are kept, so the smaller id wins.
+Each shard has a ball tree, built once; queries stream past it.  A query visits
+its nodes in the order of the upper bound q.c + |q| r on any inner product
+inside the ball, and stops when no node can reach the kth score so far.  That
+score is shared: shards are searched in waves, each three times as large as all
+before, and starts from the kth score reached in them.  Ties are kept, so the
+smaller id wins.
 """
 
 from __future__ import annotations
@@ -16,7 +18,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.vectors import finite, search
 
-LEAF = 128
+LEAF = 32
+
+
+def _axis(own: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """About the principal direction of centred rows, by a few power steps from the farthest of them."""
+    axis = own[(own * own).sum(1).argmax()]
+    for _ in range(rounds):
+        step = own.T @ (own @ axis)
+        size = np.sqrt(step @ step)
+        if size == 0:
+            break
+        axis = step / size
+    return axis
 
 
 class BallTree:
@@ -36,9 +50,7 @@ class BallTree:
             if parent >= 0:
                 (left if side == 0 else right)[parent] = node
             if b - a > leaf and radii[-1] > 0:
-                one = own[away.argmax()]
-                other = own[((own - one) ** 2).sum(1).argmax()]
-                place = np.argsort(own @ (other - one), kind="stable")
+                place = np.argsort((own - centre) @ _axis(own - centre), kind="stable")
                 self.order[a:b] = self.order[a:b][place]
                 middle = (a + b) // 2
                 stack += [(a, middle, node, 0), (middle, b, node, 1)]
@@ -59,13 +71,22 @@ def _dot(points: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(p, query)) for p in points], object)
 
 
-def top_k(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
+class Shard:
+    """A shard's rows in the order of their tree; ``opened`` and ``asked`` count leaves for each query."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+        self.tree = BallTree(points, leaf)
+        self.ids, self.most = ids[self.tree.order], np.abs(points).max(initial=0)
+        self.leaves, self.opened, self.asked = sum(x < 0 for x in self.tree.left), 0, 0
+
+
+def top_k(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
     """(query number, id, score) of the k best rows of each query that reach its bound."""
-    tree = BallTree(points)
-    exact = points.shape[1] * np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) < 2**53
+    tree, row_ids = shard.tree, shard.ids
+    exact = queries.shape[1] * shard.most * np.abs(queries).max(initial=0) < 2**53
     upper = tree.bounds(queries)
-    row_ids = ids[tree.order]
     out: list[tuple[int, int, int]] = []
+    shard.asked += len(queries)
     for n, query in enumerate(queries):
         kth, own, up = bounds[n], query_ids[n], upper[n]
         got_s, got_i = np.zeros(0), np.zeros(0, np.int64)
@@ -80,6 +101,7 @@ def top_k(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: n
                         heapq.heappush(heap, (-up[child], child))
                 continue
             a, b = tree.spans[node]
+            shard.opened += 1
             s = _dot(tree.points[a:b], query, exact)
             keep = (s >= kth) & (row_ids[a:b] != own)
             if keep.any():
@@ -104,10 +126,9 @@ def maximum_inner_product(vectors: DataFrame, k: int = 10, every: int = 100, sca
 
     Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows without an id; repeated rows count once; rows of the
-    query's own id are not its candidates.  Scores must fit a long.
+    query's own id are not its candidates.  Scores must fit a long.  All but ids
+    and vectors is passed over, whatever its name.  An empty table, or one
+    without queries, gives an empty result.
     """
-
-    def task(ids, points, query_ids, queries, bounds, seed):
-        return top_k(ids, points, query_ids, queries, bounds, k)
-
-    return search(quantized(vectors, scale), F.col("vec_id") % every == 0, k, task, tau=True)
+    build = lambda ids, points, key: Shard(ids, points)
+    return search(quantized(vectors, scale), F.col("vec_id") % every == 0, k, build, top_k, in_waves=True)

@@ -1,113 +1,117 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Every row is in every tree of its shard.  A tree splits its rows at the median
-of a random direction.  A query walks all trees at once through one priority
-queue, ordered by the least margin to the splits on the way, until it has met
-enough candidates; these are reranked by exact cosines in double precision.
+of a random direction, one for each level; the margins of a query to the splits that it stands on
+the wrong side of, squared and added up, are a leaf's distance.  The leaves of
+all trees wait in one priority queue by that distance.  Each leaf that is taken
+gives its rows credit, the more the nearer it is, until ``TAKEN`` of the leaves
+are used; the rows of the highest credit over all trees are the candidates,
+which are reranked by exact cosines in double precision.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import finite, search
 
-TREES = 16
-LEAF = 32
-#: Part of a shard's rows that a query meets as candidates, and their least number.
-SEARCH_SHARE = 0.65
-SEARCH_LEAST = 1024
-#: Queries whose margins to all splits are held at a time.
-MARGINS = 256
+TREES = 48
+LEAF = 16
+#: Part of the leaves of all trees that a query takes from the queue.
+TAKEN = 0.25
+#: Part of a shard's rows that are reranked, those of the highest credit, and their number for each wanted neighbour at least.
+RERANKED = 0.05
+LEAST = 32
 SEED = 11
 
 
 class Forest:
-    """Trees over unit rows; inner nodes have a direction, a threshold and two children, leaves have rows."""
+    """Balanced trees of equal depth over unit rows.
+
+    ``normals`` has a random direction for each level and tree, ``cuts[d]`` the
+    medians at which the nodes of level d (tree, node) are split; ``order`` has
+    each tree's rows in the order of its leaves, which begin at ``starts``.
+    """
 
     def __init__(self, points: np.ndarray, seed, trees: int = TREES, leaf: int = LEAF):
-        rng = np.random.default_rng(seed)
-        self.normals, self.cuts, self.children, self.leaves, self.roots = [], [], [], {}, []
-        for _ in range(trees):
-            stack = [(np.arange(len(points)), -1, 0)]
-            self.roots.append(len(self.cuts))
-            while stack:
-                rows, parent, side = stack.pop()
-                node = len(self.cuts)
-                if parent >= 0:
-                    self.children[parent][side] = node
-                normal = rng.standard_normal(points.shape[1])
-                if len(rows) > leaf:
-                    a, b = rng.choice(len(rows), 2, replace=False)
-                    between = points[rows[a]] - points[rows[b]]
-                    normal = between if np.abs(between).max() > 0 else normal
-                normal = normal / np.linalg.norm(normal)
-                self.normals.append(normal), self.children.append([-1, -1])
-                if len(rows) <= leaf:
-                    self.cuts.append(0.0)
-                    self.leaves[node] = rows
-                    continue
-                side_of = points[rows] @ normal
-                place = np.argsort(side_of, kind="stable")
-                middle = len(rows) // 2
-                self.cuts.append(float(side_of[place[middle - 1]] + side_of[place[middle]]) / 2)
-                stack += [(rows[place[:middle]], node, 0), (rows[place[middle:]], node, 1)]
-        self.normals, self.cuts = np.array(self.normals), np.array(self.cuts)
-
-    def candidates(self, margins: np.ndarray, wanted: int, seen: np.ndarray, mark: int) -> np.ndarray:
-        """Rows of the nearest leaves of all trees until ``wanted`` different ones are met."""
-        heap = [(-np.inf, root) for root in self.roots]
-        found, have = [], 0
-        while heap and have < wanted:
-            margin, node = heapq.heappop(heap)
-            rows = self.leaves.get(node)
-            if rows is not None:
-                new = rows[seen[rows] != mark]
-                seen[new] = mark
-                found.append(new)
-                have += len(new)
-                continue
-            m = margins[node]
-            near, far = self.children[node] if m < 0 else self.children[node][::-1]
-            heapq.heappush(heap, (margin, near))
-            heapq.heappush(heap, (max(margin, abs(m)), far))
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
-def nearest(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, seed, k: int):
+        n, width = points.shape
+        self.depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
+        normals = np.random.default_rng(seed).standard_normal((self.depth, trees, width))
+        self.normals = normals / np.sqrt((normals**2).sum(-1, keepdims=True))
+        self.trees, self.cuts, self.starts = trees, [], np.array([0, n])
+        self.order = np.tile(np.arange(n), (trees, 1))
+        for level in self.normals:
+            sizes = np.diff(self.starts)
+            node, half = np.repeat(np.arange(len(sizes)), sizes), (sizes + 1) // 2
+            middle = self.starts[:-1] + half
+            cuts = np.empty((trees, len(sizes)))
+            for t, along in enumerate(level @ points.T):
+                mine = along[self.order[t]]
+                place = np.lexsort((mine, node))
+                self.order[t], mine = self.order[t][place], mine[place]
+                cuts[t] = (mine[middle - 1] + mine[np.minimum(middle, self.starts[1:] - 1)]) / 2
+            self.cuts.append(cuts)
+            self.starts = np.sort(np.concatenate([self.starts, middle]))
+
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """(query, tree, leaf): the sum of squared margins to the splits that part query and leaf."""
+        out = np.zeros((len(queries), self.trees, 1))
+        for normals, cuts in zip(self.normals, self.cuts):
+            margin = (queries @ normals.T)[:, :, None] - cuts
+            out = np.stack([out + np.maximum(margin, 0) ** 2, out + np.minimum(margin, 0) ** 2], -1).reshape(len(queries), self.trees, -1)
+        return out
+
+    def candidates(self, distances: np.ndarray, taken: float, wanted: int) -> np.ndarray:
+        """Rows of the highest credit after ``taken`` of the leaves were used, nearest first from all trees; ``distances`` are one query's."""
+        leaves, n = distances.shape[1], self.order.shape[1]
+        flat = distances.ravel()
+        last = min(len(flat) - 1, max(self.trees, int(taken * len(flat))))
+        used = np.argpartition(flat, last)[: last + 1]
+        limit = flat[used].max()
+        tree, leaf = used // leaves, used % leaves
+        sizes = self.starts[leaf + 1] - self.starts[leaf]
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(tree * n + self.starts[leaf] - first, sizes)
+        credit = np.bincount(self.order.ravel()[at], np.repeat(limit - flat[used] + 1e-12, sizes), n)
+        best = np.argpartition(-credit, min(wanted, n) - 1)[:wanted] if wanted < n else np.arange(n)
+        return best[credit[best] > 0]
+
+
+class Shard:
+    """A shard's rows and their forest."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, seed):
+        self.ids, self.points, self.norms = ids, points, np.sqrt((points * points).sum(1))
+        self.forest = Forest(points / self.norms[:, None], seed)
+
+
+def nearest(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, k: int, taken: float = TAKEN, reranked: float = RERANKED):
     """(query number, id, cosine) of the k best candidates of each query."""
-    norms, qnorms = np.sqrt((points * points).sum(1)), np.sqrt((queries * queries).sum(1))
-    unit, qunit = points / norms[:, None], queries / qnorms[:, None]
-    forest = Forest(unit, [SEED, *seed])
-    wanted = max(SEARCH_LEAST, int(SEARCH_SHARE * len(points)))
-    seen = np.full(len(points), -1)
+    qnorms = np.sqrt((queries * queries).sum(1))
+    wanted = max(LEAST * k, int(reranked * len(shard.ids)))
     out_q, out_i, out_s = [], [], []
-    for n in range(len(queries)):
-        if n % MARGINS == 0:
-            margins = qunit[n : n + MARGINS] @ forest.normals.T - forest.cuts[None, :]
-        rows = forest.candidates(margins[n % MARGINS], wanted, seen, n)
-        rows = rows[ids[rows] != query_ids[n]]
-        score = (points[rows] * queries[n]).sum(1) / (norms[rows] * qnorms[n])
-        best = np.lexsort((ids[rows], -score))[:k]
-        out_q.append(np.full(len(best), n)), out_i.append(ids[rows[best]]), out_s.append(score[best])
+    for at in range(0, len(queries), 64):
+        distances = shard.forest.distances(queries[at : at + 64] / qnorms[at : at + 64, None])
+        for n, own in enumerate(distances, at):
+            rows = shard.forest.candidates(own, taken, wanted)
+            rows = rows[shard.ids[rows] != query_ids[n]]
+            score = (shard.points[rows] * queries[n]).sum(1) / (shard.norms[rows] * qnorms[n])
+            best = np.lexsort((shard.ids[rows], -score))[:k]
+            out_q.append(np.full(len(best), n)), out_i.append(shard.ids[rows[best]]), out_s.append(score[best])
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the k nearest rows found.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     take no part, nor do rows without an id; repeated rows count once; rows of
-    the query's own id are not its candidates.  A shard of at most
-    ``SEARCH_LEAST`` rows is searched whole.
+    the query's own id are not its candidates; equal scores are told apart by
+    the smaller id.  All but ids and vectors is passed over, whatever its name.
+    An empty table, or one without queries, gives an empty result.
     """
-
-    def task(ids, points, query_ids, queries, bounds, seed):
-        return nearest(ids, points, query_ids, queries, seed, k)
-
     rows = finite(vectors).filter(F.exists("v", lambda x: x != 0))
-    return search(rows, F.col("vec_id") % every == 0, k, task, score="double", shard=8192)
+    build = lambda ids, points, key: Shard(ids, points, [seed, *key])
+    return search(rows, F.col("vec_id") % every == 0, k, build, lambda shard, ids, queries, bounds, k: nearest(shard, ids, queries, k), score="double")

@@ -1,8 +1,10 @@
-"""What the vector searches share: clean vectors, shards of rows and groups of queries.
+"""What the vector searches share: clean vectors and shards that queries stream past.
 
-A stated query set is searched against all rows in blocks: rows are dealt by
-hash into shards of a bounded size, queries into groups of a bounded size, and a
-task gets one shard and one group.
+A stated query set is searched against all rows in blocks.  Rows are dealt by
+hash into shards of a bounded size and shuffled once.  Each task gets a shard's
+rows first and its queries after them: it builds the shard's index from the rows
+and then searches one batch of queries after the other, so no index is built
+twice and no query set is held whole.
 """
 
 from __future__ import annotations
@@ -10,14 +12,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Rows of a shard and queries of a group, about.
+#: Rows of a shard, about: what a task holds at a time.
 SHARD = 16384
-GROUP = 4096
+#: Queries that are searched at a time.
+BLOCK = 512
+#: Later waves have so many times the shards of all waves before them.
+WAVE = 3
+#: Tasks of a wave, at most; beyond it a task takes several shards.
+MAX_TASKS = 100_000
 
 
 def finite(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -29,54 +37,84 @@ def finite(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False))).distinct()
 
 
-def search(rows: DataFrame, is_query: Column, k: int, task: Callable, tau: bool = False, shard: int = SHARD, group: int = GROUP, score: str = "long") -> DataFrame:
+def waves(shards: int) -> list[tuple[int, int]]:
+    """Spans of shards, each WAVE times as many as all before: the score reached so far is passed on after each."""
+    spans, at, size = [], 0, 1
+    while at < shards:
+        spans.append((at, min(shards, at + size)))
+        at += size
+        size = WAVE * at
+    return spans
+
+
+def search(rows: DataFrame, is_query: Column, k: int, build: Callable, ask: Callable, in_waves: bool = False, shard: int = SHARD, score: str = "long") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query, its own id left out.
 
-    ``task(ids, matrix, query_ids, queries, bounds, seed)`` searches one shard
-    for one group of queries and gives arrays (query number, id, score).
-    ``bounds`` has the kth score that a query reached on the first shard, which
-    is searched beforehand if ``tau`` is set; -inf where it has none.
-    Vectors of different lengths are not compared.
+    ``build(ids, matrix, key)`` makes the index of a shard; ``ask(index,
+    query_ids, queries, bounds, k)`` gives arrays (query number, id, score).
+    With ``in_waves`` the shards are searched a few at a time and ``bounds`` has
+    the kth score that a query reached in the waves before; -inf where it has
+    none.  Vectors of different lengths are not compared.
     """
-    rows = written(rows.withColumn("dim", F.size("v")), "vectors")
-    queries = rows.filter(is_query).withColumn("qkey", F.xxhash64("vec_id", "v"))
-    total, asked = rows.count(), queries.count()
-    shards, groups = max(1, -(-total // shard)), max(1, -(-asked // group))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    queries = queries.withColumn("grp", F.pmod(F.xxhash64("qkey", F.lit(1)), F.lit(groups)).cast("int"))
-
-    def run(first: int, last: int, asking: DataFrame) -> DataFrame:
-        left = rows.filter(F.col("shard").between(first, last)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        right = asking.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        right = right.toDF(*right.columns)  # columns of its own, though both sides come from one table
-        keys = ["dim", "shard", "grp"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block(task, score), f"qkey long, query_id long, vec_id long, score {score}")
-
-    asking = queries.withColumn("bound", F.lit(None).cast("double"))
-    if tau and shards > 1:
-        pilot = written(run(0, 0, asking), "vectors-pilot")
-        reached = pilot.groupBy("qkey").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).filter(F.col("n") >= k).select("qkey", "kth")
-        asking = queries.join(reached, "qkey", "left").withColumnRenamed("kth", "bound")
-        found = pilot.unionByName(run(1, shards - 1, asking))
-    else:
-        found = run(0, shards - 1, asking)
+    total = rows.count()
+    shards = max(1, -(-total // shard))
+    rows = written(rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")), "vectors")
+    queries = rows.filter(is_query).select("vec_id", "v", "dim", F.xxhash64("vec_id", "v").alias("qkey"))
+    schema = f"qkey long, query_id long, vec_id long, score {score}"
+
+    def run(first: int, end: int, bounds: DataFrame | None) -> DataFrame:
+        asked = queries.join(bounds, "qkey", "left") if bounds is not None else queries.withColumn("bound", F.lit(None).cast("double"))
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(end - 1)))).withColumn("asks", F.lit(True))
+        held = rows.filter(F.col("shard").between(first, end - 1)).withColumns({"qkey": F.lit(None).cast("long"), "bound": F.lit(None).cast("double"), "asks": F.lit(False)})
+        both = held.unionByName(asked).select("dim", "shard", "asks", "vec_id", "qkey", "bound", "v")
+        dealt = both.repartition(min(end - first, MAX_TASKS), "dim", "shard").sortWithinPartitions("dim", "shard", "asks", "vec_id", "qkey")
+        return dealt.mapInArrow(_stream(build, ask, k, score), schema)
+
     order = Window.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found, bounds = None, None
+    for first, end in waves(shards) if in_waves else [(0, shards)]:
+        now = run(first, end, bounds)
+        found = now if found is None else found.unionByName(now)
+        if end < shards:
+            found = written(best(found).drop("rank"), "vectors-best")
+            bounds = found.groupBy("qkey").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("bound")).filter(F.col("n") >= k).select("qkey", "bound")
+    return best(found).select("query_id", "rank", "vec_id", "score")
+
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
-def _block(task: Callable, score: str):
-    import pandas as pd
 
+def _stream(build: Callable, ask: Callable, k: int, score: str):
     kind = np.int64 if score == "long" else np.float64
 
-    def run(key, rows, asked):
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"qkey": [], "query_id": [], "vec_id": [], "score": []}).astype({"qkey": "int64", "query_id": "int64", "vec_id": "int64", "score": kind})
-        rows, asked = rows.sort_values("vec_id", kind="stable"), asked.sort_values(["vec_id", "qkey"], kind="stable")
-        ids, qids = rows["vec_id"].to_numpy(np.int64), asked["vec_id"].to_numpy(np.int64)
-        bounds = asked["bound"].astype(float).fillna(-np.inf).to_numpy()
-        q, found, scores = task(ids, np.stack(rows["v"].to_numpy()), qids, np.stack(asked["v"].to_numpy()), bounds, [int(x) for x in key])
-        return pd.DataFrame({"qkey": asked["qkey"].to_numpy(np.int64)[q], "query_id": qids[q], "vec_id": found, "score": scores.astype(kind)})
+    def run(batches):
+        key, ids, vectors, index = None, [], [], None
+        for whole in batches:
+            shards, asks = whole.column(1).to_numpy(), whole.column(2).to_numpy(zero_copy_only=False)
+            dims = whole.column(0).to_numpy()
+            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(dims) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(shards)]):
+                if a == b:
+                    continue
+                part, here = whole.slice(a, b - a), (int(dims[a]), int(shards[a]))
+                if here != key:
+                    key, ids, vectors, index = here, [], [], None
+                numbers = part.column(3).to_numpy()
+                if not asks[a]:
+                    ids.append(numbers), vectors.append(_matrix(part.column(6), here[0]))
+                    continue
+                if index is None and ids:
+                    index = build(np.concatenate(ids), np.concatenate(vectors), here)
+                    ids, vectors = [], []
+                if index is None:
+                    continue
+                qkeys, bounds = part.column(4).to_numpy(), part.column(5).to_numpy(zero_copy_only=False)
+                for at in range(0, b - a, BLOCK):
+                    span = slice(at, min(at + BLOCK, b - a))
+                    own, limits = numbers[span], np.nan_to_num(bounds[span].astype(np.float64), nan=-np.inf)
+                    q, near, scores = ask(index, own, _matrix(part.column(6).slice(at, len(own)), here[0]), limits, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qkeys[span][q]), pa.array(own[q]), pa.array(near), pa.array(np.asarray(scores, kind))], ["qkey", "query_id", "vec_id", "score"])
 
     return run

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tessera.llm import balltree, queries, rpforest
@@ -38,17 +40,18 @@ def test_top_k_is_exact(spark):
     assert sorted(map(tuple, balltree.maximum_inner_product(df).collect())) == brute_ip(rows)
 
 
-def test_top_k_over_several_shards_and_groups(spark):
+def test_top_k_over_several_shards_and_waves(spark):
     rows = table_of(np.random.default_rng(1), 600)
     df = balltree.quantized(spark.createDataFrame(rows, SCHEMA))
+    build = lambda ids, points, key: balltree.Shard(ids, points, 8)
+    got = V.search(df, F.col("vec_id") % 20 == 0, 10, build, balltree.top_k, in_waves=True, shard=40)
+    assert sorted(map(tuple, got.collect())) == brute_ip(rows, every=20)
 
-    def task(ids, points, query_ids, queries_, bounds, seed):
-        return balltree.top_k(ids, points, query_ids, queries_, bounds, 10)
-
-    from pyspark.sql import functions as F
 
-    got = V.search(df, F.col("vec_id") % 20 == 0, 10, task, tau=True, shard=100, group=7)
-    assert sorted(map(tuple, got.collect())) == brute_ip(rows, every=20)
+def test_waves_cover_all_shards_once():
+    for n in (1, 2, 4, 5, 16, 17, 1000):
+        assert [i for a, b in V.waves(n) for i in range(a, b)] == list(range(n))
+    assert len(V.waves(60_000)) < 10
 
 
 def test_few_rows_and_none(spark):
@@ -61,7 +64,8 @@ def test_few_rows_and_none(spark):
 
 def test_large_components_stay_exact():
     points = np.array([[2.0**29, 1.0], [2.0**29, 2.0], [1.0, 1.0]])
-    q, i, s = balltree.top_k(np.array([1, 2, 3]), points, np.array([9]), points[:1].copy(), np.array([-np.inf]), 2)
+    shard = balltree.Shard(np.array([1, 2, 3]), points)
+    q, i, s = balltree.top_k(shard, np.array([9]), points[:1].copy(), np.array([-np.inf]), 2)
     assert list(i) == [2, 1]
 
 
@@ -74,6 +78,23 @@ def test_ball_bounds_hold():
         assert (upper[:, node] >= (queries_ @ tree.points[a:b].T).max(1)).all()
 
 
+def clustered(rng, n, dim=64, groups=60, spread=0.05):
+    centres = rng.standard_normal((groups, dim))
+    return centres[rng.integers(0, groups, n)] + spread * rng.standard_normal((n, dim))
+
+
+def test_ball_tree_prunes_where_rows_cluster():
+    """A tenth of the leaves is opened of clustered rows; of rows without any structure in 64 dimensions nearly all are."""
+    rng = np.random.default_rng(7)
+    points = np.floor(1024 * clustered(rng, 8000))
+    shard = balltree.Shard(np.arange(8000), points)
+    q, i, s = balltree.top_k(shard, np.arange(50), points[:50], np.full(50, -np.inf), 10)
+    assert shard.opened <= 0.1 * shard.leaves * shard.asked
+    whole = points[:50] @ points.T
+    whole[np.arange(50), np.arange(50)] = -np.inf
+    assert (s.reshape(50, 10) == -np.sort(-whole, axis=1)[:, :10]).all()
+
+
 def recall(rows, got, k=5, every=50):
     good = [(i, np.array(v)) for i, v, _ in rows]
     ids, m = np.array([i for i, _ in good]), np.stack([v for _, v in good])
@@ -113,18 +134,49 @@ def test_queries_on_table(spark):
     assert recall(rows, by) >= 0.9
 
 
-def test_forest_recall_of_64_dimensions(spark):
-    """More rows than are searched whole: the table at sf0.1, and a full shard."""
-    large = "/root/testdata/sf0.1"
-    rows = [(r.vec_id, list(r.embedding), "") for r in spark.read.parquet(f"{large}/embeddings.parquet").collect()]
-    by = {}
-    for r in queries.op9_neighbours(spark, large).collect():
-        by.setdefault(r.query_id, set()).add(r.vec_id)
-    assert len(rows) > rpforest.SEARCH_LEAST and recall(rows, by) >= 0.9
-    points, ids = np.random.default_rng(4).standard_normal((8192, 64)), np.arange(8192)
-    asked = ids % 50 == 0
-    q, found, _ = rpforest.nearest(ids, points, ids[asked], points[asked], [0], 5)
-    by = {}
-    for n, i in zip(ids[asked][q], found):
-        by.setdefault(n, set()).add(i)
-    assert recall([(i, v, "") for i, v in enumerate(points)], by) >= 0.9
+def forest_recall(points, asked, seed, shards=1, k=5):
+    """Recall of the forest over ``shards`` shards, and the share of rows reranked."""
+    ids, found, scored = np.arange(len(points)), {}, 0
+    for part in range(shards):
+        mine = ids[ids % shards == part]
+        shard = rpforest.Shard(mine, points[mine], [seed, part])
+        scored += max(rpforest.LEAST * k, int(rpforest.RERANKED * len(mine)))
+        for n, i, s in zip(*rpforest.nearest(shard, asked, points[asked], k)):
+            found.setdefault(n, []).append((-s, i))
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    cos = unit[asked] @ unit.T
+    cos[np.arange(len(asked)), asked] = -2
+    kth = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
+    hits = sum(cos[n, i] >= kth[n] for n, got in found.items() for _, i in sorted(got)[:k])
+    return hits / (k * len(asked)), scored / len(points)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_forest_recall_with_every_row_a_query(spark, seed):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    points = np.array([r.embedding for r in rows], float)
+    got, scored = forest_recall(points, np.arange(len(points)), seed)
+    assert got >= 0.9 and scored <= 0.1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_forest_recall_over_several_shards(seed):
+    """Without any structure in 64 dimensions, which is hardest."""
+    points = np.random.default_rng(seed).standard_normal((24_000, 64))
+    got, scored = forest_recall(points, np.arange(0, 24_000, 240), seed, shards=3)
+    assert got >= 0.9 and scored <= 0.06
+
+
+def test_search_streams_several_shards_and_dims(spark):
+    rng = np.random.default_rng(5)
+    rows = table_of(rng, 400) + [(10_000 + i, v, "x") for i, v, _ in table_of(rng, 300, 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = lambda shard, ids, queries, bounds, k: rpforest.nearest(shard, ids, queries, k, 1.0, 1.0)
+    got = V.search(rpforest.finite(df), F.col("vec_id") % 50 == 0, 5, lambda ids, p, key: rpforest.Shard(ids, p, 1), whole, shard=60, score="double").collect()
+    for dim, low in ((16, 0), (8, 10_000)):
+        mine = [r for r in rows if len(r[1]) == dim]
+        by = {}
+        for r in got:
+            if (r.query_id >= 10_000) == (low == 10_000):
+                by.setdefault(r.query_id, set()).add(r.vec_id)
+        assert recall(mine, by) == 1.0
