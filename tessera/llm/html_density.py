@@ -1,17 +1,20 @@
 """Main-text extraction by composite text density.
 
 Each DOM node has characters C, tags T, linked characters LC and linked tags LT
-of its subtree.  Its density is C / T, adjusted for links:
+of its subtree; tags that only mark up words are not counted.  Its density is
+C / T, adjusted for links:
 
     (C / T) * log_b((C / LC') * (T / LT')),  b = ln(C / (C - LC)' * LC + LCb / Cb * C + e)
 
 with primes for "at least 1" and LCb / Cb the link share of the body.  A node's
-density sum adds the densities of its children.  The threshold is the least
-density on the path from the node with the largest sum up to the body; of the
-nodes that reach it, walking down from the body, the subtree with the largest
-sum is the main text.  Parts that are not the article by their element or by
-their class, id or role never count and are never printed, unless they hold the
-page's articles or most of its unlinked text (``_settle``).
+density sum adds the densities of its children.  Of the blocks that hold blocks,
+the subtree with the largest sum is the main one; the threshold is the least
+density on its path from the body.  Walking down that path from the body, what
+lies beside the path belongs to the text too if it reaches the threshold and is
+no small part, or stands in the same article.  Menus are left out by their
+links.  Elements, classes, ids and roles are hints: a part that they name as
+something beside the article weighs half in the choice, and is left out unless
+it holds the chosen subtree or, where no article is marked up, most of the text.
 """
 
 from __future__ import annotations
@@ -41,6 +44,13 @@ ASIDE = frozenset("nav footer aside form menu fieldset".split())
 BLOCK = frozenset(
     "html body article section main header footer aside nav div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure address details summary hr form fieldset hgroup center".split()
 )
+#: They mark up words within a block and are not counted as tags.
+PHRASE = frozenset("b i em strong u s small big font span br wbr sup sub mark abbr cite q code kbd samp var time data bdi bdo ins del dfn tt strike acronym".split())
+#: Blocks of text, which a class or id does not take out of an article.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption figcaption figure a".split()) | PHRASE
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class, id or role of what readers write.
+READERS = frozenset("comment comments disqus respond reply replies".split())
 CLOSES_P = BLOCK - {"html", "body", "thead", "tbody", "tfoot", "tr", "caption", "li", "dt", "dd"}
 #: Words of a class, id or role that name a part beside the article; a token counts if its other words are of PLAIN.
 BESIDE = frozenset(
@@ -57,12 +67,12 @@ PLAIN = frozenset(
 class Node:
     """An element: its children are nodes and strings in page order."""
 
-    __slots__ = ("c", "children", "density", "lc", "linked", "lt", "marked", "name", "parent", "skip", "sum", "t")
+    __slots__ = ("c", "children", "density", "lc", "linked", "lt", "marked", "name", "parent", "readers", "skip", "sum", "t")
 
     def __init__(self, name: str, parent: Node | None, skip: bool):
         self.name, self.parent, self.skip, self.children = name, parent, skip, []
         self.c = self.t = self.lc = self.lt = 0
-        self.linked = self.marked = False
+        self.linked = self.marked = self.readers = False
         self.density = self.sum = 0.0
 
 
@@ -116,7 +126,10 @@ def parse(page: str) -> Node:
                 node = node.parent
             shut(node.parent)
         node = Node(name, here, here.skip or name in SKIP or _hidden(name, m.group(3)))
-        node.marked = name in ASIDE or _beside(name, m.group(3)) or (name == "header" and not (open_names.get("article") or open_names.get("main")))
+        inside = open_names.get("article") or open_names.get("main")
+        named = not (inside and name in TEXT) and _beside(name, m.group(3))
+        node.marked = name in ASIDE or bool(named) or (name == "header" and not inside)
+        node.readers = named == "readers"
         here.children.append(node)
         if name not in VOID and not m.group(3).rstrip().endswith("/"):
             here = node
@@ -134,60 +147,24 @@ def _hidden(name: str, attributes: str) -> bool:
     return "hidden" in low and name not in ("html", "body", "article", "main") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", low))
 
 
-def _beside(name: str, attributes: str) -> bool:
+def _beside(name: str, attributes: str) -> str:
+    """What class, id and role say of a part beside the article: 'readers', 'beside' or nothing."""
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return ""
     low = attributes.lower()
     if "class" not in low and "id" not in low and "role" not in low:
-        return False
-    tokens = (t for m in _MARK.finditer(low) for t in (m.group(1) or m.group(2) or m.group(3) or "").split())
-    return any(_names_beside(t) for t in tokens)
+        return ""
+    found = {_names_beside(t) for m in _MARK.finditer(low) for t in (m.group(1) or m.group(2) or m.group(3) or "").split()}
+    return "readers" if "readers" in found else "beside" if "beside" in found else ""
 
 
 @lru_cache(65_536)
-def _names_beside(token: str) -> bool:
+def _names_beside(token: str) -> str:
     """Whether a class, id or role names a part beside the article: sidebar-left and cookie-notice do, has-sidebar, ad-free and menu-open do not."""
     words = _SPLIT.split(token)
-    return any(w in BESIDE for w in words) and all(w in BESIDE or w in PLAIN for w in words)
-
-
-def _settle(body: Node) -> None:
-    """Skips the marked parts, except those that hold the article themselves.
-
-    A marked part without another article or main beside it stays if it holds
-    one or most of the unlinked text of the page; parts marked inside it are
-    then looked at in the same way.
-    """
-    nodes = list(_nodes(body))
-    if not any(x.marked for x in nodes):
-        return
-    unlinked, articles = {}, {}
-    for x in nodes:
-        x.linked = x is not body and (x.parent.linked or x.name == "a")
-    for x in reversed(nodes):
-        below = [y for y in x.children if isinstance(y, Node) and not y.skip]
-        own = 0 if x.linked else sum(len(_SPACE.sub(" ", y).strip()) for y in x.children if isinstance(y, str))
-        unlinked[x] = own + sum(unlinked[y] for y in below)
-        articles[x] = sum(articles[y] for y in below) + (x.name in ("article", "main") and unlinked[x] > 0)
-    met, waiting, freed = 0, [], [(body, 0)]
-    while freed:
-        stack = freed
-        while stack:
-            x, around = stack.pop()
-            here = x.name in ("article", "main") and unlinked[x] > 0
-            met, around = met + here, around + here
-            for y in x.children:
-                if isinstance(y, Node) and not y.skip:
-                    (waiting if y.marked else stack).append((y, around))
-        freed, waiting_still = [], []
-        for x, around in waiting:
-            holds = met == around and (articles[x] or 2 * unlinked[x] > unlinked[body])
-            (freed if holds else waiting_still).append((x, around))
-        waiting = waiting_still if freed else waiting
-        for x, _ in freed:
-            x.marked = False
-    for x, _ in waiting:
-        x.skip = True
+    if not (any(w in BESIDE for w in words) and all(w in BESIDE or w in PLAIN for w in words)):
+        return ""
+    return "readers" if any(w in READERS for w in words) else "beside"
 
 
 def _measure(body: Node) -> list[Node]:
@@ -201,7 +178,7 @@ def _measure(body: Node) -> list[Node]:
         node.lc += n if node.linked else 0
         if node is not body:
             up = node.parent
-            up.c, up.t = up.c + node.c, up.t + node.t + 1
+            up.c, up.t = up.c + node.c, up.t + node.t + (node.name not in PHRASE)
             up.lc, up.lt = up.lc + node.lc, up.lt + node.lt + (node.name == "a")
     return nodes
 
@@ -224,10 +201,33 @@ def _nodes(node: Node):
         stack += [x for x in reversed(node.children) if isinstance(x, Node) and not x.skip]
 
 
+def _children(node: Node) -> list[Node]:
+    return [x for x in node.children if isinstance(x, Node) and not x.skip]
+
+
+def _menu(node: Node) -> bool:
+    """A block whose text is links, three of them or more."""
+    return node.lt >= 3 and 5 * node.lc >= 4 * node.c
+
+
+def _choose(body: Node, nodes: list[Node]) -> Node:
+    """Of the blocks that hold blocks the one with the largest density sum; parts beside the article weigh half, readers' parts count only if there is nothing else."""
+    weight = {body: 1.0}
+    for x in nodes:
+        if x is not body:
+            weight[x] = 0.0 if x.readers else weight[x.parent] * (0.5 if x.marked and weight[x.parent] == 1 else 1.0)
+    best, most = body, (-1.0, -1.0)
+    for x in nodes:
+        if x.name in BLOCK and any(y.name in BLOCK for y in _children(x)):
+            rank = (weight[x] * x.sum, x.sum if not weight[x] else 0.0)
+            if rank > most:
+                best, most = x, rank
+    return best
+
+
 def main_node(root: Node) -> Node | None:
-    """The subtree with the largest density sum among those that reach the path threshold."""
+    """The node that holds the main text; what does not belong to it is skipped from then on."""
     body = next((x for x in _nodes(root) if x.name == "body"), root)
-    _settle(body)
     nodes = _measure(body)
     if not body.c:
         return None
@@ -235,22 +235,55 @@ def main_node(root: Node) -> Node | None:
     for x in nodes:
         x.density = _density(x, share)
     for x in nodes:
-        x.sum = sum(y.density for y in x.children if isinstance(y, Node) and not y.skip)
-    best = max(nodes, key=lambda x: x.sum)
-    if best.sum <= 0:
-        return body
-    least, x = best.density, best
-    while x is not body:
-        x = x.parent
-        least = min(least, x.density)
-    # walking down: text outside the chosen subtree, but in the same article, belongs to it
-    chosen = max((x for x in nodes if x.density >= least and x.sum > 0), key=lambda x: x.sum, default=body)
-    x = chosen
-    while x is not body:
-        if x.name in ("article", "main"):
-            chosen = x
-        x = x.parent
-    return chosen
+        x.sum = sum(y.density for y in _children(x))
+    best = _choose(body, nodes)
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    path.reverse()
+    least = min(x.density for x in path)
+    scope, inside = None, False
+    for x, below in zip(path, path[1:]):
+        inside = inside or x.name in ("article", "main")
+        kept = [y for y in _children(x) if y is below or _belongs(y, below, best, least, inside)]
+        if len(kept) > 1 and scope is None:
+            scope = x
+        for y in _children(x):
+            y.skip = y not in kept
+    scope = scope or best
+    on_path, stack = set(path), [scope]
+    articles = _articles(scope, on_path)
+    while stack:
+        x = stack.pop()
+        for y in _children(x):
+            holds = y in on_path or (not articles and not y.readers and 2 * (y.c - y.lc) > scope.c - scope.lc)
+            y.skip = not holds and (y.marked or (y.name in BLOCK and _menu(y)))
+            if not y.skip:
+                stack.append(y)
+    return scope
+
+
+def _articles(scope: Node, on_path: set[Node]) -> bool:
+    """Is there an article with text outside the parts that are named as beside it?"""
+    stack = [scope]
+    while stack:
+        x = stack.pop()
+        if x.name in ("article", "main") and x.c:
+            return True
+        stack += [y for y in _children(x) if y in on_path or not y.marked]
+    return False
+
+
+def _belongs(x: Node, below: Node, best: Node, least: float, inside: bool) -> bool:
+    """Does ``x``, beside the path that goes on with ``below``, belong to the text?"""
+    if x.marked or not x.c or _menu(x):
+        return False
+    if inside or (x.density >= least and 5 * x.c >= best.c and 2 * x.lc < x.c):
+        return True
+    if x.name not in HEADINGS or x.lc:
+        return False
+    beside = [y for y in _children(x.parent) if y is below or y.c]
+    return beside.index(below) - beside.index(x) == 1 and not any(y.name in ("h1", x.name) for y in _nodes(below))
 
 
 def _blocks(node: Node) -> list[list[str]]:
@@ -291,10 +324,6 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-#: No page needs another way; the name that callers used while deep pages did.
-_safe = main_text
-
-
 def _text_batches(batches):
     for whole in batches:
         for batch in pieces(whole):
@@ -305,8 +334,11 @@ def _text_batches(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
 
-    A null or empty page has an empty text; null ids and URLs and repeated rows
-    are returned as they are.
+    A null or empty page, and one without text, has an empty text; null ids and
+    URLs and repeated rows are returned as they are.  Whole pages are read,
+    however long or deep.  Of equal density sums the first in page order
+    counts.  Columns besides the three, whatever their names, play no part; an
+    empty table gives an empty result.
     """
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return narrow.mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")

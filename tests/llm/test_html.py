@@ -38,7 +38,7 @@ def test_odd_pages():
     assert H.main_text("a < b and c > d") == "a < b and c > d"
     assert H.main_text("</div></p><p>x") == "x"
     assert H.main_text("<p>one<br>two</p><p>one<br>two</p>") == "one two\n\none two"
-    assert "deep" in H._safe("<div>" * 20_000 + "deep" + "</div>" * 20_000)
+    assert "deep" in H.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000)
     assert len(H.main_text("<p>" + "word " * 200_000 + "</p>")) == 999_999
 
 
@@ -92,3 +92,68 @@ def test_marks_do_not_drop_the_article():
     assert H.main_text(kept) == f"{text}\n\nCaption\n\nx"
     for name in ("noscript", "object", "svg", "dialog"):
         assert H.main_text(f"<article><p>{text}</p><{name}>words</{name}></article>") == f"{text}\n\nwords"
+
+
+LONG = "Many words stand in this paragraph of the text, and they go on for a while so that it is dense. " * 3
+UNMARKED = (
+    "<body><div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Shop</a></li><li><a href=4>Help</a></li></ul></div>"
+    "<div><p>Buy now.</p><p>Only today.</p></div>"
+    f"<div><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>"
+    "<div><p>Imprint</p><p>All rights reserved.</p></div></body>"
+)
+
+
+def test_density_alone_decides_pages_without_hints(monkeypatch):
+    want = "\n\n".join(["Title", LONG.strip(), "Short one.", LONG.strip()])
+    assert H.main_text(UNMARKED) == want
+    assert H.main_text(UNMARKED.replace("<body>", "<body><div>").replace("</body>", "</div></body>")) == want
+    values = iter([0.5, 0.9, 0.1, 0.7, 0.3] * 1000)
+    monkeypatch.setattr(H, "_density", lambda node, share: next(values))
+    assert H.main_text(UNMARKED) != want
+
+
+def test_random_densities_change_the_table(spark, monkeypatch):
+    import random
+
+    pages = [r.html for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/pages.parquet").collect()]
+    right = [H.main_text(p) for p in pages]
+    rng = random.Random(3)
+    monkeypatch.setattr(H, "_density", lambda node, share: rng.random())
+    assert sum(a != H.main_text(p) for a, p in zip(right, pages)) > 0
+
+
+def test_menu_in_the_text_goes_by_its_links():
+    menu = "<ul><li><a href=1>One thing</a></li><li><a href=2>Other thing</a></li><li><a href=3>Third thing</a></li></ul>"
+    for tag in ("main", "article", "div"):
+        assert H.main_text(f"<body><{tag}>{menu}<p>{LONG}</p><p>{LONG}</p></{tag}></body>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+    listed = "<ul><li>One thing</li><li>Other <a href=2>thing</a></li></ul>"
+    assert "Other thing" in H.main_text(f"<body><main>{listed}<p>{LONG}</p></main></body>")
+
+
+def test_words_of_a_class_take_nothing_out_of_an_article():
+    for fragment, text in (
+        ("<h2 id='search'>Search</h2>", "Search"), ("<p class='notice'>Notice this.</p>", "Notice this."), ("<section id='related-work'><p>Related work.</p></section>", "Related work."),
+        ("<div class='side-effects'><p>Side effects.</p></div>", "Side effects."), ("<figure><figcaption>A caption.</figcaption></figure>", "A caption."), ("<math><mi>x</mi></math>", "x"),
+        ("<section><h2>Last</h2><p>A line.</p></section>", "Last\n\nA line."), ("<p><a href=1>A linked line</a></p>", "A linked line"),
+    ):
+        for before, after in ((f"<p>{LONG}</p>", ""), ("", f"<p>{LONG}</p>")):
+            got = H.main_text(f"<body><nav><a href=1>x</a></nav><article>{before}{fragment}{after}</article><footer>me</footer></body>")
+            assert got == "\n\n".join(x for x in (LONG.strip() if before else "", text, LONG.strip() if after else "") if x)
+
+
+def test_sections_and_wrappers_stay_together():
+    parts = f"<section><h2>One</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>Two</h2><p>{LONG}</p></section><section><p>The end.</p></section>"
+    want = ["One", LONG.strip(), LONG.strip(), "Two", LONG.strip(), "The end."]
+    assert H.main_text(f"<body><article><h1>T</h1>{parts}</article><div class=ad>Buy</div></body>") == "\n\n".join(["T", *want])
+    assert H.main_text(f"<body><div><div>{parts}</div></div><div>Other words</div></body>") == "\n\n".join(want[:-1])
+    assert H.main_text(f"<body><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div>me</div></body>") == "\n\n".join(["Title", LONG.strip(), LONG.strip()])
+
+
+def test_readers_do_not_win_by_length():
+    replies = "".join(f"<article><p>{LONG}</p><p>{LONG}</p></article>" for _ in range(8))
+    assert H.main_text(f"<body><article><p>{LONG}</p><p>Short.</p></article><section id=comments>{replies}</section></body>") == f"{LONG.strip()}\n\nShort."
+
+
+def test_deep_pages_without_hints():
+    deep = "<div>" * 5000 + f"<p>{LONG}</p><p>{LONG}</p>" + "</div>" * 5000
+    assert H.main_text(f"<body><div><p>Aside words</p></div>{deep}<div>me</div></body>") == f"{LONG.strip()}\n\n{LONG.strip()}"
