@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,14 @@ def pieces(batch, size: int = 256):
     """Slices of an Arrow batch, so that only a few texts are Python objects at a time."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
+
+
+def by_bytes(batch, column: int, most: int):
+    """Slices of an Arrow batch whose texts have at most ``most`` bytes together (one text may have more)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, upto = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -1,12 +1,13 @@
 """Best-fit packing of token sequences with a grouping genetic algorithm.
 
 Texts are tokenized whole, once; only lengths travel on.  Pieces of a full
-sequence's length stand alone, the others are dealt by hash into shards of a
-bounded size.  On each shard several islands evolve populations of packings:
-crossover injects whole well-filled bins of one parent into the other, bins that
-hold a duplicate are removed and their displaced pieces placed by best fit,
-largest first.  Between epochs each island's elite migrates to the next island;
-at the end the best packing of each shard is taken.
+sequence's length stand alone, the others are dealt by a row number into shards
+of a bounded size.  On each shard several islands evolve populations of
+packings, which start from pieces in random order: crossover injects whole
+well-filled bins of one parent into the other, bins that hold a duplicate are
+removed and their displaced pieces placed by best fit, largest first.  Between
+epochs each island's elite migrates to the next island; at the end the best
+packing of each shard is taken.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, written
+from tessera.llm.common import by_bytes, written
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -35,13 +37,16 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 SHARD = 32768
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 3
+GENERATIONS = 5
 POPULATION = 4
 SEED = 29
 #: Tasks of a stage that evolves islands, at most; beyond it a task takes several.
 MAX_TASKS = 100_000
-#: Words whose ids a worker keeps; as many that it met before stay at hand.
-CACHE = 250_000
+#: Words whose ids a worker keeps, none longer than WORD_BYTES; as many that it met before stay at hand.
+CACHE = 100_000
+WORD_BYTES = 32
+#: Bytes of text that are worked on at a time (or one text).
+CHUNK = 4 << 20
 _CACHES: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
@@ -51,7 +56,7 @@ class WordTokenizer:
     The vocabulary drops white space and joins nothing across it, so a text's
     ids are those of its words one after the other.  Words are kept in lower
     case (the vocabulary's own first step) with their ids; unknown ones are
-    encoded together, a batch at a time.  Texts that may hold a special token's
+    encoded together, a chunk at a time.  Texts that may hold a special token's
     string, which is told apart by case, are encoded as they stand.
     """
 
@@ -59,6 +64,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.coded = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.cache, self.old = _CACHES.setdefault(path, ({}, {}))
 
     def _whole(self, text: bytes) -> bytes:
@@ -67,14 +74,17 @@ class WordTokenizer:
     def _plain(self, word: bytes) -> bytes | None:
         """Ids of a word of lower-case letters only: the vocabulary's first steps leave it as it is, so its model is asked at once."""
         text = word.decode("utf-8", "replace")
-        if not text.isalpha() or text != text.lower() or not (text.isascii() or is_normalized("NFC", text)):
+        if not text.isalpha():
             return None
-        shown = text if text.isascii() else word.decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if not word.isascii():
+            if text != text.lower() or not is_normalized("NFC", text):
+                return None
+            text = word.decode("latin-1").translate(BYTE_LETTERS)
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(text)])
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Puts the ids of ``words`` into the cache, from what it held before or by encoding them.
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of ``words``, which the cache does not hold.
 
         Marks after a letter are encoded apart, as the vocabulary does, so a
         word is encoded once whatever follows it.  What is no plain word is
@@ -85,61 +95,83 @@ class WordTokenizer:
             old.clear()
             old.update(cache)
             cache.clear()
-        ends, new, asked = {}, set(), set()
+        ends, new, asked, found = {}, [], [], {}
         for w in words:
-            if w in old:
-                cache[w] = old[w]
+            ids = old.get(w)
+            if ids is not None:
+                found[w] = ids
                 continue
             bare = w.rstrip(MARKS)
             if len(bare) < len(w) and bare[-1:].isalpha():
                 ends[w] = (bare, w[len(bare) :])
-                asked.update(ends[w])
+                asked += ends[w]
             else:
-                asked.add(w)
-        for w in asked:
-            if w not in cache:
-                ids = self._plain(w)
+                asked.append(w)
+        for w in dict.fromkeys(asked):
+            if w not in found:
+                ids = cache.get(w)
+                ids = self._plain(w) if ids is None else ids
                 if ids is None:
-                    new.add(w)
+                    new.append(w)
                 else:
-                    cache[w] = ids
+                    found[w] = ids
         if new:
-            listed = sorted(new)
-            texts = [w.decode("utf-8", "replace") for w in listed]
+            texts = [w.decode("utf-8", "replace") for w in sorted(new)]
             got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.asarray(got.ids, "<u4").tobytes()
             begin = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids) // 4)
             starts = np.cumsum([0] + [len(x) + 1 for x in texts])
             cuts = (4 * np.searchsorted(begin, starts)).tolist()
-            for w, a, b in zip(listed, cuts, cuts[1:]):
-                cache[w] = ids[a:b]
+            for w, a, b in zip(sorted(new), cuts, cuts[1:]):
+                found[w] = ids[a:b]
         for w, (bare, tail) in ends.items():
-            cache[w] = cache[bare] + cache[tail]
+            found[w] = found[bare] + found[tail]
+        cache.update((w, ids) for w, ids in found.items() if len(w) <= WORD_BYTES)
+        return found
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        get = self.cache.get
-        found = [None if words is None else list(map(get, words)) for words in split]
-        lacking = [i for i, ids in enumerate(found) if ids is not None and None in ids]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text and a final 0.
+
+        Each different word of the texts is looked up once; ids are then laid
+        out by its number.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = pc.find_substring(texts, "<|").to_numpy(zero_copy_only=False) >= 0
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.cache.get, words))
+        lacking = [w for w, ids in zip(words, found) if ids is None]
         if lacking:
-            self._learn({w for i in lacking for w, ids in zip(split[i], found[i]) if ids is None})
-            for i in lacking:
-                found[i] = [self.cache[w] if ids is None else ids for w, ids in zip(split[i], found[i])]
-        return [self._whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found)]
+            learnt = self._learn(lacking)
+            found = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known = np.frombuffer(b"".join(found) + END, "<u4")
+        sizes = np.append(sizes, 1)  # the last stands for the end of a text
+        starts = np.cumsum(sizes) - sizes
+        bounds = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+        which = np.insert(numbered.indices.to_numpy(zero_copy_only=False), bounds[1:], len(words))
+        n = sizes[which]
+        upto = np.cumsum(n)
+        ids = known[np.repeat(starts[which] - (upto - n), n) + np.arange(upto[-1])]
+        ends = upto[bounds[1:] + np.arange(len(texts))]
+        out = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(special):
+            out[i] = np.frombuffer(self._whole(texts[i].as_py().encode()) + END, "<u4")
+        return out
 
 
 def _piece_batches(path: str, capacity: int):
     def run(batches):
         tokenizer = WordTokenizer(path)
         for whole in batches:
-            for batch in pieces(whole):
-                ids = tokenizer.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            for batch in by_bytes(whole, 1, CHUNK):
                 out: list[tuple] = []
-                for doc_id, got in zip(batch.column(0).to_pylist(), ids):
-                    got += END
-                    for piece, at in enumerate(range(0, len(got), 4 * capacity)):
-                        part = got[at : at + 4 * capacity]
-                        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1))):
+                    for piece, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        out.append((doc_id, piece, at, len(part), zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
@@ -177,97 +209,104 @@ def best_fit(lengths: list[int], order: list[int], bins: list[list[int]], capaci
         mask |= 1 << free
 
 
-def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
+def fitness(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (mean squared fill)."""
-    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.float64) / capacity
+    fill = np.bincount(placed(bins, len(lengths)), lengths, len(bins)) / capacity
     return -len(bins), float((fill**2).mean()) if len(bins) else 0.0
 
 
-def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], rng: np.random.Generator, capacity: int) -> list[list[int]]:
-    """``a`` with a third of ``b``'s well-filled bins injected whole, and a few of its worst bins dissolved."""
-    fill = np.array([sum(lengths[i] for i in x) for x in b])
+def placed(bins: list[list[int]], n: int) -> np.ndarray:
+    """The bin of each item."""
+    where = np.empty(n, np.int64)
+    where[np.fromiter((i for x in bins for i in x), np.int64, n)] = np.repeat(np.arange(len(bins)), [len(x) for x in bins])
+    return where
+
+
+def crossover(lengths: np.ndarray, a: list[list[int]], b: list[list[int]], rng: np.random.Generator, capacity: int) -> list[list[int]]:
+    """``a`` with a third of ``b``'s well-filled bins, those of the fewest items, injected whole, and the emptiest of its other bins, from two fifths to all of them, dissolved."""
+    n = len(lengths)
+    in_a, in_b = placed(a, n), placed(b, n)
+    fill = np.bincount(in_b, lengths, len(b))
     good = np.nonzero(fill >= 0.98 * capacity)[0]
     if not len(good):
         good = np.argsort(-fill, kind="stable")[: max(1, len(b) // 4)]
-    taken = rng.permutation(good)[: max(1, len(good) // 3)]
-    injected = [b[i] for i in taken]
-    have = {i for x in injected for i in x}
-    kept, displaced = [], []
-    for x in a:
-        (displaced if any(i in have for i in x) else kept).append(x)
-    loose = [i for x in displaced for i in x if i not in have]
-    free = np.array([capacity - sum(lengths[i] for i in x) for x in kept])
-    worst = set(np.argsort(-free, kind="stable")[: max(1, len(kept) // 50)].tolist())
-    loose += [i for k in worst for i in kept[k]]
-    child = injected + [list(x) for k, x in enumerate(kept) if k not in worst]
-    child = [list(x) for x in child]
-    best_fit(lengths, sorted(loose, key=lambda i: (-lengths[i], i)), child, capacity)
+    # bins of few large items first: small ones still fill gaps elsewhere
+    items = np.bincount(in_b, minlength=len(b))[good] + rng.random(len(good))
+    taken = np.sort(good[np.argsort(items)[: max(1, len(good) // 3)]])
+    have = np.isin(in_b, taken)
+    free = capacity - np.bincount(in_a, lengths, len(a))
+    free[in_a[have]] = -1  # they hold a duplicate
+    gone = free < 0
+    gone[np.argsort(-free, kind="stable")[: max(1, int((~gone).sum() * rng.uniform(0.4, 1)))]] = True
+    loose = np.flatnonzero(gone[in_a] & ~have)
+    child = [list(b[i]) for i in taken] + [list(a[i]) for i in np.flatnonzero(~gone)]
+    best_fit(lengths.tolist(), loose[np.argsort(-lengths[loose], kind="stable")].tolist(), child, capacity)
     return child
 
 
-def first_packing(lengths: list[int], rng: np.random.Generator | None, capacity: int) -> list[list[int]]:
-    """Best fit decreasing; with ``rng``, of lengths shaken by a few hundredths."""
-    keys = np.array(lengths, np.float64)
-    if rng is not None:
-        keys = keys * (1 + 0.06 * rng.random(len(keys)))
+def first_packing(lengths: np.ndarray, rng: np.random.Generator, capacity: int) -> list[list[int]]:
+    """Best fit of the items in random order."""
     bins: list[list[int]] = []
-    best_fit(lengths, np.argsort(-keys, kind="stable").tolist(), bins, capacity)
+    best_fit(lengths.tolist(), rng.permutation(len(lengths)).tolist(), bins, capacity)
     return bins
 
 
-def evolve(lengths: list[int], population: list[list[list[int]]], rng: np.random.Generator, capacity: int, size: int = POPULATION, generations: int = GENERATIONS) -> list[list[list[int]]]:
-    """Steady-state evolution; the best packing comes first.  Stops early at the lower bound on bins."""
-    bound = -(-sum(lengths) // capacity)
-    rated = sorted(((fitness(lengths, x, capacity), x) for x in population), key=lambda r: r[0], reverse=True)
-    while len(rated) < size and -rated[0][0][0] > bound:
+def evolve(lengths: np.ndarray, population: list[list[list[int]]], rng: np.random.Generator, capacity: int, size: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[list[list[int]]], int]:
+    """Steady-state evolution: the packings, the best first, and the generations that it took.
+
+    Stops at the lower bound on bins, or after three generations without fewer.
+    """
+    bound = -(-int(lengths.sum()) // capacity)
+    rated = [(fitness(lengths, x, capacity), x) for x in population]
+    while len(rated) < size:
         x = first_packing(lengths, rng, capacity)
         rated.append((fitness(lengths, x, capacity), x))
-    for _ in range(generations):
+    done, counts = 0, []
+    while True:
         rated.sort(key=lambda r: r[0], reverse=True)
-        if -rated[0][0][0] <= bound:
-            break
+        del rated[size:]
+        counts.append(-rated[0][0][0])
+        if done == generations or counts[-1] <= bound or (done > 3 and counts[-1] == counts[-4]):
+            return [x for _, x in rated], done
+        done += 1
         for _ in range(size // 2):
             i, j = rng.permutation(len(rated))[:2] if len(rated) > 1 else (0, 0)
             x = crossover(lengths, rated[i][1], rated[j][1], rng, capacity)
             rated.append((fitness(lengths, x, capacity), x))
-        rated.sort(key=lambda r: r[0], reverse=True)
-        del rated[size:]
-    rated.sort(key=lambda r: r[0], reverse=True)
-    return [x for _, x in rated]
 
 
 def _coded(bins: list[list[int]], n: int) -> bytes:
-    where = np.empty(n, np.int32)
-    for b, items in enumerate(bins):
-        where[items] = b
-    return where.tobytes()
+    return placed(bins, n).astype(np.int32).tobytes()
 
 
 def _decoded(code: bytes) -> list[list[int]]:
     where = np.frombuffer(code, np.int32)
-    bins: list[list[int]] = [[] for _ in range(int(where.max()) + 1)]
-    for i, b in enumerate(where.tolist()):
-        bins[b].append(i)
-    return bins
+    order = np.argsort(where, kind="stable")
+    return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(where))[:-1])]
 
 
-ISLAND = "shard int, island int, lengths binary, packing binary, bins int, fill double"
+#: ``first_bins`` is the best of the random packings that an island began with, ``generations`` what it has evolved since.
+ISLAND = "shard int, island int, lengths binary, packing binary, bins int, fill double, first_bins int, generations int"
 
 
-def _island_epoch(capacity: int, epoch: int, seed: int):
+def _island_epoch(capacity: int, epoch: int, seed: int, generations: int):
     """Evolves an island from its own elite and its immigrant; yields the new elite."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(key[0]), int(key[1])
         code = rows["lengths"].iloc[0]
-        lengths = np.frombuffer(code, np.int32).tolist()
+        lengths = np.frombuffer(code, np.int32).astype(np.int64)
         rng = np.random.default_rng([seed, shard, island, epoch])
         found = [_decoded(p) for p in sorted(p for p in rows["packing"] if p is not None)]
-        if not found:
-            found = [first_packing(lengths, rng if island else None, capacity)]
-        best = evolve(lengths, found, rng, capacity)[0]
-        bins, fill = fitness(lengths, best, capacity)
-        return pd.DataFrame({"shard": [shard], "island": [island], "lengths": [code], "packing": [_coded(best, len(lengths))], "bins": [-bins], "fill": [fill]})
+        if found:
+            first, before = int(rows["first_bins"].min()), int(rows["generations"].max())
+        else:
+            found = [first_packing(lengths, rng, capacity) for _ in range(POPULATION)]
+            first, before = min(map(len, found)), 0
+        best, done = evolve(lengths, found, rng, capacity, generations=generations)
+        bins, fill = fitness(lengths, best[0], capacity)
+        row = {"shard": shard, "island": island, "lengths": code, "packing": _coded(best[0], len(lengths)), "bins": -bins, "fill": fill, "first_bins": first, "generations": before + done}
+        return pd.DataFrame([row])
 
     return run
 
@@ -275,8 +314,8 @@ def _island_epoch(capacity: int, epoch: int, seed: int):
 def _unpack(capacity: int, dealt: int):
     """Gives each piece of a shard its place in the best packing."""
 
-    def run(key, rows: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+    def run(key: tuple, rows: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "row"], kind="stable").reset_index(drop=True)
         full = (rows["length"] == capacity).to_numpy()
         bins = np.arange(len(rows), dtype=np.int64)
         if len(best):
@@ -284,7 +323,7 @@ def _unpack(capacity: int, dealt: int):
             bins[~full] = where
             bins[full] = int(where.max()) + 1 + np.arange(full.sum())
         rows["sequence_id"] = bins * dealt + int(key[0])
-        rows = rows.sort_values(["sequence_id", "doc_id", "piece"], kind="stable")
+        rows = rows.sort_values(["sequence_id", "row"], kind="stable")
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
@@ -294,39 +333,50 @@ def _unpack(capacity: int, dealt: int):
 def _gather(capacity: int):
     """The lengths below ``capacity`` of a shard, in the order that ``_unpack`` sorts them."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = np.sort(rows["length"].to_numpy())
         return pd.DataFrame({"shard": [int(key[0])], "lengths": [lengths[lengths < capacity].astype(np.int32).tobytes()]})
 
     return run
 
 
+def evolved(gathered: DataFrame, dealt: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = SEED, generations: int = GENERATIONS) -> DataFrame:
+    """The elite of each island (``ISLAND``) after all epochs, for ``gathered`` (shard, lengths)."""
+    # a row of an island stands for much work, so numbers of tasks are given: rows this small would be merged into one
+    spread = lambda df, n, *keys: df.repartition(min(n, MAX_TASKS), *keys)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("packing", "binary"), ("first_bins", "int"), ("generations", "int"))]
+    met = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", *nothing)
+    elite = None
+    for epoch in range(epochs):
+        if elite is not None:
+            migrants = elite.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
+            met = (elite.unionByName(migrants) if islands > 1 else elite).select(*met.columns)
+        elite = written(spread(met, dealt * islands, "shard", "island").groupBy("shard", "island").applyInPandas(_island_epoch(capacity, epoch, seed, generations), ISLAND), "packing-elite")
+    return elite
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """Adds sequence_id and offset to ``parts`` (doc_id, piece, start, length, ids_crc32; lengths 1 to ``capacity``).
 
-    Rows that repeat a piece are packed as pieces of their own.
+    Rows that repeat a piece are packed as pieces of their own and dealt like
+    others.  Equal lengths are told apart by the number of their row.
     """
-    total = parts.count()
-    dealt = max(1, round(total / shard))
-    # a row of an island stands for much work, so numbers of tasks are given: rows this small would be merged into one
-    spread = lambda df, n, *keys: df.repartition(min(n, MAX_TASKS), *keys)
-    sharded = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(dealt)).cast("int"))
+    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
+    dealt = max(1, round(parts.count() / shard))
+    sharded = parts.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(dealt)).cast("int"))
     gathered = sharded.select("shard", "length").groupBy("shard").applyInPandas(_gather(capacity), "shard int, lengths binary").filter(F.length("lengths") > 0)
-    start = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.lit(None).cast("binary").alias("packing"))
-    elite = written(spread(start, dealt * islands, "shard", "island").groupBy("shard", "island").applyInPandas(_island_epoch(capacity, 0, seed), ISLAND), "packing-elite")
-    for epoch in range(1, epochs):
-        migrants = elite.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
-        met = elite.unionByName(migrants) if islands > 1 else elite
-        met = spread(met.select("shard", "island", "lengths", "packing"), dealt * islands, "shard", "island")
-        elite = written(met.groupBy("shard", "island").applyInPandas(_island_epoch(capacity, epoch, seed), ISLAND), "packing-elite")
+    elite = evolved(gathered, dealt, capacity, islands, epochs, seed).drop("lengths")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return sharded.groupBy("shard").cogroup(elite.drop("lengths").groupBy("shard")).applyInPandas(_unpack(capacity, dealt), schema)
+    return sharded.groupBy("shard").cogroup(elite.groupBy("shard")).applyInPandas(_unpack(capacity, dealt), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: where it lies in which sequence.
 
-    A null or empty text is the single id 0.  Null ids are packed like others;
-    repeated rows are each packed.  An empty table gives an empty result.
+    A null or empty text is the single id 0; texts of any length are cut only
+    into pieces of ``capacity``.  Null ids are packed like others; repeated rows
+    are each packed; ties are told apart by row.  Columns besides doc_id and
+    text, whatever their names, play no part.  An empty table gives an empty
+    result.
     """
-    return pack(written(tokenized_pieces(docs, tokenizer_path, capacity), "packing-pieces"), capacity)
+    return pack(tokenized_pieces(docs, tokenizer_path, capacity), capacity)
