@@ -9,8 +9,9 @@ All shares are whole tokens and add up exactly.
 
 A leaf then takes whole epochs while its budget lasts and a prefix of one more,
 each in an order of its own that the seed fixes.  The order is cut into equal
-ranges of the order key, so only the range in which the budget ends has to be
-sorted; a hot leaf is never gathered into one task.
+ranges of the order key, and the range in which the budget ends is cut again, so
+only about one row in 16 million of a leaf has to be sorted; a hot leaf is never
+gathered into one task.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SEED = 17
 MAX_EPOCHS = 4
 #: Part of all tokens that is asked for, in hundredths.
 BUDGET_PERCENT = 60
-#: Hex digits of the order key by which a leaf is cut into ranges.
-RANGE_DIGITS = 3
+#: Hex digits of the order key by which a leaf is cut into ranges, and by which its last range is cut again.
+RANGE_DIGITS = (3, 6)
 
 
 def token_count(text: Column) -> Column:
@@ -70,54 +71,58 @@ def leaf_budgets(leaves: DataFrame, budget_percent: int = BUDGET_PERCENT, max_ep
     return allot(low, ["domain", "lang"], "source").select(*LEVELS, "tokens", F.col("share").alias("budget"))
 
 
-def mix(docs: DataFrame, weights: dict[str, Column], budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, tokens, taken: what each leaf takes.
+def mix(docs: DataFrame, weights: dict[str, Column], budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, tokens, taken, and the ``carried`` columns: what each leaf takes.
 
     ``docs`` has doc_id, text, domain, lang, source; ``weights`` has the columns
     ``domain``, ``lang`` and ``source`` of positive whole weights, made of those.
     ``taken`` is less than ``tokens`` only in the row with which a leaf's budget
     ends.  Null levels count as ``''``; documents without words are never taken;
-    rows that repeat an id are separate documents of one place in the order (of
-    them, those with fewer tokens come first).
+    rows that repeat an id, or have none, are separate documents of one place in
+    the order (of them, those with fewer tokens come first).  Other columns play
+    no part; an empty table gives an empty result.
     """
     level = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS]
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *level, token_count(F.col("text").cast("string")).alias("tokens")).filter("tokens > 0")
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *level, token_count(F.col("text").cast("string")).alias("tokens"), *carried).filter("tokens > 0")
     counted = written(counted, "mixing-counts")
     leaves = counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).select("*", *(w.cast("long").alias(f"{k}_weight") for k, w in weights.items()))
     plan = leaf_budgets(leaves, budget_percent, max_epochs)
     plan = written(plan.select(*LEVELS, F.expr("budget div tokens").cast("int").alias("whole"), F.expr("budget % tokens").alias("rest")), "mixing-plan")
     planned = counted.join(plan, list(LEVELS))
-    full = planned.filter("whole > 0").select("doc_id", *LEVELS, F.explode(F.expr("sequence(0, whole - 1)")).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
-    last = planned.filter("rest > 0").withColumn("key", order_key(F.col("doc_id"), F.col("whole"), seed)).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    sums = last.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("range_tokens"))
-    start = F.sum("range_tokens").over(Window.partitionBy(*LEVELS).orderBy("range")) - F.col("range_tokens")
-    last = last.join(sums.select(*LEVELS, "range", start.alias("start"), "range_tokens"), [*LEVELS, "range"]).filter("start < rest")
     columns = ["doc_id", *LEVELS, F.col("whole").alias("epoch"), "tokens"]
-    inside = last.filter("start + range_tokens <= rest").select(*columns, F.col("tokens").alias("taken"))
-    edge = last.filter("start + range_tokens > rest")
-    upto = F.col("start") + F.sum("tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0))
-    cut = edge.withColumn("upto", upto).filter("upto - tokens < rest").select(*columns, F.least(F.col("tokens"), F.col("rest") - F.col("upto") + F.col("tokens")).alias("taken"))
-    return full.unionByName(inside).unionByName(cut)
-
-
-def texts_of(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``taken`` (from ``mix``) takes, once for each epoch, with the columns of ``docs``.
+    taken = planned.filter("whole > 0").select("doc_id", *LEVELS, F.explode(F.expr("sequence(0, whole - 1)")).alias("epoch"), "tokens", F.col("tokens").alias("taken"), *carried)
+    edge = planned.filter("rest > 0").withColumn("key", order_key(F.col("doc_id"), F.col("whole"), seed)).withColumn("before", F.lit(0).cast("long"))
+    for digits in RANGE_DIGITS:
+        edge = edge.withColumn("range", F.substring("key", 1, digits))
+        sums = edge.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("range_tokens"), F.max("before").alias("base"))
+        start = F.col("base") + F.sum("range_tokens").over(Window.partitionBy(*LEVELS).orderBy("range")) - F.col("range_tokens")
+        edge = edge.drop("before").join(sums.select(*LEVELS, "range", start.alias("before"), "range_tokens"), [*LEVELS, "range"]).filter("before < rest")
+        taken = taken.unionByName(edge.filter("before + range_tokens <= rest").select(*columns, F.col("tokens").alias("taken"), *carried))
+        edge = edge.filter("before + range_tokens > rest").drop("range_tokens")
+    order = Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens", *carried).rowsBetween(Window.unboundedPreceding, 0)
+    cut = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(order)).filter("upto - tokens < rest")
+    return taken.unionByName(cut.select(*columns, F.least(F.col("tokens"), F.col("rest") - F.col("upto") + F.col("tokens")).alias("taken"), *carried))
+
+
+def mixed_texts(docs: DataFrame, domain: Column, weights: dict[str, Column], budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source and any others) that ``mix`` takes, once for each epoch, with their columns.
 
     A document of which a leaf takes only a prefix keeps its first ``taken``
-    words, joined by single spaces; ``n_chars`` follows the text.  Rows that repeat
-    an id are told apart by their order.
+    words, joined by single spaces; ``n_chars`` follows the text.  Rows get a
+    number of their own, so null and repeated ids meet only their own row;
+    columns of ``docs`` may have any names.
     """
-    keys = ["doc_id", "lang", "source"]
-    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    order = Window.partitionBy("doc_id", "_lang", "_source").orderBy("_tokens", F.xxhash64("text"))
-    rows = docs.withColumns({"_lang": level("lang"), "_source": level("source"), "_tokens": token_count(F.col("text"))}).filter("_tokens > 0")
-    rows = rows.withColumn("_n", F.row_number().over(order))
-    again = Window.partitionBy(*keys, "epoch").orderBy("tokens", F.desc("taken"))
-    part = taken.withColumn("n", F.row_number().over(again)).select(*(F.col(c).alias(f"_k{c}") for c in keys), F.col("n").alias("_kn"), F.when(F.col("taken") < F.col("tokens"), F.col("taken")).alias("_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kdoc_id")) & (F.col("_lang") == F.col("_klang")) & (F.col("_source") == F.col("_ksource")) & (F.col("_n") == F.col("_kn"))
-    rows = rows.join(part, same)
-    prefix = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")))
-    rows = rows.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(prefix))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    numbered = written(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("number")), "mixing-rows")
+    narrow = numbered.select("row.doc_id", "row.text", "row.lang", "row.source", "number").withColumn("domain", domain)
+    taken = mix(narrow, weights, budget_percent, max_epochs, seed, ("number",))
+    part = taken.select("number", F.when(F.col("taken") < F.col("tokens"), F.col("taken")).alias("words"))
+    rows = numbered.join(part, "number")
+    text = F.col("row.text")
+    prefix = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")))
+    rows = rows.withColumn("cut", F.when(F.col("words").isNotNull(), prefix))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    out["text"] = F.coalesce("cut", text)
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("cut").isNull(), out["n_chars"]).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(v.alias(c) for c, v in out.items()))

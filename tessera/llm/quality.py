@@ -32,7 +32,9 @@ BUCKETS = 1024
 SHAPES = 512
 EXTRA = 16
 TERMS = BUCKETS + SHAPES + EXTRA
-CACHE = 150_000
+#: Words that a task keeps the terms of, none longer than WORD_BYTES.
+CACHE = 60_000
+WORD_BYTES = 32
 _MARKS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 
 
@@ -52,9 +54,11 @@ def term_counts(text: bytes | None, cache: dict) -> np.ndarray:
     for w in words:
         pair = cache.get(w)
         if pair is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            pair = cache[w] = word_terms(w)
+            pair = word_terms(w)
+            if len(w) <= WORD_BYTES:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[w] = pair
         found.append(pair)
     counts = np.zeros(TERMS, np.float32)
     if words:
@@ -124,13 +128,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """Fits on the labelled documents that are not held out (crc32 of the id as text, mod 5, is not 0).
 
     Rows with a null id or label are left out; of several labels of one id the
-    highest counts.
+    highest counts, and of documents that share a labelled id the text with the
+    smallest hash.
     """
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     seen = seen.filter(crc32_text(F.col("doc_id")) % 5 != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_count_batches, "label int, counts binary").toArrow()
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(one.alias("text"))
+    got = found.select("label", "text").mapInArrow(_count_batches, "label int, counts binary").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, TERMS), np.float32), np.zeros(0))
     # a voter's place must not hang on the order in which tasks end
@@ -144,13 +151,21 @@ def _scores(model: LatentModel, texts: list[bytes | None], cache: dict) -> np.nd
 
 
 def score(docs: DataFrame, model: LatentModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score and predicted of every row; empty and null texts are scored as texts without terms."""
+    """doc_id, score and predicted of every row.
+
+    Empty and null texts are scored as texts without terms, long ones whole.
+    Null ids and repeated rows are returned as they are.  Of voters that are
+    equally near at the kth place any may vote; a score of ``threshold`` is
+    enough.  Other columns, whatever their names, play no part; an empty table
+    gives an empty result.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         cache: dict = {}
         for whole in batches:
             for batch in pieces(whole):
-                s = _scores(model, batch.column(1).cast(pa.binary()).to_pylist(), cache)
+                s = _scores(held.value, batch.column(1).cast(pa.binary()).to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -158,14 +173,19 @@ def score(docs: DataFrame, model: LatentModel, threshold: float = THRESHOLD) ->
 
 
 def drop_poor(docs: DataFrame, model: LatentModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, all columns kept, without a shuffle."""
+    """The rows of ``docs`` that are predicted 1, all columns kept, without a shuffle.
+
+    Each row is judged by its own text: null ids, repeated rows and columns of
+    any name stay as they are.
+    """
     at = docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         cache: dict = {}
         for whole in batches:
             for batch in pieces(whole):
-                s = _scores(model, batch.column(at).cast(pa.binary()).to_pylist(), cache)
+                s = _scores(held.value, batch.column(at).cast(pa.binary()).to_pylist(), cache)
                 yield batch.filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -178,20 +178,3 @@ def _rooted(groups: DataFrame, max_bucket: int = 256) -> DataFrame:
     """``groups`` (a row for each fp) with the ``root`` of each one's component."""
     roots = components(links(groups.select("fp"), max_bucket)).withColumnRenamed("node", "fp")
     return groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``docs``, with the columns of ``docs``.
-
-    It is the one with the smallest id (rows without an id come last) and, of
-    those with the same id, the smallest text hash.  Components are told apart
-    by fingerprint, so null and repeated ids lose none.
-    """
-    d = F.col("doc_id")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(narrow.withColumn("hash", F.xxhash64("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long, hash long"), "simhash-prints")
-    groups = written(prints.groupBy("fp").agg(F.min(F.struct(d.isNull().alias("none"), d, "hash")).alias("first")), "simhash-groups")
-    first = _rooted(groups).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_one_id"), F.col("first.hash").alias("_one_hash"))
-    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(first, F.col("_id").eqNullSafe(F.col("_one_id")) & (F.col("_hash") == F.col("_one_hash")), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)

@@ -1,9 +1,9 @@
 """URL filtering: rules on host suffix and path prefix, then a list of canonical URLs.
 
-The list is probed through a blocked Bloom filter first.  Its number of blocks
-is fixed, so the broadcast is bounded (``BLOCKS`` rows of four 64-bit words)
-however long the list is: a longer list only lets more false positives through
-to the exact hash join, which removes them.
+The list is probed through a blocked Bloom filter first.  It has a block of 256
+bits for every 16 listed URLs, up to ``MAX_BLOCKS`` (40 MB as rows), so what is
+broadcast is bounded: a longer list lets more false positives through to the
+exact hash join, which removes them.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, written
 
-#: Blocks of the filter; each has WORDS words of 64 bits.
-BLOCKS = 1 << 15
+#: Blocks of the filter, at most; each has WORDS words of 64 bits and is meant for PER_BLOCK URLs.
+MAX_BLOCKS = 1 << 20
 WORDS = 4
+PER_BLOCK = 16
 #: Bits set for each URL.
 PROBES = 8
 #: (verdict, host, path prefix)
@@ -61,21 +62,32 @@ def _words(key: Column, probes: int) -> list[Column]:
     return [reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.floor(p / 64) == w, bit(p)).otherwise(F.lit(0).cast("long")) for p in places)) for w in range(WORDS)]
 
 
-def bloom_filter(listed: DataFrame, key: str, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
+def blocks_for(listed: int) -> int:
+    """The least power of two of blocks that holds so many URLs, up to MAX_BLOCKS."""
+    return min(MAX_BLOCKS, 1 << max(0, -(-listed // PER_BLOCK) - 1).bit_length())
+
+
+def bloom_filter(listed: DataFrame, key: str, blocks: int, probes: int = PROBES) -> DataFrame:
     """(block, w0..w3): at most ``blocks`` rows."""
     bits = listed.select(_block(F.col(key), blocks).alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(_words(F.col(key), probes))))
     return bits.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of ``pages`` (page_id, url).
 
     ``listed`` has blocked canonical URLs in its first column; repeats and nulls
     in it play no part.  A URL that no rule fits is blocked if it is listed.
     A null URL or one without ``://`` has empty host and path, fits no rule and
-    is allowed.  Repeated rows are each returned; an empty list blocks nothing.
+    is allowed.  Long URLs are judged whole; of rules that are equally long the
+    first by name counts.  Repeated rows and null ids are each returned; other
+    columns, whatever their names, play no part; an empty list blocks nothing,
+    and an empty table gives an empty result.  ``blocks`` overrides the size of
+    the filter.
     """
     known = listed.select(F.col(listed.columns[0]).cast("string").alias("listed")).filter("listed is not null").distinct()
+    known = written(known, "urls-listed")
+    blocks = blocks or blocks_for(known.count())
     bloom = bloom_filter(known, "listed", blocks)
     url = F.col("url").cast("string")
     name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
@@ -89,6 +101,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int =
     probed = judged.withColumn("block", F.when(F.col("probe").isNotNull(), _block(F.col("probe"), blocks))).join(F.broadcast(bloom), "block", "left")
     probed = probed.withColumn("maybe", F.coalesce(F.col("probe").isNotNull() & hit, F.lit(False)))
     out = ["page_id", "host", "path", "rule"]
+    probed = written(probed.select(*out, "by_rule", "maybe", F.when(F.col("maybe"), F.col("probe")).alias("probe")), "urls-probed")
     clear = probed.filter("not maybe").select(*out, F.coalesce("by_rule", F.lit("allow")).alias("verdict"))
     exact = probed.filter("maybe").join(known, F.col("probe") == F.col("listed"), "left")
     return clear.unionByName(exact.select(*out, F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict")))

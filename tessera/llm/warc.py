@@ -7,12 +7,17 @@ by Spark, so a lost or repeated task leaves nothing that is read.
 Reading: archives are cut into byte ranges.  A task scans its range for the gzip
 magic, validates each candidate by inflating and decoding a WARC header, and
 owns the records that start inside its range, reading past its end to finish the
-last one.  No index is needed.
+last one.  No index is needed.  Where no member follows the one before, the
+archive is damaged: that is an error, or a row of its own if the caller wants to
+read on.  Records of other writers are read by the same rules: header names in
+any case, folded lines, any record type.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -90,7 +95,7 @@ def deduplicated(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     seen = rows.filter(F.length("payload") >= min_revisit).select("page_id", "digest").filter("page_id is not null")
     least = seen.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).filter("last_id > first_id")
     refers = seen.distinct().join(least, "digest").filter("page_id > first_id").select("page_id", "digest", F.col("first_id").alias("refers_to"))
-    return rows.join(refers.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    return rows.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
@@ -136,60 +141,132 @@ def _inflate(source: _Source, start: int, limit: int | None = None):
     return b"".join(out), at - len(opened.unused_data)
 
 
+def _member_at(source: _Source, at: int) -> bool:
+    """Does a gzip member that begins like a WARC record start here?"""
+    if source.window(at, len(_MAGIC)) != _MAGIC:
+        return False
+    peek = _inflate(source, at, 16)
+    return peek is not None and peek[0].startswith(b"WARC/1.")
+
+
 def records_in(source: _Source, start: int, end: int):
-    """Raw records whose gzip member starts in [start, end)."""
-    at = start
-    while at < end:
-        head = source.window(at, _BLOCK)
-        if not head:
-            return
-        if not head.startswith(_MAGIC):
-            found = head.find(_MAGIC, 1)
-            # the magic may lie across two blocks
-            at += found if found > 0 else max(len(head) - 2, 1)
-            continue
-        peek = _inflate(source, at, 16)
-        if peek is None or not peek[0].startswith(b"WARC/1."):
-            at += 1
+    """(offset, raw record) of each gzip member that starts in [start, end).
+
+    The raw record is None where the archive is damaged: at its beginning, or
+    where a member of this range ends, and no whole member follows.
+    """
+    at, expected = start, start == 0 < end
+    while at < source.size and (at < end or expected):
+        whole = _inflate(source, at) if _member_at(source, at) else None
+        if whole is not None:
+            if at >= end:
+                return
+            yield at, whole[0]
+            at, expected = whole[1], True
             continue
-        whole = _inflate(source, at)
-        if whole is None:
-            at += 1
+        if expected:
+            yield at, None
+            expected = False
+            if at >= end:
+                return
+        head = source.window(at, _BLOCK)
+        found = head.find(_MAGIC, 1)
+        # the magic may lie across two blocks
+        at += found if found > 0 else max(len(head) - 2, 1)
+
+
+def headers(head: bytes) -> dict[str, str]:
+    """Named fields of a record's head, names in lower case; lines that begin with white space go on with the one before."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
             continue
-        yield whole[0]
-        at = whole[1]
+        name, colon, value = line.partition(":")
+        if colon:
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
+def _page_number(value: str | None) -> int | None:
+    """The page of a record id that this module wrote; others have none."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
+    return int(found.group(1)) if found else None
+
+
+def _matches(payload: bytes, stated: str) -> bool:
+    """Does a payload have the stated digest?  Names and encodings that are not known are not judged."""
+    name, colon, value = stated.partition(":")
+    name = name.lower()
+    if not colon or name not in ("sha1", "sha256", "md5"):
+        return True
+    digest = hashlib.new(name, payload, usedforsecurity=False)
+    known = {len(digest.hexdigest()): digest.hexdigest(), len(b32 := base64.b32encode(digest.digest()).decode().rstrip("=").lower()): b32}
+    text = value.strip().rstrip("=").lower()
+    return known.get(len(text), text) == text
 
 
 def parse(raw: bytes) -> dict:
-    head, _, body = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    kind, payload = fields["WARC-Type"], body[: int(fields["Content-Length"])]
-    stated = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != stated:
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
+    """A record: page_id (if it is one of this writer's), record_id, url, payload, payload_bytes, payload_digest (SHA-256), record_type, refers_to.
+
+    Length and digest of a revisit are those that it states of the full payload,
+    null where it states none or another kind of digest.
+    """
+    head, gap, body = raw.partition(b"\r\n\r\n")
+    fields = headers(head)
+    kind, name = fields.get("warc-type", "unknown").lower(), fields.get("warc-record-id")
+    length = fields.get("content-length", "")
+    payload = body[: int(length)] if length.isdigit() else body.removesuffix(b"\r\n\r\n")
+    if not gap or (length.isdigit() and len(payload) < int(length)):
+        raise ValueError(f"record {name} ends before its stated length")
+    stated = fields.get("warc-payload-digest", "")
+    if kind == "response" and fields.get("content-type", "").lower().startswith("application/http"):
+        stated = ""  # digests of these leave out the protocol's head
+    if kind != "revisit" and not _matches(payload, stated):
+        raise ValueError(f"payload of {name} does not match its digest")
+    if kind == "revisit":
+        size, digest = fields.get("warc-payload-length"), stated.removeprefix("sha256:") if stated.startswith("sha256:") else None
+        size = int(size) if size and size.isdigit() else None
+    else:
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     return {
-        "page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": int(fields["WARC-Payload-Length"]) if kind == "revisit" else len(payload),
-        "payload_digest": stated, "record_type": kind, "refers_to": number("WARC-Refers-To"),
+        "page_id": _page_number(name), "record_id": name, "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": size,
+        "payload_digest": digest, "record_type": kind, "refers_to": _page_number(fields.get("warc-refers-to")),
     }
 
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_SCHEMA = pa.schema([
+    ("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()),
+])
+READ = "page_id long, record_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
+
 
+def _reader(with_payload: bool, damaged: str):
+    def one(path: str, offset: int, raw: bytes | None) -> dict:
+        try:
+            if raw is None:
+                raise ValueError("no whole member")
+            row = parse(raw)
+        except ValueError as e:
+            if damaged == "raise":
+                raise ValueError(f"{path} is damaged at byte {offset}: {e}") from e
+            row = dict.fromkeys(_SCHEMA.names) | {"record_type": "damaged"}
+        if not with_payload:
+            row["payload"] = None
+        return row | {"path": path, "offset": offset}
 
-def _reader(with_payload: bool):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 system, path = fs.FileSystem.from_uri(row["path"])
                 with system.open_input_file(path) as handle:
                     rows, size = [], 0
-                    for raw in records_in(_Source(handle, handle.size()), row["start"], row["end"]):
-                        rows.append(parse(raw))
-                        size += len(raw)
-                        if not with_payload:
-                            rows[-1]["payload"] = None
+                    for offset, raw in records_in(_Source(handle, handle.size()), row["start"], row["end"]):
+                        rows.append(one(row["path"], offset, raw))
+                        size += len(raw or b"")
                         if len(rows) >= 1000 or size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                             rows, size = [], 0
@@ -199,21 +276,28 @@ def _reader(with_payload: bool):
     return run
 
 
-def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """The records of archives (path, bytes), each range of ``split_bytes`` a row of work."""
+def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True, damaged: str = "raise") -> DataFrame:
+    """The records (``READ``) of archives (path, bytes), each range of ``split_bytes`` a row of work.
+
+    A place where an archive is damaged is an error, or with ``damaged="row"`` a
+    row of record_type 'damaged' with its path and offset; reading goes on at
+    the next whole member.
+    """
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
     # a row here stands for megabytes, so the number of tasks is given: rows this small would be merged into one
     tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
-    return ranges.repartition(min(int(tasks), MAX_TASKS)).mapInArrow(_reader(with_payload), READ)
+    return ranges.repartition(min(int(tasks), MAX_TASKS)).mapInArrow(_reader(with_payload, damaged), READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes every row of ``pages`` as a record into the shared folder and reads the archives back.
 
-    Null html is an empty payload and a null URL an empty one; null ids come back null and neither refer nor
-    are referred to; repeated rows are each written, and those of the smallest id
-    are each a response.  An empty table gives no archive and no row.
+    Null html is an empty payload and a null URL an empty one; null ids come back
+    null and neither refer nor are referred to; repeated rows are each written,
+    and those of the smallest id are each a response.  Payloads of any length
+    are one record.  Other columns, whatever their names, play no part.  An empty
+    table gives no archive and no row.
     """
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return read(write(deduplicated(pages), folder), with_payload=False)

@@ -45,6 +45,14 @@ def test_a_full_bloom_filter_stays_exact(spark):
     assert {r.page_id for r in got.collect()} == set(range(0, 300, 2))
 
 
+def test_filter_grows_with_the_list(spark):
+    assert [urls.blocks_for(n) for n in (0, 1, 16, 17, 1000, 10**6, 10**12)] == [1, 1, 1, 2, 64, 1 << 16, urls.MAX_BLOCKS]
+    listed = spark.range(5000).select(F.concat(F.lit("h.org/"), "id").alias("url"))
+    bloom = urls.bloom_filter(listed, "url", urls.blocks_for(5000))
+    set_bits = bloom.select(sum(F.bit_count(f"w{i}") for i in range(urls.WORDS)).alias("n")).agg(F.avg("n")).first()[0]
+    assert 50 < set_bits < 140
+
+
 def _naive_share(children, budget):
     """Water filling by repetition: children (name, held, weight)."""
     left, open_, out = budget, dict((c[0], c[1:]) for c in children), {}
@@ -80,9 +88,26 @@ def test_mixing_edges(spark):
     for r in got:
         assert 0 < r.taken <= r.tokens and r.epoch <= 3
     assert mixing.mix(df.limit(0), one).collect() == []
-    whole = mixing.texts_of(df.withColumn("epoch", F.lit("x")), mixing.mix(df, one, 300, 3))
+    clash = df.withColumns({"epoch": F.lit("x"), "number": F.lit("y"), "row": F.lit(1), "_kn": F.lit(2), "words": F.lit(3)})
+    whole = mixing.mixed_texts(clash, F.lit("d0"), one, 300, 3)
     assert sorted(str(r.doc_id) for r in whole.collect()) == sorted(3 * ["1", "4", "5", "5", "None"])
-    assert whole.columns == ["doc_id", "text", "lang", "source", "domain", "epoch"]
+    assert whole.columns == clash.columns
+
+
+def test_budgets_end_inside_a_range_of_ranges(spark):
+    """Many documents of one leaf: what is taken is the prefix of the whole order, sorted in one piece."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), *(F.lit("x").alias(c) for c in mixing.LEVELS))
+    one = {c: F.lit(1) for c in mixing.LEVELS}
+    got = mixing.mix(df, one, 37, 1).collect()
+    order = sorted(range(20_000), key=lambda i: hashlib.md5(f"{mixing.SEED}:0:{i}".encode()).hexdigest())
+    assert {r.doc_id for r in got} == set(order[: 20_000 * 37 // 100]) and sum(r.taken for r in got) == 60_000 * 37 // 100
+
+
+def test_null_ids_keep_their_own_texts(spark):
+    df = spark.createDataFrame([(None, f"t{i} words here", "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
+    one = {c: F.lit(1) for c in mixing.LEVELS}
+    whole = mixing.mixed_texts(df, F.lit("d"), one, 200, 2)
+    assert sorted(r.text for r in whole.collect()) == sorted(2 * [f"t{i} words here" for i in range(50)])
 
 
 def test_mixing_matches_sql(spark):
@@ -129,6 +154,65 @@ def test_ordinal_grades_are_ordered():
     assert means[0] < means[1] < means[2] and model.thresholds[0] < model.thresholds[1]
 
 
+def test_fit_is_as_good_as_a_plain_optimiser():
+    """The penalised likelihood, written out row by row and minimised one parameter at a time, is not below the fit's."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((160, 3)) < 0.4).astype(float)
+    latent = x @ np.array([1.5, -1.0, 0.4]) + rng.logistic(size=160)
+    grades = (latent > 0.3).astype(int) + (latent > 1.6)
+    rows = [np.flatnonzero(r) for r in x]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = toxicity.fit(grades, offsets, np.concatenate(rows), steps=3000, ridge=0.01)
+    sizes = {True: (grades > 0).sum(), False: (grades == 0).sum()}
+
+    def loss(p):
+        theta = [-np.inf, p[3], p[3] + np.exp(p[4]), np.inf]
+        total = 0.005 * (p[:3] ** 2).sum()
+        for r, g in zip(x, grades):
+            below = lambda t: 1 / (1 + np.exp(-(t - r @ p[:3])))
+            total -= 0.5 / sizes[bool(g > 0)] * np.log(below(theta[g + 1]) - below(theta[g]))
+        return total
+
+    p = np.array([0.0, 0.0, 0.0, 0.0, 0.0])
+    for step in (0.5, 0.1, 0.02, 0.004):
+        moved = True
+        while moved:
+            moved = False
+            for i in range(5):
+                for way in (step, -step):
+                    q = p.copy()
+                    q[i] += way
+                    if loss(q) < loss(p) - 1e-12:
+                        p, moved = q, True
+    mine = np.append(model.weights, [model.thresholds[0], np.log(np.diff(model.thresholds)[0])])
+    assert loss(mine) <= loss(p) + 1e-4 and np.abs(mine - p).max() < 0.1
+
+
+def test_features_speak_either_way_and_grades_come_from_the_other_half(spark):
+    docs = [(i, ("vile " if i % 4 == 0 else "kind " if i % 3 else "") + f"words {i} and more") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, grade int"))
+    assert model.weights.min() < 0 < model.weights.max()
+    grades = np.array([0, 1, 0, 1, 0, 1, 0, 1] * 10)
+    rows = [[1, 10 + (i // 2) % 3] if g else [2] for i, g in enumerate(grades)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    got = toxicity.cross_grades(grades, offsets, np.concatenate(rows))
+    assert (got[grades == 0] == 0).all() and set(got[grades == 1]) <= {1, 2}
+    changed = toxicity.cross_grades(np.where(np.arange(80) == 1, 0, grades), offsets, np.concatenate(rows))
+    assert changed[1] == 0  # a row's own label and grade go no further than its half
+    assert (changed[(grades == 1) & (np.arange(80) % 2 == 1)][1:] > 0).all()
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs, labels = _toxic_tables(spark)
+    again = docs.unionByName(spark.createDataFrame([(4, "zz other text")] * 3000 + [(5, None)] * 50, "doc_id long, text string"))
+    model = toxicity.train(again, labels)
+    assert len(model.features) and {r.toxic for r in toxicity.score(spark.createDataFrame([(1, "blargh moronic")], "doc_id long, text string"), model).collect()} == {1}
+    good, marks = _quality_tables(spark)
+    model = quality.train(good.unionByName(spark.createDataFrame([(7, "x")] * 3000, "doc_id long, text string")), marks)
+    assert len(model.labels) == len({i for i in range(300) if zlib.crc32(str(i).encode()) % 5})
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = _toxic_tables(spark)
     for part in (labels.limit(0), labels.filter("grade = 0")):

@@ -95,16 +95,3 @@ def test_empty_and_clashing_columns(spark):
     assert S.near_duplicates(empty).collect() == []
     df = spark.createDataFrame([(1, "a b c d", 7, 8), (2, "a b c d", 7, 8)], "doc_id long, text string, fp long, component_id long")
     assert [r.component_id for r in S.near_duplicates(df).collect()] == [1, 1]
-    assert S.keep_one(df).columns == df.columns
-    assert [r.doc_id for r in S.keep_one(df).collect()] == [1]
-
-
-def test_keep_one_keeps_a_row_of_each_component(spark):
-    """Null and repeated ids: unrelated texts stay, copies go."""
-    words = [f"w{i}" for i in range(200)]
-    rng = np.random.default_rng(8)
-    text = [" ".join(words[i] for i in rng.integers(0, 200, 60)) for _ in range(6)]
-    rows = [(None, text[0], "a"), (None, text[1], "a"), (None, text[0], "b"), (7, text[2], "a"), (7, text[3], "a"), (7, text[3], "b"), (9, text[4], "a"), (None, text[4], "a"), (8, text[4], "a"), (7, None, "a"), (None, "", "a"), (10, text[5], "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = sorted([(r.doc_id, r.text) for r in S.keep_one(df).collect()], key=str)
-    assert kept == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4]), (7, None), (10, text[5])], key=str)
