@@ -49,7 +49,8 @@ def test_nulls_repeats_and_long_texts(spark):
     """Rows with null and repeated ids go through all stages; only copies and rejected texts are lost."""
     clean = [r.text for r in table(spark, SF, "documents").filter("lang = 'en' and n_chars > 1500").orderBy("doc_id").limit(12).collect()]
     docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    odd = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (None, None), (8, ""), (9, "x" * 10_000_000), (10, " ".join(clean) * 5), (None, clean[4]), (None, clean[4])]
+    turned = [" ".join(t.split()[::-1]) for t in clean]  # of the same words, and no copy of a row of the table
+    odd = [(None, turned[0]), (None, turned[1]), (7, clean[2]), (7, clean[3]), (None, None), (8, ""), (9, "x" * 10_000_000), (10, " ".join(clean) * 5), (None, turned[4]), (None, turned[4])]
     extra = spark.createDataFrame([(i, t, None if n % 2 else "en", "src1" if n % 3 else None, 0) for n, (i, t) in enumerate(odd)], docs.schema)
     more = docs.unionByName(extra).withColumns({"_kn": F.lit(1), "row": F.lit("r"), "number": F.lit(2), "hash": F.lit(3), "toxic": F.lit(0)})
     for _, stage in C.STAGES[:-1]:
