@@ -16,11 +16,11 @@ Texts that share a key are verified by counting differing bits, first of one
 word, then of all.
 
 Keys that more than ``max_bucket`` texts share: each text is compared with the
-bucket's first one.  When the components of all links so far are known, those
-of a bucket that are not in its largest component are compared with all of the
-bucket that are in others; pairs within a component need no comparison.  So no
-link that a bucket holds is lost, and a group of copies costs work in proportion
-to its size.
+bucket's first one.  Then, a few times over, those of a bucket that are not in
+its largest component are compared with one text of that component, and in the
+end with all of the bucket that are still in other components; pairs within a
+component need no comparison.  So no link that a bucket holds is lost, and a
+group of copies of one another costs work in proportion to its size.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ SEED = 7
 MAX_BUCKET = 64
 #: Offset and width of the segments of words 1 and 2 taken together.
 SEGMENTS = ((0, 21), (21, 21), (42, 22), (64, 21), (85, 21), (106, 22))
-#: Differing bits of the first word that a candidate may have: the mean at 0.8 is 9.7, five deviations more are 24.
-FIRST_BITS = 24
+#: Comparisons of a crowded bucket with one text of its largest component, before the rest is compared.
+ROUNDS = 3
+#: Differing bits of the first word that a candidate may have: the mean at 0.8 is 9.7, three deviations more are 18.
+FIRST_BITS = 18
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 PRINT = [f"f{i}" for i in range(WORDS)]
 
@@ -155,18 +157,27 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
     roots = written(components(edges), "near-roots")
 
     # crowded buckets whose members lie in several components
-    placed = large.select("key", "f0").join(roots.withColumnRenamed("node", "f0"), "f0", "left").select("key", "f0", F.coalesce("root", "f0").alias("root"))
-    placed = written(placed, "near-placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    others = placed.join(main, "key").filter("root <> main").select("key", F.col("f0").alias("a"), F.col("root").alias("own"))
-    whole = placed.join(main.select("key"), "key").select("key", F.col("f0").alias("b"), "root")
-    across = others.join(whole, "key").filter((F.col("own") != F.col("root")) & near).select("a", "b")
-    more = written(verified(across), "near-links")
-    if more.isEmpty():
-        return edges, roots
-    edges = edges.unionByName(more).distinct()
-    return edges, components(edges)
+    crowd = written(large.select("key", "f0").join(groups.select(*PRINT), "f0"), "near-crowd")
+    for turn in range(ROUNDS + 1):
+        placed = written(crowd.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0")), "near-placed")
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("f0", F.xxhash64("f0", F.lit(turn))).alias("one"))
+        main = parts.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main.*")
+        main = written(main.withColumnRenamed("root", "main"), "near-main")
+        if main.isEmpty():
+            break
+        others = placed.join(main, "key").filter("root <> main")
+        if turn < ROUNDS:
+            more = verified(others.select(F.col("f0").alias("a"), F.col("one").alias("b")))
+        else:
+            left = others.select("key", F.col("root").alias("own"), *(F.col(w).alias(f"a{w}") for w in PRINT))
+            right = placed.join(main.select("key"), "key").select("key", "root", *(F.col(w).alias(f"b{w}") for w in PRINT))
+            alike = (F.col("own") != F.col("root")) & (_apart("a", "b", PRINT[:1]) <= FIRST_BITS) & (_apart("a", "b", PRINT) <= most)
+            more = left.join(right, (left["key"] == right["key"]) & alike).select(F.greatest("af0", "bf0").alias("a"), F.least("af0", "bf0").alias("b")).distinct()
+        more = written(more, "near-links")
+        if not more.isEmpty():
+            edges = written(edges.unionByName(more).distinct(), "near-links")
+            roots = written(components(edges), "near-roots")
+    return edges, roots
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
