@@ -46,7 +46,7 @@ MAX_BUCKET = 64
 #: Offset and width of the segments of words 1 and 2 taken together.
 SEGMENTS = ((0, 21), (21, 21), (42, 22), (64, 21), (85, 21), (106, 22))
 #: Comparisons of a crowded bucket with one text of its largest component, before the rest is compared.
-ROUNDS = 3
+ROUNDS = 2
 #: Differing bits of the first word that a candidate may have: the mean at 0.8 is 9.7, three deviations more are 18.
 FIRST_BITS = 18
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -165,6 +165,8 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
         main = written(main.withColumnRenamed("root", "main"), "near-main")
         if main.isEmpty():
             break
+        placed = written(placed.join(main.select("key"), "key", "left_semi"), "near-placed")
+        crowd = placed.drop("root")  # the other buckets are in one piece
         others = placed.join(main, "key").filter("root <> main")
         if turn < ROUNDS:
             more = verified(others.select(F.col("f0").alias("a"), F.col("one").alias("b")))
