@@ -1,8 +1,10 @@
 """Lexical retrieval of many queries over many chunks at once.
 
-Terms of the queries are a small rule table (checked by ``MAX_TERMS``), so each
-chunk finds its own terms in one pass without a join; what is grouped and ranked
-afterwards are matches only.
+Terms of the queries are a small rule table (checked by ``MAX_TERMS``).  One pass
+over the chunks finds each chunk's terms with their counts, its short terms, its
+field points and its domains, and writes them with the chunk: the index.  What is
+grouped and ranked afterwards are matches only, and bodies are read for the last
+hits alone.
 """
 
 from __future__ import annotations
@@ -30,36 +32,63 @@ def split_terms(queries=demo.QUERIES, least: int = 3, most: int = 12) -> list[tu
 
 
 def short_terms(queries=demo.QUERIES, most: int = 8) -> list[tuple[int, str]]:
-    """Terms of exactly two characters, which trigrams cannot find."""
-    return [t for t in split_terms(queries, 2, 1000) if len(t[1]) == 2][: most * len(queries)]
+    """Terms of exactly two characters, which trigrams cannot find: the first ``most`` of each query."""
+    found: dict[int, list[str]] = {}
+    for q, t in split_terms(queries, 2, 1000):
+        if len(t) == 2:
+            found.setdefault(q, []).append(t)
+    return [(q, t) for q, ts in found.items() for t in ts[:most]]
 
 
-def term_matches(chunks: DataFrame, terms: list[tuple[int, str]], columns: tuple[str, ...] = ("title", "text")) -> DataFrame:
-    """doc_id, chunk_index, query_id, term, tf: how often a term occurs in the columns, as a substring of lower-cased text."""
-    low = [F.lower(F.col(c)) for c in columns]
+def index(chunks: DataFrame, terms: list[tuple[int, str]], shorts: list[tuple[int, str]], domains: dict[str, str], weights: dict[str, float] = demo.FIELD_WEIGHTS) -> DataFrame:
+    """``chunks`` with trigrams, hits (term, tf), shorts (query ids), points (term, points) and domains (names).
 
-    def count(term: str) -> Column:
-        return sum(((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int") for c in low)
-
-    distinct = sorted({t for _, t in terms})
-    owners = {t: sorted(q for q, x in terms if x == t) for t in distinct}
-    hits = F.array(*(F.when(sum(c.contains(t).cast("int") for c in low) > 0, F.struct(F.lit(t).alias("term"), count(t).alias("tf"), F.array(*map(F.lit, owners[t])).alias("ids"))) for t in distinct))
-    found = chunks.select("doc_id", "chunk_index", F.explode(F.array_compact(hits)).alias("hit"))
-    return found.select("doc_id", "chunk_index", F.explode("hit.ids").alias("query_id"), "hit.term", "hit.tf")
+    ``tf`` counts a term in title and text, as a substring of lower-cased text;
+    ``points`` are min(length, 12) * weight for each field that holds it.
+    """
+    low = {f: F.col(f"low_{f}") for f in dict.fromkeys(["title", "text", *weights])}
+    rows = chunks.withColumns({f"low_{f}": F.lower(F.col(f)) for f in low})
 
+    def count(c: Column, term: str) -> Column:
+        return F.when(c.contains(term), ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int")).otherwise(0)
 
-def bm25(chunks: DataFrame, terms: list[tuple[int, str]], columns: tuple[str, ...] = ("title", "text")) -> DataFrame:
+    distinct = sorted({t for _, t in terms})
+    tf = [F.struct(F.lit(t).alias("term"), (count(low["title"], t) + count(low["text"], t)).alias("tf")) for t in distinct]
+    points = [F.struct(F.lit(t).alias("term"), sum(F.when(low[f].contains(t), F.lit(w * min(len(t), 12))).otherwise(0.0) for f, w in weights.items()).alias("points")) for t in distinct]
+    short = [F.when(low["title"].contains(t) | low["text"].contains(t), F.lit(q)) for q, t in shorts]
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    return rows.select(
+        *chunks.columns, (F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))).alias("trigrams"),
+        (F.filter(F.array(*tf), lambda x: x["tf"] > 0) if tf else empty("struct<term:string,tf:int>")).alias("hits"),
+        (F.array_distinct(F.array_compact(F.array(*short))) if short else empty("int")).alias("shorts"),
+        (F.filter(F.array(*points), lambda x: x["points"] > 0) if points else empty("struct<term:string,points:double>")).alias("points"),
+        F.array_compact(F.array(*(F.when(F.expr(p), F.lit(n)) for n, p in domains.items()))).alias("domains"),
+    )
+
+
+def _owners(terms: list[tuple[int, str]], c: Column) -> Column:
+    """The ids of the queries that a term belongs to."""
+    known: dict[str, list[int]] = {}
+    for q, t in terms:
+        known.setdefault(t, []).append(q)
+    pairs = [x for t, qs in sorted(known.items()) for x in (F.lit(t), F.array(*map(F.lit, sorted(qs))))]
+    return F.try_element_at(F.create_map(*pairs), c) if pairs else F.array().cast("array<int>")
+
+
+def term_matches(indexed: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, chunk_index, query_id, term, tf and trigrams of each match."""
+    hit = indexed.select("doc_id", "chunk_index", "trigrams", F.explode("hits").alias("hit"))
+    return hit.select("doc_id", "chunk_index", "trigrams", F.explode(_owners(terms, F.col("hit.term"))).alias("query_id"), "hit.term", "hit.tf")
+
+
+def bm25(indexed: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
     """doc_id, chunk_index, query_id, bm25 over trigram lengths; idf at most 0 counts 1e-6."""
-    size = sum(F.greatest(F.length(c) - 2, F.lit(0)) for c in columns)
-    sized = chunks.select(*{"doc_id", "chunk_index", *columns}, size.alias("trigrams"))
-    stats = sized.agg(F.count("*").alias("n"), (F.sum("trigrams") / F.count("*")).alias("avg_trigrams"))
-    matches = term_matches(sized, terms, columns)
-    df = matches.select("term", "doc_id", "chunk_index").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    stats = indexed.agg(F.count("*").alias("n"), (F.sum("trigrams") / F.count("*")).alias("avg_trigrams"))
+    df = indexed.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # one row of statistics and one per term: joined on a constant and on the term
-    idf = df.withColumn("one", F.lit(1)).join(stats.withColumn("one", F.lit(1)), "one").select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_trigrams")
-    lengths = sized.select("doc_id", "chunk_index", "trigrams")
-    scored = matches.join(idf, "term").join(lengths, ["doc_id", "chunk_index"])
+    # a row for each term at most, of which there are MAX_TERMS, and one row of statistics
+    idf = df.crossJoin(F.broadcast(stats)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_trigrams")
+    scored = term_matches(indexed, terms).join(F.broadcast(idf), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("trigrams") / F.col("avg_trigrams")))
     return scored.groupBy("query_id", "doc_id", "chunk_index").agg(F.sum(part).alias("bm25"))
 
@@ -70,16 +99,21 @@ def top_per_query(scored: DataFrame, k: int, score: str = "bm25", order: tuple[s
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def field_score(chunks: DataFrame, terms: list[tuple[int, str]], weights: dict[str, float] = demo.FIELD_WEIGHTS) -> DataFrame:
-    """Adds query_id and score: min(length, 12) * field weight for each term and field that holds it."""
-    found = F.array(
-        *(
-            F.struct(F.lit(q).alias("query_id"), sum(F.when(F.lower(F.col(f)).contains(t), F.lit(w * min(len(t), 12))).otherwise(0.0) for f, w in weights.items()).alias("points"))
-            for q, t in terms
-        )
-    )
-    rows = chunks.select("doc_id", "chunk_index", F.explode(F.filter(found, lambda x: x["points"] > 0)).alias("x"))
-    return rows.groupBy("x.query_id", "doc_id", "chunk_index").agg(F.sum("x.points").alias("score"))
+def field_score(indexed: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, chunk_index, query_id, score: the sum of the points of a query's terms in each chunk that has any."""
+    hit = indexed.select("doc_id", "chunk_index", F.explode("points").alias("x"))
+    rows = hit.select("doc_id", "chunk_index", F.explode(_owners(terms, F.col("x.term"))).alias("query_id"), "x.points")
+    return rows.groupBy("query_id", "doc_id", "chunk_index").agg(F.sum("points").alias("score"))
+
+
+def own_points(terms: list[tuple[int, str]], query_id: Column, points: Column) -> Column:
+    """The sum of ``points`` (term, points) whose term is one of the query's."""
+    known: dict[int, list[str]] = {}
+    for q, t in terms:
+        known.setdefault(q, []).append(t)
+    pairs = [x for q, ts in sorted(known.items()) for x in (F.lit(q), F.array(*map(F.lit, ts)))]
+    own = F.try_element_at(F.create_map(*pairs), query_id) if pairs else F.array().cast("array<string>")
+    return F.aggregate(points, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(own, x["term"]), x["points"]).otherwise(0.0))
 
 
 def best_of_each(candidates: DataFrame, key: list[str], score: str, order: str) -> DataFrame:
@@ -95,8 +129,14 @@ def keep_domain_or_all(hits: DataFrame, matches: Column) -> DataFrame:
     return flagged.join(some, "query_id").filter("in_domain or not some").drop("some")
 
 
-def diversified(ranked: DataFrame, group: list[str], k: int = 3) -> DataFrame:
-    """Top k of each query: the first hit of each evidence group by rank, then the others by rank."""
-    again = F.row_number().over(Window.partitionBy("query_id", *group).orderBy("rank")) > 1
-    w = Window.partitionBy("query_id").orderBy("later", "rank")
-    return ranked.withColumn("later", again).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("later")
+def diversified(scored: DataFrame, group: list[str], k: int = 3, order: tuple[str, ...] = ("path", "chunk_index")) -> DataFrame:
+    """Top k of each query by score: the first hit of each evidence group, then the others; adds place.
+
+    Of a group only its k best can be among them, so no query is sorted whole.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    best = [F.col("score").desc(), *order]
+    within = scored.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", *group).orderBy(*best))).filter(F.col("nth") <= k)
+    w = Window.partitionBy("query_id").orderBy(F.col("nth") > 1, *best)
+    return within.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("nth")

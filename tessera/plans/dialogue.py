@@ -55,10 +55,13 @@ def followup_resolve(spark, d):
 
 
 def _hits(spark, d):
-    """The top hits with what evidence needs."""
-    top = R.diversified(PR._ranked(spark, d), ["doc_id"], 10)
-    body = PR.chunks(spark, d).select("doc_id", "chunk_index", "title", F.col("text").alias("body"), "temporal_status", "effective_year")
-    return top.select("query_id", "doc_id", "chunk_index", "path", "score", F.col("place").alias("rank"), "source_priority").join(body, ["doc_id", "chunk_index"])
+    """The top hits with what evidence needs; bodies are read for these alone."""
+    index = PR.indexed(spark, d)
+    top = R.diversified(PR._scored(index), ["doc_id"], 10)
+    body = index.select("doc_id", "chunk_index", "title", F.col("text").alias("body"), "temporal_status", "effective_year")
+    # ten rows a query at most
+    top = F.broadcast(top.select("query_id", "doc_id", "chunk_index", "path", "score", F.col("place").alias("rank"), "source_priority"))
+    return body.join(top, ["doc_id", "chunk_index"])
 
 
 def citations(spark, d):

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from tessera.operators import retrieval as R
 from tessera.plans.common import SQL_CHUNKS, chunks, values
 from tessera.rules import demo
+from tessera.streaming.run import written
 
 TERMS, SHORT = R.split_terms(), R.short_terms()
 TOP_K = 3
 CUT = max(TOP_K * 30, 100)
+#: Ranks of a query that are reported.
+RANKED = 1000
 #: Domain that each demonstration query asks for
 WANTED = {1: "legal", 2: "people", 3: "support", 4: "people", 5: "people", 6: "legal", 7: "general", 8: "nowhere"}
 
@@ -22,83 +25,88 @@ def _in_domain(column: str = "query_id"):
     return out
 
 
+def indexed(spark, d):
+    """The index of all chunks, written once for each query that is run."""
+    return written(R.index(chunks(spark, d), TERMS, SHORT, demo.DOMAIN_PREDICATES), "chunk-index")
+
+
 def fts_match(spark, d):
-    found = R.term_matches(chunks(spark, d), TERMS)
+    found = R.term_matches(indexed(spark, d), TERMS)
     return found.groupBy("query_id", "doc_id", "chunk_index").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"))
 
 
 def bm25_scores(spark, d):
-    return R.bm25(chunks(spark, d), TERMS).select("query_id", "doc_id", "chunk_index", F.round("bm25", 6).alias("bm25"))
+    return R.bm25(indexed(spark, d), TERMS).select("query_id", "doc_id", "chunk_index", F.round("bm25", 6).alias("bm25"))
 
 
-def _candidates(spark, d):
-    scored = R.bm25(chunks(spark, d), TERMS).withColumn("bm25", F.round("bm25", 6))
-    return R.top_per_query(scored, CUT)
+def _candidates(index):
+    return R.top_per_query(R.bm25(index, TERMS).withColumn("bm25", F.round("bm25", 6)), CUT)
 
 
 def fts_candidates(spark, d):
-    return _candidates(spark, d)
+    return _candidates(indexed(spark, d))
 
 
-def _short(spark, d):
-    base = chunks(spark, d)
-    found = R.term_matches(base, SHORT).select("query_id", "doc_id", "chunk_index").distinct()
-    return found.join(base.select("doc_id", "chunk_index", "record_type", "source", "lang", "path"), ["doc_id", "chunk_index"]).filter(_in_domain() | (F.col("record_type") == ""))
+def _short(index):
+    found = index.select("doc_id", "chunk_index", "record_type", "source", "lang", "path", F.explode("shorts").alias("query_id"))
+    return found.filter(_in_domain() | (F.col("record_type") == ""))
 
 
 def short_term_scan(spark, d):
-    return _short(spark, d).select("query_id", "doc_id", "chunk_index")
+    return _short(indexed(spark, d)).select("query_id", "doc_id", "chunk_index")
 
 
-def _domain(spark, d):
-    base = chunks(spark, d)
-    names = F.array(*(F.when(F.expr(p), F.lit(n)) for n, p in demo.DOMAIN_PREDICATES.items()))
-    return base.select("doc_id", "chunk_index", F.explode(F.array_compact(names)).alias("domain"))
+def domain_scan(spark, d):
+    return indexed(spark, d).select("doc_id", "chunk_index", F.explode("domains").alias("domain"))
 
 
-def domain_scan(spark, d):
-    return _domain(spark, d)
+def _of_domain(index):
+    """(query_id, doc_id, chunk_index): the chunks of the domain that each query asks for."""
+    wanted = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(n).alias("domain")) for q, n in WANTED.items()))
+    return index.select("doc_id", "chunk_index", F.explode(F.filter(wanted, lambda w: F.array_contains("domains", w["domain"]))).alias("w")).select("w.query_id", "doc_id", "chunk_index")
 
 
-def _union(spark, d):
-    """Candidates of full text and of short terms; ``src`` is the order in which a tie is kept."""
-    full = _candidates(spark, d).select("query_id", "doc_id", "chunk_index", "bm25", F.lit(0).alias("src"))
-    return full.unionByName(_short(spark, d).select("query_id", "doc_id", "chunk_index", F.lit(0.0).alias("bm25"), F.lit(1).alias("src")))
+def _union(index):
+    """Candidates of full text, of short terms and of the domain; ``src`` is the order in which a tie is kept."""
+    keys = ["query_id", "doc_id", "chunk_index"]
+    full = _candidates(index).select(*keys, "bm25", F.lit(0).alias("src"))
+    more = [df.select(*keys, F.lit(0.0).alias("bm25"), F.lit(n).alias("src")) for n, df in ((1, _short(index)), (2, _of_domain(index)))]
+    return full.unionByName(more[0]).unionByName(more[1])
 
 
 def candidate_union(spark, d):
-    return _union(spark, d).groupBy("query_id", "src").agg(F.count("*").alias("candidates"))
+    return _union(indexed(spark, d)).groupBy("query_id", "src").agg(F.count("*").alias("candidates"))
 
 
 def dedupe_best(spark, d):
-    return R.best_of_each(_union(spark, d), ["query_id", "doc_id", "chunk_index"], "bm25", "src")
+    return R.best_of_each(_union(indexed(spark, d)), ["query_id", "doc_id", "chunk_index"], "bm25", "src")
 
 
 def field_weighted_score(spark, d):
-    return R.field_score(chunks(spark, d), TERMS)
+    return R.field_score(indexed(spark, d), TERMS)
 
 
-def _ranked(spark, d):
-    base = chunks(spark, d)
-    best = R.best_of_each(_union(spark, d), ["query_id", "doc_id", "chunk_index"], "bm25", "src")
-    points = R.field_score(base, TERMS)
+def _scored(index):
+    """Candidates with their score and the fields of their chunk; bodies are left where they are."""
+    best = R.best_of_each(_union(index), ["query_id", "doc_id", "chunk_index"], "bm25", "src")
+    rows = best.join(index.select("doc_id", "chunk_index", "path", "record_type", "source", "lang", "source_priority", "points"), ["doc_id", "chunk_index"])
     priority = F.when(F.col("source_priority") == "P0", 4.0).when(F.col("source_priority") == "P1", 2.0).otherwise(0.0)
-    rows = best.join(points, ["query_id", "doc_id", "chunk_index"], "left").join(base.select("doc_id", "chunk_index", "path", "record_type", "source", "lang", "source_priority"), ["doc_id", "chunk_index"])
-    rows = rows.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)) + 0.25 * F.col("bm25") + priority, 8)).filter("score > 0")
-    return R.top_per_query(rows, 1 << 30, "score", ("path", "chunk_index"))
+    points = R.own_points(TERMS, F.col("query_id"), F.col("points"))
+    return rows.withColumn("score", F.round(points + 0.25 * F.col("bm25") + priority, 8)).drop("points").filter("score > 0")
 
 
 def ranked_hits(spark, d):
-    return _ranked(spark, d).select("query_id", "doc_id", "chunk_index", "score", "rank")
+    rows = R.top_per_query(_scored(indexed(spark, d)), RANKED, "score", ("path", "chunk_index"))
+    return rows.select("query_id", "doc_id", "chunk_index", "score", "rank")
 
 
 def domain_fallback(spark, d):
-    kept = R.keep_domain_or_all(_ranked(spark, d), _in_domain())
+    kept = R.keep_domain_or_all(_scored(indexed(spark, d)), _in_domain())
     return kept.groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_and("in_domain").alias("all_match"), F.max("score").alias("best"))
 
 
 def diversified_topk(spark, d):
-    return R.diversified(_ranked(spark, d), ["doc_id"], TOP_K).select("query_id", "doc_id", "chunk_index", "score", "rank", "place")
+    return R.diversified(_scored(indexed(spark, d)), ["doc_id"], TOP_K).select("query_id", "doc_id", "chunk_index", "score", "place")
 
 
 QUERIES = {f.__name__: f for f in (fts_match, bm25_scores, fts_candidates, short_term_scan, domain_scan, candidate_union, dedupe_best, field_weighted_score, ranked_hits, domain_fallback, diversified_topk)}
@@ -120,7 +128,8 @@ _WANTED = "CASE query_id " + " ".join(f"WHEN {q} THEN ({demo.DOMAIN_PREDICATES.g
 _UNION = f"""{_BM25}, {values(SHORT, 'short_v')},
   short AS (SELECT DISTINCT query_id, doc_id, chunk_index FROM (SELECT s.query_id, c.* FROM chunks c JOIN short_v s(query_id, term) ON contains(lower(c.title), s.term) OR contains(lower(c.text), s.term))
     WHERE {_WANTED} OR record_type = ''),
-  uni AS (SELECT query_id, doc_id, chunk_index, bm25, 0 AS src FROM cand UNION ALL SELECT query_id, doc_id, chunk_index, 0.0, 1 FROM short),
+  domain_ AS (SELECT query_id, doc_id, chunk_index FROM (SELECT w.query_id, c.* FROM chunks c, (VALUES {", ".join(f"({q})" for q in WANTED)}) w(query_id)) WHERE {_WANTED}),
+  uni AS (SELECT query_id, doc_id, chunk_index, bm25, 0 AS src FROM cand UNION ALL SELECT query_id, doc_id, chunk_index, 0.0, 1 FROM short UNION ALL SELECT query_id, doc_id, chunk_index, 0.0, 2 FROM domain_),
   best AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_index ORDER BY bm25 DESC, src) AS o FROM uni) WHERE o = 1)"""
 _POINTS = " + ".join(f"CASE WHEN contains(lower({f}), term) THEN {w}::DOUBLE * least(length(term), 12) ELSE 0 END" for f, w in demo.FIELD_WEIGHTS.items())
 _FIELD = f"pts AS (SELECT query_id, doc_id, chunk_index, sum(p) AS score FROM (SELECT t.query_id, c.doc_id, c.chunk_index, {_POINTS} AS p FROM chunks c, terms t) WHERE p > 0 GROUP BY ALL)"
@@ -138,9 +147,9 @@ SQL = {
     "candidate_union": f"{_UNION} SELECT query_id, src, count(*) AS candidates FROM uni GROUP BY ALL",
     "dedupe_best": f"{_UNION} SELECT * FROM best",
     "field_weighted_score": f"{_BASE}, {_FIELD} SELECT * FROM pts",
-    "ranked_hits": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, rank FROM ranked",
+    "ranked_hits": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, rank FROM ranked WHERE rank <= {RANKED}",
     "domain_fallback": f"""{_RANKED}, f AS (SELECT *, {_WANTED} AS m, bool_or({_WANTED}) OVER (PARTITION BY query_id) AS any_in FROM ranked)
         SELECT query_id, count(*) AS hits, bool_and(m) AS all_match, max(score) AS best FROM f WHERE m OR NOT any_in GROUP BY query_id""",
     "diversified_topk": f"""{_RANKED}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) > 1 AS later FROM ranked),
-        p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank)::INT AS place FROM g) SELECT query_id, doc_id, chunk_index, score, rank, place FROM p WHERE place <= {TOP_K}""",
+        p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank)::INT AS place FROM g) SELECT query_id, doc_id, chunk_index, score, place FROM p WHERE place <= {TOP_K}""",
 }
