@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 FULL = "".join(chr(0xFF01 + i) for i in range(94))
 HALF = "".join(chr(0x21 + i) for i in range(94))
-#: Small vowels and glides, which belong to the kana before.
-SMALL_KANA = r"[\x{3043}\x{3045}\x{3047}\x{3049}\x{3083}\x{3085}\x{3087}\x{308E}\x{30A3}\x{30A5}\x{30A7}\x{30A9}\x{30E3}\x{30E5}\x{30E7}\x{30EE}]"
+# fixed values of the spoken length, in tenths of a mora: letter names by letter (others 20), kana, kanji, small letters, digits, pauses
+LETTER_TENTHS = (("HRZ", 30), ("WX", 40))
+SMALL_KANA = "ゃゅょぁぃぅぇぉゎャュョァィゥェォヮ"
+PAUSES = "、，,。．！？!?"
 #: (pattern, replacement) in order
 SYMBOLS = [("%", " percent "), ("&", " and "), (r"\+", " plus "), ("=", " equals ")]
 MARKDOWN = [(r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"https?://[^ \n]+", "link"), (r"(?m)^[ \t]*(?:#+|[-*>])[ \t]+", ""), (r"\*\*([^*]*)\*\*", "$1")]
@@ -26,17 +28,19 @@ def normalize_speech(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^ | $", "")
 
 
-def mora(c: Column) -> Column:
-    """Kana and digits 1, small kana and long marks 0, kanji 2, letters a third, in whole thirds."""
-    kana = F.regexp_count(c, F.lit(r"[\x{3042}-\x{3096}\x{30A2}-\x{30FA}]"))
-    small = F.regexp_count(c, F.lit(SMALL_KANA))
-    han = F.regexp_count(c, F.lit(r"[\x{4E00}-\x{9FFF}]"))
-    return (kana - small) * 3 + han * 6 + F.regexp_count(c, F.lit("[0-9]")) * 3 + F.regexp_count(c, F.lit("[A-Za-z]"))
+def mora_tenths(c: Column) -> Column:
+    """Rough spoken length in tenths of a mora: kana 10, kanji 17, the zero sign 20, digits 15, small letters 10, capitals their names, pauses inside the text 20."""
+    c = F.translate(c, FULL, HALF)
+    count = lambda x, chars: F.regexp_count(x, F.lit(f"[{chars}]"))
+    kana = count(c, r"\x{3041}-\x{3096}\x{30A1}-\x{30FA}ー") - count(c, SMALL_KANA)
+    inside = F.regexp_replace(c, r"(?U)[^\s]\s*$", "")
+    letters = count(c, "A-Z") * 20 + sum(count(c, chars) * (tenths - 20) for chars, tenths in LETTER_TENTHS)
+    return kana * 10 + count(c, r"\x{4E00}-\x{9FFF}々") * 17 + count(c, "〇") * 20 + letters + count(c, "a-z") * 10 + count(c, "0-9") * 15 + count(inside, PAUSES) * 20
 
 
-def max_seconds(thirds: Column) -> Column:
+def max_seconds(tenths: Column) -> Column:
     """clamp(0.7 + mora / 6, 1.2, 30), three decimals half to even"""
-    return F.bround(F.least(F.greatest(F.lit(0.7) + thirds / 18.0, F.lit(1.2)), F.lit(30.0)), 3)
+    return F.bround(F.least(F.greatest(F.lit(0.7) + tenths / 60.0, F.lit(1.2)), F.lit(30.0)), 3)
 
 
 def sentences(c: Column) -> Column:

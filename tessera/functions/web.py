@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track visitors.
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "yclid")
+# fixed values: query parameters that only track visitors, where callers name no others
+TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source")
 
 
-def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, no doubled slashes, no tracking parameters, sorted query, no fragment; null unless http(s)."""
+def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
+    """Lower-case scheme and host, no default port, no doubled slashes, no ``tracking`` or utm parameters, sorted query, no fragment; null unless http(s)."""
     bare = F.regexp_replace(url, r"#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)://", 1))
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1))
     host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).otherwise(F.regexp_replace(host, r":443$", ""))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), "/{2,}", "/")
-    query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.startswith("utm_") & ~F.substring_index(p, "=", 1).isin(*TRACKING))
+    query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.startswith("utm_") & ~F.substring_index(p, "=", 1).isin(*tracking))
     tail = F.array_join(F.array_sort(query), "&")
     whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(tail == "", "").otherwise(F.concat(F.lit("?"), tail)))
     return F.when(scheme.isin("http", "https") & (host != ""), whole)

@@ -50,16 +50,18 @@ def paired(messages: DataFrame) -> DataFrame:
     return rows.filter("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", "text", "reply")
 
 
-def temporal_boost(year: Column, status: Column, asked_years: Column, asks_plan: Column, asks_result: Column) -> Column:
-    """Year part first (170 in the years asked, -220 in another, -20 unknown), then by status."""
-    has = F.size(asked_years) > 0
-    part = F.when(~has, 0).when(year.isNull(), -20).when(F.array_contains(asked_years, year), 170).otherwise(-220)
-    return (
-        F.when(status.rlike("^current_20[0-9]{2}$"), part + F.when(has, 10).otherwise(35)).when(status == "current_or_undated", part + 15)
-        .when(status == "planned_subject_to_change", part + F.when(asks_plan, 130).otherwise(-180)).when(status.startswith("recruitment_closed"), part + F.when(asks_plan, 120).otherwise(-180))
-        .when(status == "historical_result", F.when(has, part).when(asks_result, 10 + F.greatest(F.lit(0), year - 2024)).otherwise(-70))
-        .when(status.startswith("historical"), F.when(has, part).otherwise(-80)).when(status == "versioned_page_verify_year", part - 50).otherwise(part)
-    )
+def rule_points(rules, subject: Column, base: Column) -> Column:
+    """``base`` and the points of the first rule that fits; ``base`` alone where none does.
+
+    A rule is (pattern of the whole subject, condition, points, adds), condition
+    and points being SQL over columns; where it does not add, its points stand
+    alone.
+    """
+    out = base
+    for pattern, condition, points, adds in reversed(rules):
+        found = F.expr(points)
+        out = F.when(subject.rlike(f"^(?:{pattern})$") & F.expr(condition), base + found if adds else found).otherwise(out)
+    return out
 
 
 def budgeted(hits: DataFrame, budget: int, header: str = "header", body: str = "body", used: int = 0) -> DataFrame:

@@ -190,8 +190,8 @@ def bootstrap_ci(spark, d):
 
 
 def mora_estimate(spark, d):
-    m = P.mora(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", m.cast("long").alias("thirds"), P.max_seconds(m).alias("max_seconds"))
+    m = P.mora_tenths(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", m.cast("long").alias("tenths"), P.max_seconds(m).alias("max_seconds"))
 
 
 def segment_coalesce(spark, d):
@@ -225,6 +225,10 @@ QUERIES = {
     )
 }
 
+def _count(text, chars):
+    return f"len(regexp_extract_all({text}, '[{chars}]'))"
+
+
 _SEC = "(epoch_us(ts) / 1e6::DOUBLE)"
 _SENT = r"""list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?\n]*'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: regexp_matches(s, '[0-9A-Za-z\x{80}-\x{10FFFF}]'))"""
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
@@ -258,7 +262,7 @@ SQL = {
         SELECT conv_id, turn, seq, substr(x, (seq * 120 + 1)::BIGINT, 120) AS part FROM s""",
     "url_canonical": r"""WITH a AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages),
         p AS (SELECT page_id, lower(regexp_extract(b, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(b, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/{2,}', '/', 'g') AS path,
-          array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'yclid'))), '&') AS q FROM a)
+          array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source'))), '&') AS q FROM a)
         SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END
           || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM p""",
     "url_scope": f"""WITH h AS (SELECT page_id, {_HOST} AS host, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
@@ -278,8 +282,10 @@ SQL = {
     "vector_topk": """WITH v AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM v GROUP BY ALL),
         s AS (SELECT v.label, vec_id, round(sum(x * c) / sqrt(sum(x * x)) / sqrt(sum(c * c)), 9) AS cosine FROM v JOIN c ON v.label = c.label AND v.i = c.i GROUP BY ALL)
         SELECT * FROM (SELECT label, vec_id, cosine, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10""",
-    "mora_estimate": r"""WITH m AS (SELECT conv_id, turn, ((len(regexp_extract_all(text, '[\x{3042}-\x{3096}\x{30A2}-\x{30FA}]')) - len(regexp_extract_all(text, '[\x{3043}\x{3045}\x{3047}\x{3049}\x{3083}\x{3085}\x{3087}\x{308E}\x{30A3}\x{30A5}\x{30A7}\x{30A9}\x{30E3}\x{30E5}\x{30E7}\x{30EE}]'))) * 3 + len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) * 6 + len(regexp_extract_all(text, '[0-9]')) * 3 + len(regexp_extract_all(text, '[A-Za-z]')))::BIGINT AS thirds FROM conversations)
-        SELECT conv_id, turn, thirds, round_even(least(greatest(0.7::DOUBLE + thirds / 18.0::DOUBLE, 1.2::DOUBLE), 30::DOUBLE), 3) AS max_seconds FROM m""",
+    "mora_estimate": rf"""WITH c AS (SELECT conv_id, turn, translate(text, '{P.FULL}', '{P.HALF.replace("'", "''")}') AS t FROM conversations),
+        m AS (SELECT conv_id, turn, ({_count("t", "ぁ-ゖァ-ヺー")} - {_count("t", P.SMALL_KANA)}) * 10 + {_count("t", "一-鿿々")} * 17 + {_count("t", "〇")} * 20 + {_count("t", "A-Z")} * 20
+          + {_count("t", "HRZ")} * 10 + {_count("t", "WX")} * 20 + {_count("t", "a-z")} * 10 + {_count("t", "0-9")} * 15 + {_count(r"regexp_replace(t, '[^\s]\s*$', '')", P.PAUSES)} * 20 AS tenths FROM c)
+        SELECT conv_id, turn, tenths::BIGINT AS tenths, round_even(least(greatest(0.7::DOUBLE + tenths / 60.0::DOUBLE, 1.2::DOUBLE), 30::DOUBLE), 3) AS max_seconds FROM m""",
     "segment_coalesce": f"""WITH s AS (SELECT conv_id, turn, {_SENT} AS p FROM conversations), c AS (SELECT conv_id, turn, CASE WHEN len(p) <= 3 THEN p ELSE list_slice(p, 1, 2) || [array_to_string(list_slice(p, 3, len(p)), ' ')] END AS q FROM s)
         SELECT conv_id, turn, len(q) AS n, array_to_string(q, '|') AS joined FROM c""",
     "signal_levels": None,

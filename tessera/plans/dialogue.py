@@ -88,13 +88,17 @@ def context_budget(spark, d):
 
 
 def temporal_boosts(spark, d):
+    """Points of each document for questions that name no year, some years, plans or results."""
     docs = chunking.catalogue(documents(spark, d))
-    boost = lambda years: D.temporal_boost(F.col("effective_year"), F.col("temporal_status"), years, F.lit(False), F.lit(False))
-    return docs.select("doc_id", boost(F.array().cast("array<int>")).cast("int").alias("no_year"), boost(F.array(F.lit(2021), F.lit(2022))).cast("int").alias("asked"))
+    for name, (years, plans, results) in demo.ASKED.items():
+        asked = docs.withColumns({"asked": F.array(*map(F.lit, years)).cast("array<int>"), "wants_plan": F.lit(plans), "wants_result": F.lit(results)})
+        year = F.expr("case " + " ".join(f"when {c} then {n}" for c, n in demo.YEAR_POINTS) + " end")
+        docs = asked.withColumn(name, D.rule_points(demo.STATUS_POINTS, F.col("temporal_status"), year).cast("int")).drop("asked", "wants_plan", "wants_result")
+    return docs.select("doc_id", *demo.ASKED)
 
 
 def confidence_gate(spark, d):
-    """Acceptance of each query from coverage of its terms by any hit, anchor, priority and margin."""
+    """Acceptance of each query from coverage of its terms by any hit, a term in a title, priority and margin."""
     terms = {q: [t for x, t in R.split_terms() if x == q] for q, _ in demo.QUERIES}
     hits = _hits(spark, d)
     rows = F.lit(None).cast("array<string>")
@@ -102,8 +106,9 @@ def confidence_gate(spark, d):
         rows = F.when(F.col("query_id") == q, F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")).otherwise(rows)
     each = hits.withColumn("term", F.explode(rows)).groupBy("query_id", "term").agg(F.max(F.lower("body").contains(F.col("term")).cast("int")).alias("covered"))
     coverage = each.groupBy("query_id").agg(F.avg("covered").alias("coverage"))
+    anchor = hits.groupBy("query_id").agg(F.bool_or(F.exists(rows, lambda t: F.lower("title").contains(t))).cast("int").alias("anchor"))
     best = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.bool_or(F.col("source_priority") == "P0").cast("int").alias("p0"), F.max_by("doc_id", -F.col("rank")).alias("doc_id"))
-    out = best.join(coverage, "query_id").withColumn("confidence", F.round(D.confidence(F.col("coverage"), F.lit(0), F.col("p0"), (F.col("top") >= 40).cast("int")), 6))
+    out = best.join(coverage, "query_id").join(anchor, "query_id").withColumn("confidence", F.round(D.confidence(F.col("coverage"), F.col("anchor"), F.col("p0"), (F.col("top") >= 40).cast("int")), 6))
     gate = F.when(F.col("top") < 12, "low_score").when(F.col("coverage") == 0, "no_content").when(F.col("confidence") < 0.68, "low_confidence").otherwise("accepted")
     return out.select("query_id", "doc_id", F.round("coverage", 6).alias("coverage"), "confidence", gate.alias("gate"))
 
@@ -147,12 +152,10 @@ _HITS = f"""{PR._RANKED}, g AS (SELECT *, row_number() OVER (PARTITION BY query_
 _CIT = f"{_HITS}, cit AS (SELECT query_id, rank, path || '#' || title || ':' || chunk_index AS citation_id, title, score, effective_year::INT AS year FROM hits_)"
 
 
-def _boost(years):
-    has = "true" if years else "false"
-    part = f"(CASE WHEN effective_year IN ({', '.join(map(str, years))}) THEN 170 ELSE -220 END)" if years else "0"
-    return f"""(CASE WHEN regexp_full_match(temporal_status, 'current_20[0-9]{{2}}') THEN {part} + CASE WHEN {has} THEN 10 ELSE 35 END WHEN temporal_status = 'current_or_undated' THEN {part} + 15
-      WHEN temporal_status = 'historical_result' THEN CASE WHEN {has} THEN {part} ELSE -70 END WHEN starts_with(temporal_status, 'historical') THEN CASE WHEN {has} THEN {part} ELSE -80 END
-      WHEN temporal_status = 'versioned_page_verify_year' THEN {part} - 50 ELSE {part} END)::INT"""
+def _boost(years, plans, results):
+    sql = lambda c: c.replace("size(asked)", str(len(years))).replace("array_contains(asked, effective_year)", f"effective_year IN ({', '.join(map(str, years)) or 'NULL'})").replace("wants_plan", str(plans)).replace("wants_result", str(results))
+    year = "(CASE " + " ".join(f"WHEN {sql(c)} THEN {n}" for c, n in demo.YEAR_POINTS) + " END)"
+    return "(CASE " + " ".join(f"WHEN regexp_full_match(temporal_status, '{p}') AND {sql(c)} THEN {f'{year} + ' if adds else ''}{n}" for p, c, n, adds in demo.STATUS_POINTS) + f" ELSE {year} END)::INT"
 
 
 SQL = {
@@ -176,11 +179,12 @@ SQL = {
         b AS (SELECT *, 3000 - coalesce(sum(length(header) + length(body) + 2) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(header) - 8 AS lefts FROM h),
         c AS (SELECT *, CASE WHEN length(body) > lefts THEN regexp_replace(substr(body, 1, (lefts - 1)::BIGINT), '\s+$', '') || '...' ELSE body END AS packed FROM b WHERE lefts > 0)
         SELECT query_id, rank, md5(packed) AS digest, length(packed) AS chars FROM c""",
-    "temporal_boosts": f"WITH {SQL_CATALOGUE} SELECT doc_id, {_boost([])} AS no_year, {_boost([2021, 2022])} AS asked FROM cat",
+    "temporal_boosts": f"WITH {SQL_CATALOGUE} SELECT doc_id, {", ".join(f"{_boost(*a)} AS {n}" for n, a in demo.ASKED.items())} FROM cat",
     "confidence_gate": f"""{_HITS}, e AS (SELECT h.query_id, t.term, max(contains(lower(body), t.term)::INT) AS covered FROM hits_ h JOIN terms t ON h.query_id = t.query_id GROUP BY ALL),
         cv AS (SELECT query_id, avg(covered) AS coverage FROM e GROUP BY query_id),
+        an AS (SELECT h.query_id, bool_or(contains(lower(title), t.term))::INT AS anchor FROM hits_ h JOIN terms t ON h.query_id = t.query_id GROUP BY ALL),
         tops AS (SELECT query_id, max(score) AS top, bool_or(source_priority = 'P0')::INT AS p0, arg_min(doc_id, rank) AS doc_id FROM hits_ GROUP BY query_id),
-        o AS (SELECT *, round(least(1, 0.45::DOUBLE + 0.25::DOUBLE * coverage + 0.1::DOUBLE * p0 + 0.05::DOUBLE * (top >= 40)::INT), 6) AS confidence FROM tops JOIN cv USING (query_id))
+        o AS (SELECT *, round(least(1, 0.45::DOUBLE + 0.25::DOUBLE * coverage + 0.15::DOUBLE * anchor + 0.1::DOUBLE * p0 + 0.05::DOUBLE * (top >= 40)::INT), 6) AS confidence FROM tops JOIN cv USING (query_id) JOIN an USING (query_id))
         SELECT query_id, doc_id, round(coverage, 6) AS coverage, confidence, CASE WHEN top < 12 THEN 'low_score' WHEN coverage = 0 THEN 'no_content' WHEN confidence < 0.68::DOUBLE THEN 'low_confidence' ELSE 'accepted' END AS gate FROM o""",
     "event_dates": r"""WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\b(\d{4}-\d{2}-\d{2})\b', 1), lambda s: try_cast(s AS DATE)), lambda v: v IS NOT NULL) AS dates FROM documents)
         SELECT doc_id, len(dates) AS n, list_min(dates) AS first, list_max(dates) AS last, list_max(dates) < DATE '2026-01-01' AS ended FROM x WHERE len(dates) > 0""",

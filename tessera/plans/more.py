@@ -11,7 +11,8 @@ from tessera.operators import retrieval as R
 from tessera.operators import series as X
 from tessera.operators import terms
 from tessera.plans import analytics, dialogue
-from tessera.plans.common import documents
+from tessera.operators import chunking
+from tessera.plans.common import SQL_CATALOGUE, documents
 from tessera.rules import demo
 from tessera.session import table
 
@@ -22,7 +23,10 @@ SCRIPTED = [(1, r"(?i)^(hi|hello|bonjour|hallo|hola)[.!?]*$", "greeting"), (2, r
 
 
 def number_readings(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", readings.integer_reading(F.col("o_orderkey")).alias("reading"))
+    """Readings of order numbers, of the same with seven and with twelve zeros more, and with a zero before."""
+    key = F.col("o_orderkey").cast("string")
+    more = {"reading": key, "large": F.concat(key, F.lit("0000000")), "huge": F.concat(key, F.lit("000000000000")), "coded": F.concat(F.lit("0"), key)}
+    return table(spark, d, "orders").select("o_orderkey", *(readings.number_reading(c).alias(n) for n, c in more.items()))
 
 
 def filler_timeouts(spark, d):
@@ -113,14 +117,17 @@ def prebuffer(spark, d):
 
 
 def vocabulary_union(spark, d):
-    """Words of queries, titles of labelled rows and intents, each once, by length."""
-    rules = documents(spark, d).limit(0).select(F.lit("").alias("w"))
-    listed = sorted({w for _, t in demo.QUERIES for w in t.lower().split()} | {w for _, ts, _, _ in demo.INTENTS for w in ts})
-    found = documents(spark, d).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).filter("length(w) >= 2").distinct()
-    known = found.filter(F.col("w").isin(listed)).unionByName(rules)
-    return known.groupBy(F.length("w").cast("long").alias("chars")).agg(F.count("*").alias("n"))
+    """Lower-cased words of six sources, each once, by length: queries, intents, keywords, domains, titles of labelled documents, names of their sources."""
+    split = lambda c: F.explode(F.split(F.lower(c), r"[^\p{L}]+"))
+    rules = [w for ws in _RULE_WORDS for w in ws]
+    listed = documents(spark, d).sparkSession.createDataFrame([(w,) for w in rules], "w string").select(split(F.col("w")).alias("w"))
+    labelled = documents(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    titled = chunking.catalogue(labelled)
+    words = listed.unionByName(titled.select(split(F.col("title")).alias("w"))).unionByName(titled.select(split(F.col("source")).alias("w")))
+    return words.filter("w <> ''").distinct().groupBy(F.length("w").cast("long").alias("chars")).agg(F.count("*").alias("n"))
 
 
+_RULE_WORDS = ([t for _, t in demo.QUERIES], [w for _, ts, _, _ in demo.INTENTS for w in ts], [k for _, k, _ in demo.KEYWORDS], [n for _, n, _ in demo.DOMAINS])
 QUERIES = {f.__name__: f for f in (number_readings, filler_timeouts, blend_weights, paragraph_gaps, scripted_replies, unknown_names, effective_year, score_filter, content_relevance, thinking_stripped, wav_files, decoded_pages, prebuffer, vocabulary_union)}
 
 
@@ -128,17 +135,29 @@ def _pick(names, n, place):
     return f"[{', '.join(repr(x) for x in names)}][((({n}) // {10**place}) % 10 + 1)::INT]"
 
 
-def _group(i):
-    g = f"(o_orderkey // {10 ** (4 * i)}) % 10000"
-    read = " || ".join(_pick(t, g, p) for t, p in ((readings.THOUSANDS, 3), (readings.HUNDREDS, 2), (readings.TENS, 1), (readings.ONES, 0)))
-    if i == 3:
-        read = f"CASE WHEN {g} = 1 THEN 'いっ' ELSE {read} END"
-    return f"CASE WHEN {g} = 0 THEN '' ELSE ({read}) || '{readings.GROUPS[i]}' END"
+def _reading_sql(text):
+    """The reading of a string of up to 20 digits without a leading zero."""
+    parts = []
+    for i in (4, 3, 2, 1, 0):
+        g = f"substr(lpad({text}, 20, '0'), {4 * (4 - i) + 1}, 4)::INT"
+        read = " || ".join(_pick(t, g, p) for t, p in ((readings.THOUSANDS, 3), (readings.HUNDREDS, 2), (readings.TENS, 1), (readings.ONES, 0)))
+        if i > 0:
+            read = f"regexp_replace({read}, '^せん', 'いっせん')"
+        if i >= 3:
+            read = f"regexp_replace(regexp_replace({read}, '([いは])ち$', '\\1っ'), 'じゅう$', 'じゅっ')"
+        if i == 4:
+            read = f"regexp_replace({read}, '([ひびぴ]ゃ)く$', '\\1っ')"
+        parts.append(f"CASE WHEN {g} = 0 THEN '' ELSE ({read}) || '{readings.GROUPS[i]}' END")
+    return " || ".join(parts)
+
+
+def _or_zeros(n, text):
+    return f"CASE WHEN o_orderkey = 0 THEN repeat('{readings.DIGITS[0]}', {n}) ELSE {_reading_sql(text)} END"
 
 
-_LISTED = sorted({w for _, t in demo.QUERIES for w in t.lower().split()} | {w for _, ts, _, _ in demo.INTENTS for w in ts})
 SQL = {
-    "number_readings": f"SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 'ぜろ' ELSE {' || '.join(_group(i) for i in (4, 3, 2, 1, 0))} END AS reading FROM orders",
+    "number_readings": f"""SELECT o_orderkey, {_or_zeros(1, "o_orderkey::VARCHAR")} AS reading, {_or_zeros(8, "(o_orderkey::VARCHAR || '0000000')")} AS large, {_or_zeros(13, "(o_orderkey::VARCHAR || '000000000000')")} AS huge,
+        array_to_string(list_transform(string_split('0' || o_orderkey, ''), lambda x: [{", ".join(repr(x) for x in readings.DIGITS)}][x::INT + 1]), '') AS coded FROM orders""",
     "filler_timeouts": f"""WITH w AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6::DOUBLE - epoch_us(ts) / 1e6::DOUBLE AS wait FROM events)
         SELECT user_id, count(*) AS clicks, count(*) FILTER (wait IS NULL OR wait > {FILLER_AFTER}) AS fillers FROM w WHERE event_type = 'click' GROUP BY user_id""",
     "blend_weights": "SELECT user_id, " + ", ".join(f"coalesce(max(value) FILTER (event_type = '{t}'), 0.0) AS {t}" for t in TARGETS) + " FROM events GROUP BY user_id",
@@ -155,6 +174,7 @@ SQL = {
     "decoded_pages": "SELECT page_id, md5(html) AS digest FROM pages",
     "prebuffer": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS have FROM events)
         SELECT user_id, min(event_id) FILTER (have = 5) AS starts_at, count(*) FILTER (have > 5) AS after FROM r GROUP BY user_id""",
-    "vocabulary_union": f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
-        SELECT length(w) AS chars, count(*) AS n FROM w WHERE length(w) >= 2 AND w IN ({", ".join(repr(w) for w in _LISTED)}) GROUP BY 1""",
+    "vocabulary_union": f"""WITH {SQL_CATALOGUE}, t AS (SELECT * FROM cat WHERE doc_id IN (SELECT doc_id FROM labels)),
+        r AS (SELECT unnest([{", ".join("'" + w.replace("'", "''") + "'" for ws in _RULE_WORDS for w in ws)}]) AS w UNION ALL SELECT title FROM t UNION ALL SELECT source FROM t),
+        w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(w), '[^\\p{{L}}]+')) AS w FROM r) SELECT length(w) AS chars, count(*) AS n FROM w WHERE w <> '' GROUP BY 1""",
 }

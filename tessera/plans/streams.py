@@ -12,13 +12,25 @@ from tessera.streaming.run import drained, stream_of
 from tessera.streaming.stateful import sentence_stream, utterance_stream
 
 
+def _with_last(spark, d, name, key, seq):
+    """The table as a stream whose rows know whether they are the last of their key."""
+    last = table(spark, d, name).groupBy(key).agg(F.max(seq).alias("last_seq"))
+    return stream_of(spark, d, name).join(last, key).withColumn("ends", F.col(seq) == F.col("last_seq"))
+
+
 def stream_sentences(spark, d):
-    return drained(sentence_stream(stream_of(spark, d, "conversations"), "conv_id", "turn", "text"), "sentences")
+    return drained(sentence_stream(_with_last(spark, d, "conversations", "conv_id", "turn"), "conv_id", "turn", "text", "ends"), "sentences")
 
 
 def stream_vad(spark, d):
-    frames_ = stream_of(spark, d, "events").withColumn("voiced", F.abs("value") >= VOICED)
-    return drained(utterance_stream(frames_, "user_id", "event_id", "voiced"), "vad")
+    frames_ = _with_last(spark, d, "events", "user_id", "event_id").withColumn("voiced", F.abs("value") >= VOICED)
+    return drained(utterance_stream(frames_, "user_id", "event_id", "voiced", "ends"), "vad").select("user_id", "first", "last", "voiced_frames")
+
+
+def stream_endpoints(spark, d):
+    """The same with a start of two voiced frames, four of lead-in, three voiced ones at least and a cap of 40 frames."""
+    frames_ = _with_last(spark, d, "events", "user_id", "event_id").withColumn("voiced", F.abs("value") >= VOICED)
+    return drained(utterance_stream(frames_, "user_id", "event_id", "voiced", "ends", 2, 3, 3, 40, 4), "endpoints")
 
 
 def stream_windows(spark, d):
@@ -41,11 +53,12 @@ def frame_codec(spark, d):
 
 
 def sse_deltas(spark, d):
-    """Assistant messages as server-sent event lines, parsed back to deltas."""
+    """Assistant messages as server-sent event lines with a stray delta after the end mark, parsed back to deltas."""
     turns = table(spark, d, "conversations").filter("role = 'assistant'")
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
-    lines = turns.select("conv_id", "turn", F.explode(F.array(F.concat(F.lit("data: "), body), F.lit(""), F.lit("data: [DONE]"))).alias("line"))
-    return sse.deltas(lines).select("conv_id", "turn", F.md5("delta").alias("digest"))
+    late = F.lit('data: {"choices": [{"delta": {"content": "late"}}]}')
+    lines = turns.select("conv_id", "turn", F.posexplode(F.array(F.concat(F.lit("data: "), body), F.lit(""), F.lit("data: [DONE]"), late)).alias("pos", "line"))
+    return sse.deltas(lines, ["conv_id", "turn"], "pos").select("conv_id", "turn", F.md5("delta").alias("digest"))
 
 
 def control_messages(spark, d):
@@ -63,17 +76,15 @@ def session_states(spark, d):
     return rows.filter("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("views"), F.count_if(F.col("state") == "listening").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (stream_sentences, stream_vad, stream_windows, stream_turn_log, frame_codec, sse_deltas, control_messages, session_states)}
+QUERIES = {f.__name__: f for f in (stream_sentences, stream_vad, stream_endpoints, stream_windows, stream_turn_log, frame_codec, sse_deltas, control_messages, session_states)}
 SQL = {
-    "stream_sentences": r"""WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS x FROM conversations GROUP BY conv_id),
-        p AS (SELECT conv_id, regexp_extract_all(x, '[^.!?\n]+[.!?\n]+') AS ps, regexp_matches(x, '[.!?\n]$') AS ends FROM t),
-        u AS (SELECT conv_id, unnest(range(0, CASE WHEN ends THEN len(ps) - 1 ELSE len(ps) END)) AS i, ps FROM p),
-        s AS (SELECT conv_id, i, regexp_replace(ps[i + 1], '^\s+|\s+$', '', 'g') AS segment FROM u)
+    "stream_sentences": r"""WITH t AS (SELECT conv_id, regexp_extract_all(string_agg(text, '' ORDER BY turn), '[^.!?\n]+[.!?\n]*') AS ps FROM conversations GROUP BY conv_id),
+        u AS (SELECT conv_id, unnest(range(0, len(ps))) AS i, ps FROM t), s AS (SELECT conv_id, i, regexp_replace(ps[i + 1], '^\s+|\s+$', '', 'g') AS segment FROM u)
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS segment_no, segment FROM s WHERE segment <> ''""",
-    "stream_vad": f"""WITH r AS (SELECT user_id, event_id, abs(value) >= {VOICED} AS is_on, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+    "stream_vad": f"""WITH r AS (SELECT user_id, event_id, abs(value) >= {VOICED} AS is_on, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
         v AS (SELECT *, CASE WHEN rn - lag(rn) OVER w > 3 THEN 1 ELSE 0 END AS cut FROM r WHERE is_on WINDOW w AS (PARTITION BY user_id ORDER BY rn)),
         g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY rn) AS grp FROM v)
-        SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS voiced_frames FROM g GROUP BY user_id, grp, total HAVING total - max(rn) >= 3""",
+        SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS voiced_frames FROM g GROUP BY user_id, grp""",
     "stream_windows": """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events) SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, max(value) AS peak FROM events, m
         WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= wm GROUP BY ALL""",
     "stream_turn_log": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",

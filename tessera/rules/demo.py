@@ -54,7 +54,8 @@ PRIORITY = f"case when {SOURCE_NUMBER} < 5 then 'P0' when {SOURCE_NUMBER} < 10 t
 YEAR = f"2020 + {SOURCE_NUMBER} % 7"
 STATUS = (
     f"case {SOURCE_NUMBER} % 6 when 0 then concat('current_', cast({YEAR} as string)) when 1 then 'current_or_undated' when 2 then 'historical_result' "
-    "when 3 then 'historical_archive' when 4 then 'versioned_page_verify_year' else '' end"
+    "when 3 then 'historical_archive' when 4 then 'versioned_page_verify_year' else "
+    f"case {SOURCE_NUMBER} % 12 when 5 then 'planned_subject_to_change' else 'recruitment_closed_early' end end"
 )
 #: domain -> predicate over (record_type, source, lang, path)
 DOMAIN_PREDICATES = {
@@ -63,3 +64,25 @@ DOMAIN_PREDICATES = {
     "support": "path like 'src1%' or contains(path, '/en/')",
     "general": "not (record_type = '')",
 }
+
+# fixed values: points by year and by temporal status, in the order in which they are tried
+#: (condition, points) of the year
+YEAR_POINTS = [("size(asked) = 0", 0), ("effective_year is null", -20), ("array_contains(asked, effective_year)", 170), ("true", -220)]
+#: (status, condition, points, whether the year's points are added)
+STATUS_POINTS = [
+    ("current_20[0-9]{2}", "size(asked) = 0", "35", True),
+    ("current_20[0-9]{2}", "true", "10", True),
+    ("current_or_undated", "true", "15", True),
+    ("planned_subject_to_change", "wants_plan", "130", True),
+    ("planned_subject_to_change", "true", "-180", True),
+    ("recruitment_closed.*", "wants_plan", "120", True),
+    ("recruitment_closed.*", "true", "-180", True),
+    ("historical_result", "size(asked) > 0", "0", True),
+    ("historical_result", "wants_result", "10 + greatest(0, effective_year - 2024)", False),
+    ("historical_result", "true", "-70", False),
+    ("historical.*", "size(asked) > 0", "0", True),
+    ("historical.*", "true", "-80", False),
+    ("versioned_page_verify_year", "true", "-50", True),
+]
+#: What a question may ask for: name -> (years, plans, results)
+ASKED = {"no_year": ([], False, False), "years": ([2021, 2022], False, False), "plans": ([], True, False), "results": ([], False, True)}

@@ -9,53 +9,116 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.functions.query_text import Segmenter
+
 #: A piece and the marks that end it.
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]+")
+#: The same, or a piece without an end.
+OPEN = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
-def sentence_stream(deltas: DataFrame, key: str, seq: str, delta: str) -> DataFrame:
-    """(key, segment_no, segment) of complete sentences from text deltas.
+def sentence_stream(deltas: DataFrame, key: str, seq: str, delta: str, last: str) -> DataFrame:
+    """(key, segment_no, segment) of sentences from text deltas.
 
     A sentence whose end is the end of the buffer waits for the next delta,
-    because more end marks may follow.
+    because more end marks may follow.  The delta flagged ``last`` flushes what is
+    left, complete or not, and the key's state goes.
     """
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, n = state.get if state.exists else ("", 0)
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
-        out = []
-        for text in rows[delta]:
+        out, ended = [], False
+        for text, ended in zip(rows[delta], rows[last]):
             held += text or ""
             at = 0
-            for m in SENTENCE.finditer(held):
-                if m.end() == len(held):
+            for m in (OPEN if ended else SENTENCE).finditer(held):
+                if m.end() == len(held) and not ended:
                     break
                 piece, at = m.group().strip(), m.end()
                 if piece:
                     out.append((k[0], n, piece))
                     n += 1
-            held = held[at:]
-        state.update((held, n))
+            held = "" if ended else held[at:]
+        if ended:
+            state.remove()
+        else:
+            state.update((held, n))
         yield pd.DataFrame(out, columns=[key, "segment_no", "segment"]).astype({key: "int64", "segment_no": "int64"})
 
-    return deltas.select(key, seq, delta).groupBy(key).applyInPandasWithState(run, f"{key} long, segment_no long, segment string", "held string, n long", "append", GroupStateTimeout.NoTimeout)
+    return deltas.select(key, seq, delta, last).groupBy(key).applyInPandasWithState(run, f"{key} long, segment_no long, segment string", "held string, n long", "append", GroupStateTimeout.NoTimeout)
+
 
+def utterance_stream(frames: DataFrame, key: str, seq: str, voiced: str, last: str, start_frames: int = 1, end_frames: int = 3, least: int = 1, most: int = 1 << 40, lead_in: int = 0) -> DataFrame:
+    """(key, first, last, frames, voiced_frames) of utterances.
 
-def utterance_stream(frames: DataFrame, key: str, seq: str, voiced: str, end_frames: int = 3) -> DataFrame:
-    """(key, first, last, voiced_frames) of utterances, each ended by ``end_frames`` frames of silence."""
+    An utterance starts with ``start_frames`` voiced frames in a row, has up to
+    ``lead_in`` frames before them (those included), and ends with ``end_frames``
+    silent ones.  With fewer than ``least`` voiced frames, or when it reaches
+    ``most`` frames, it is dropped.  The frame flagged ``last`` ends what is open,
+    and the key's state goes.
+    """
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n, silent = state.get if state.exists else (-1, -1, 0, 0)
-        out = []
-        for at, on in pd.concat(list(batches)).sort_values(seq, kind="stable")[[seq, voiced]].itertuples(index=False):
-            if on:
-                first, last, n, silent = (at if n == 0 else first), at, n + 1, 0
-            elif n:
-                silent += 1
-                if silent >= end_frames:
-                    out.append((k[0], first, last, n))
-                    first, last, n, silent = -1, -1, 0, 0
-        state.update((int(first), int(last), int(n), int(silent)))
-        yield pd.DataFrame(out, columns=[key, "first", "last", "voiced_frames"]).astype("int64")
-
-    return frames.select(key, seq, voiced).groupBy(key).applyInPandasWithState(run, f"{key} long, first long, last long, voiced_frames long", "first long, last long, n long, silent long", "append", GroupStateTimeout.NoTimeout)
+        before, active, first, at_last, n, on, silent = state.get if state.exists else ([], False, -1, -1, 0, 0, 0)
+        before, out, ended = list(before), [], False
+
+        def close():
+            if on >= least:
+                out.append((k[0], first, at_last, n, on))
+
+        for at, speech, ended in pd.concat(list(batches)).sort_values(seq, kind="stable")[[seq, voiced, last]].itertuples(index=False):
+            if not active:
+                before = [*before, int(at)][-max(lead_in, start_frames) :]
+                on = on + 1 if speech else 0
+                if on >= start_frames:
+                    active, first, n, silent, at_last = True, before[0], len(before), 0, int(at)
+            else:
+                n, on, silent = n + 1, on + bool(speech), 0 if speech else silent + 1
+                at_last = int(at) if speech else at_last
+            if active and (n >= most or silent >= end_frames or ended):
+                if n < most:
+                    close()
+                before, active, first, at_last, n, on, silent = [], False, -1, -1, 0, 0, 0
+        if ended:
+            state.remove()
+        else:
+            state.update((before, bool(active), int(first), int(at_last), int(n), int(on), int(silent)))
+        yield pd.DataFrame(out, columns=[key, "first", "last", "frames", "voiced_frames"]).astype("int64")
+
+    held = "before array<long>, active boolean, first long, at_last long, n long, on long, silent long"
+    return frames.select(key, seq, voiced, last).groupBy(key).applyInPandasWithState(run, f"{key} long, first long, last long, frames long, voiced_frames long", held, "append", GroupStateTimeout.NoTimeout)
+
+
+def segment_stream(deltas: DataFrame, key: str, seq: str, delta: str, last: str, failed: str, soft: int = 28, hard: int = 56, least: int = 8) -> DataFrame:
+    """(key, segment_no, segment) of speakable segments; the last delta flushes, a failed stream only what is a complete sentence."""
+
+    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, n = state.get if state.exists else ("", 0)
+        work, out, ended = Segmenter(soft, hard, least, held), [], False
+        for _, text, ended, bad in pd.concat(list(batches)).sort_values(seq, kind="stable")[[seq, delta, last, failed]].itertuples(index=False):
+            out += work.push(text or "")
+            if ended:
+                out += work.flush(complete_only=bool(bad))
+        if ended:
+            state.remove()
+        else:
+            state.update((work.held, n + len(out)))
+        rows = [(k[0], n + i, x) for i, x in enumerate(out)]
+        yield pd.DataFrame(rows, columns=[key, "segment_no", "segment"]).astype({key: "int64", "segment_no": "int64"})
+
+    return deltas.select(key, seq, delta, last, failed).groupBy(key).applyInPandasWithState(run, f"{key} long, segment_no long, segment string", "held string, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def frame_stream(payloads: DataFrame, key: str, seq: str, payload: str, size: int) -> DataFrame:
+    """(key, frame_no, frame): a byte stream cut into frames of ``size`` bytes; the remainder waits for more."""
+
+    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, n = state.get if state.exists else (b"", 0)
+        held = bytes(held) + b"".join(bytes(x) for x in pd.concat(list(batches)).sort_values(seq, kind="stable")[payload])
+        whole = len(held) // size
+        rows = [(k[0], n + i, held[i * size : (i + 1) * size]) for i in range(whole)]
+        state.update((held[whole * size :], n + whole))
+        yield pd.DataFrame(rows, columns=[key, "frame_no", "frame"]).astype({key: "int64", "frame_no": "int64"})
+
+    return payloads.select(key, seq, payload).groupBy(key).applyInPandasWithState(run, f"{key} long, frame_no long, frame binary", "held binary, n long", "append", GroupStateTimeout.NoTimeout)

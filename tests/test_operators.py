@@ -61,17 +61,24 @@ def test_fingerprint_changes_only_with_content(spark):
 
 def test_diversified_equals_a_fold(spark):
     rng = random.Random(3)
-    rows = [(q, rank, rng.choice("abcd")) for q in range(20) for rank in range(1, 15)]
-    got = retrieval.diversified(spark.createDataFrame(rows, "query_id int, rank int, grp string"), ["grp"], 5)
+    rows = [(q, 100.0 - rank, rng.choice("abcd"), f"p{rank:03}", 0) for q in range(20) for rank in range(1, 15)]
+    got = retrieval.diversified(spark.createDataFrame(rows, "query_id int, score double, grp string, path string, chunk_index int"), ["grp"], 5)
     by = {}
     for r in got.collect():
-        by.setdefault(r.query_id, []).append((r.place, r.rank))
+        by.setdefault(r.query_id, []).append((r.place, r.path))
     for q in range(20):
         seen, first, later = set(), [], []
-        for _, rank, g in (r for r in rows if r[0] == q):
-            (later if g in seen else first).append(rank)
+        for _, _, g, path, _ in (r for r in rows if r[0] == q):
+            (later if g in seen else first).append(path)
             seen.add(g)
-        assert [rank for _, rank in sorted(by[q])] == (first + later)[:5]
+        assert [path for _, path in sorted(by[q])] == (first + later)[:5]
+    with pytest.raises(ValueError):
+        retrieval.diversified(got, ["grp"], 0)
+
+
+def test_short_terms_are_capped_for_each_query():
+    found = retrieval.short_terms([(1, "aa bb cc dd ee ff gg hh ii jj"), (2, "kk")], 8)
+    assert [q for q, _ in found].count(1) == 8 and (2, "kk") in found
 
 
 def test_dedupe_keeps_first_on_ties(spark):
@@ -113,10 +120,14 @@ def test_followup_takes_the_latest_routed_message(spark):
 
 
 def test_temporal_boost_order(spark):
+    from tessera.rules import demo
+
     cases = [(2021, "current_2021", [2021], 180), (2021, "current_2021", [], 35), (2020, "historical_result", [], -70), (2020, "historical_old", [2020], 170), (2020, "versioned_page_verify_year", [2021], -270), (None, "", [2020], -20)]
-    for year, status, asked, want in cases:
-        c = dialogue.temporal_boost(F.lit(year).cast("int"), F.lit(status), F.array(*map(F.lit, asked)) if asked else F.array().cast("array<int>"), F.lit(False), F.lit(False))
-        assert spark.range(1).select(c.alias("x")).first()["x"] == want
+    wants = [(2026, "historical_result", [], 12, False, True), (2026, "planned_subject_to_change", [], 130, True, False), (2026, "recruitment_closed_early", [2026], -10, False, False)]
+    for year, status, asked, want, plan, result in [(*c, False, False) for c in cases] + wants:
+        row = spark.createDataFrame([(year, status, asked, plan, result)], "effective_year int, temporal_status string, asked array<int>, wants_plan boolean, wants_result boolean")
+        base = F.expr("case " + " ".join(f"when {c} then {n}" for c, n in demo.YEAR_POINTS) + " end")
+        assert row.select(dialogue.rule_points(demo.STATUS_POINTS, F.col("temporal_status"), base).alias("x")).first()["x"] == want
 
 
 def test_dates_skip_invalid_ones(spark):
@@ -166,7 +177,8 @@ def test_speech(spark):
     assert one(spark, speech.normalize_speech(F.col("t")), t="## Ａ１ **b** [c](http://x) 5% & https://y.z") == "A1 b c 5 percent and link"
     assert one(spark, speech.sentences(F.col("t")), t="One. Two!! ... \nThree") == ["One.", "Two!!", "Three"]
     assert one(spark, speech.coalesce_tail(speech.sentences(F.col("t")), 2), t="A. B. C.") == ["A.", "B. C."]
-    assert one(spark, speech.mora(F.col("t")), t="かきゃ漢1ab") == 3 * 2 + 6 + 3 + 2
+    assert one(spark, speech.mora_tenths(F.col("t")), t="かきゃ漢1ab") == 2 * 10 + 17 + 15 + 2 * 10
+    assert one(spark, speech.mora_tenths(F.col("t")), t="Ａ、WH〇ー。") == 20 + 20 + 40 + 30 + 20 + 10
 
 
 def test_pcm_codec(spark):
@@ -184,9 +196,9 @@ def test_frames(spark):
 
 
 def test_sse(spark):
-    lines = ['data: {"choices":[{"delta":{"content":"a"}}]}', "", "data: [DONE]", 'data: {"choices":[{"message":{"content":"b"}}]}', 'data: {"content":"c"}', "data: {broken", ": note"]
-    got = sse.deltas(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, line string"))
-    assert sorted((r.i, r.delta) for r in got.collect()) == [(0, "a"), (3, "b"), (4, "c")]
+    lines = ['data: {"choices":[{"delta":{"content":"a"}}]}', "", 'data: {"choices":[{"message":{"content":"b"}}]}', 'data: {"content":"c"}', "data: {broken", ": note", "data: [DONE]", 'data: {"content":"late"}']
+    got = sse.deltas(spark.createDataFrame([(s, i, x) for s in (1, 2) for i, x in enumerate(lines)], "s int, i long, line string"), ["s"], "i")
+    assert sorted((r.s, r.i, r.delta) for r in got.collect()) == [(s, i, d) for s in (1, 2) for i, d in ((0, "a"), (2, "b"), (3, "c"))]
 
 
 def _zip(members):
@@ -233,12 +245,17 @@ def test_versioned_table_keeps_the_old_version_on_failure(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("n", "want"),
-    [(0, "ぜろ"), (10, "じゅう"), (300, "さんびゃく"), (3600, "さんぜんろっぴゃく"), (8001, "はっせんいち"), (10_000, "いちまん"), (10**12, "いっちょう"), (10**16 + 1, "いちけいいち"), (2024, "にせんにじゅうよん")],
+    [(0, "ぜろ"), (10, "じゅう"), (300, "さんびゃく"), (3600, "さんぜんろっぴゃく"), (8001, "はっせんいち"), (10_000, "いちまん"), (10**12, "いっちょう"), (10**16 + 1, "いっけいいち"), (2024, "にせんにじゅうよん"), (10**7, "いっせんまん"), (10**13, "じゅっちょう"), (8 * 10**12, "はっちょう"), (10**18, "ひゃっけい"), (6 * 10**18, "ろっぴゃっけい")],
 )
 def test_readings(spark, n, want):
     assert one(spark, readings.integer_reading(F.col("n")), n=n) == want
 
 
+def test_number_strings(spark):
+    for text, want in (("007", "ぜろぜろなな"), ("1,000", "せん"), ("99999999999999999999", "きゅうせんきゅうひゃくきゅうじゅうきゅうけい" + "きゅうせんきゅうひゃくきゅうじゅうきゅうちょう" + "きゅうせんきゅうひゃくきゅうじゅうきゅうおく" + "きゅうせんきゅうひゃくきゅうじゅうきゅうまん" + "きゅうせんきゅうひゃくきゅうじゅうきゅう"), ("1" + "0" * 20, "いち" + "ぜろ" * 20), ("x1", "x1")):
+        assert one(spark, readings.number_reading(F.col("t")), t=text) == want
+
+
 def test_wav(spark):
     data = bytes(spark.range(1).select(binary.wav(F.lit(b"\x01\x02\x03\x04"), 16000).alias("w")).first()["w"])
     with wave.open(io.BytesIO(data)) as w:
