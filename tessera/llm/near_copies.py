@@ -9,11 +9,13 @@ estimate is within 0.04 of the similarity for two texts in three).
 
 Candidates: 128 of the bits are cut into six segments.  Each is decoded with the
 Golay code to the codeword indices of itself and its neighbours at distance one
-(about five keys).  Segments with few errors share an index, and by the
-pigeonhole principle two neighbouring segments with few errors exist unless
-errors abound, so the pairs of indices of neighbouring segments are the keys.
-Texts that share a key are verified by counting differing bits, first of one
-word, then of all.
+(about seven indices).  By the pigeonhole principle some segment has few errors,
+and there the two texts share an index.  An index alone has 12 bits, so unrelated
+texts would meet on it in numbers that grow with the square of the input.  A key
+is therefore a segment's index together with the text's smallest shingle hash
+under that segment's own mixing: texts of similarity J have the same smallest
+hash with probability J, others hardly ever.  Texts that share a key are verified
+by counting differing bits, first of one word, then of all.
 
 Keys that more than ``max_bucket`` texts share: each text is compared with the
 bucket's first one.  Then, a few times over, those of a bucket that are not in
@@ -51,6 +53,8 @@ ROUNDS = 2
 FIRST_BITS = 18
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 PRINT = [f"f{i}" for i in range(WORDS)]
+#: Smallest mixed shingle hash for each segment.
+LEAST = [f"m{i}" for i in range(len(SEGMENTS))]
 
 
 def differing_bits(similarity: float, bits: int = 64 * WORDS) -> int:
@@ -70,15 +74,22 @@ def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """WORDS unsigned words; a bit is set that is set in over half of the mixed hashes.  All zero without words."""
+    return fingerprint_and_least(text, shingle)[0]
+
+
+def fingerprint_and_least(text: bytes | None, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint, and the smallest hash under each of the WORDS mixings (the largest number without words)."""
     hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64 * WORDS, np.int64)
+    least = np.full(WORDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 8192):
         mixed = hashes[at : at + 8192, None] + _STEPS
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(31)
+        least = np.minimum(least, mixed.min(0))
         counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8"), least
 
 
 def _print_batches(shingle: int):
@@ -86,44 +97,40 @@ def _print_batches(shingle: int):
         for whole in batches:
             for batch in pieces(whole):
                 texts = batch.column(2).cast(pa.binary()).to_pylist()
-                prints = np.stack([wide_fingerprint(t, shingle) for t in texts]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(prints[:, i]) for i in range(WORDS))], ["doc_id", "hash", *PRINT])
+                words = np.stack([np.concatenate([w, m[: len(LEAST)]]) for w, m in (fingerprint_and_least(t, shingle) for t in texts)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["doc_id", "hash", *PRINT, *LEAST])
 
     return run
 
 
-def golay_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of the 128 bits in two arrays of unsigned words."""
-    index, near, new = golay_index(), [], []
-    for at, width in SEGMENTS:
+def segment_keys(one: np.ndarray, two: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of the 128 bits in two arrays of unsigned words, with a row's smallest hashes in ``least``.
+
+    A key has the lower 49 bits of the smallest hash, three of the segment's
+    number and twelve of the codeword index.
+    """
+    index, rows, keys = golay_index(), [], []
+    for i, (at, width) in enumerate(SEGMENTS):
         word = one if at < 64 else two
         part = (word >> np.uint64(at % 64) & np.uint64((1 << width) - 1)).astype(np.int64)
         flips = np.concatenate([[0], 1 << np.arange(width)])
-        found = np.sort(index[part[:, None] ^ flips[None, :]], axis=1).astype(np.int64)
+        found = np.sort(index[part[:, None] ^ flips[None, :]], axis=1).astype(np.uint64)
         first = np.ones(found.shape, bool)
         first[:, 1:] = found[:, 1:] != found[:, :-1]
-        near.append(found[first]), new.append(first.sum(1))
-    rows, keys = [], []
-    for i in range(len(SEGMENTS)):
-        j = (i + 1) % len(SEGMENTS)
-        n, m = new[i], new[j]
-        row = np.repeat(np.arange(len(one)), n * m)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
-        a = near[i][(np.cumsum(n) - n)[row] + at // m[row]]
-        b = near[j][(np.cumsum(m) - m)[row] + at % m[row]]
-        rows.append(row), keys.append((i << 24) + (a << 12) + b)
-    return np.concatenate(rows), np.concatenate(keys)
+        row = np.nonzero(first)[0]
+        rows.append(row)
+        keys.append((least[row, i] << np.uint64(15)) + np.uint64(i << 12) + found[first])
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
 def _key_batches(batches):
     for whole in batches:
-        for batch in pieces(whole, 1024):
-            one, two = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2))
-            rows, keys = golay_pairs(one, two)
-            node = batch.column(0).to_numpy(zero_copy_only=False)
+        for batch in pieces(whole, 4096):
+            node, one, two, *least = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3 + len(LEAST)))
+            rows, keys = segment_keys(one, two, np.stack(least, axis=1))
             for at in range(0, len(rows), 50_000):
                 part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(node[rows[part]])], ["key", "f0"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(node[rows[part]].view(np.int64))], ["key", "f0"])
 
 
 def _apart(a: str, b: str, words: list[str]) -> Column:
@@ -131,13 +138,13 @@ def _apart(a: str, b: str, words: list[str]) -> Column:
 
 
 def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(edges, roots) of ``groups`` (a row for each f0, with f0 to f7).
+    """(edges, roots) of ``groups`` (a row for each f0, with f0 to f7 and m0 to m5).
 
     Edges (a > b) are verified links; roots (node, root) are the components of
     all nodes that have an edge.
     """
     most = differing_bits(similarity)
-    keyed = groups.select("f0", "f1", "f2").mapInArrow(_key_batches, "key long, f0 long")
+    keyed = groups.select("f0", "f1", "f2", *LEAST).mapInArrow(_key_batches, "key long, f0 long")
     shared = written(keyed.groupBy("key").agg(F.min("f0").alias("lead"), F.max("f0").alias("last"), F.count("*").alias("members")).filter("members > 1"), "near-keys")
     crowds = written(keyed.join(shared.filter("members > 2").select("key", "lead", "members"), "key"), "near-crowds")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FIRST_BITS
@@ -185,12 +192,12 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
 def prints_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    return written(narrow.mapInArrow(_print_batches(shingle), "doc_id long, hash long, " + ", ".join(f"{w} long" for w in PRINT)), "near-prints")
+    return written(narrow.mapInArrow(_print_batches(shingle), "doc_id long, hash long, " + ", ".join(f"{w} long" for w in [*PRINT, *LEAST])), "near-prints")
 
 
 def grouped(prints: DataFrame, *more: Column) -> DataFrame:
     """A row for each f0: the fingerprint of one text that has it (equal first words leave no doubt of similarity), and ``more`` aggregates."""
-    words = F.min(F.struct(*PRINT[1:]))
+    words = F.min(F.struct(*PRINT[1:], *LEAST))
     return prints.groupBy("f0").agg(words.alias("w"), *more).select("f0", "w.*", *(c for c in ("first", "n")[: len(more)]))
 
 

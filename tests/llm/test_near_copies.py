@@ -53,19 +53,32 @@ def test_bits_follow_similarity():
         assert abs(np.mean(got) - np.mean(want)) < 6
 
 
-@pytest.mark.parametrize("similarity, least", [(0.8, 0.85), (0.85, 0.92), (0.9, 0.96), (0.95, 0.99)])
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.96), (0.85, 0.98), (0.9, 0.99), (0.95, 0.99)])
 def test_share_of_pairs_that_share_a_key(similarity, least):
     rng = np.random.default_rng(3)
     flip = N.differing_bits(similarity) / 512
     one, two = (rng.integers(0, 1 << 63, 2000).astype(np.uint64) for _ in range(2))
     wrong = [(rng.random((2000, 64)) < flip) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)) for _ in range(2)]
-    rows, keys = N.golay_pairs(one, two)
-    rows2, keys2 = N.golay_pairs(one ^ wrong[0].astype(np.uint64), two ^ wrong[1].astype(np.uint64))
-    assert len(keys) < 250 * 2000
+    lows = rng.integers(0, 1 << 63, (2000, len(N.SEGMENTS))).astype(np.uint64)
+    moved = np.where(rng.random(lows.shape) < similarity, lows, lows + np.uint64(1))
+    rows, keys = N.segment_keys(one, two, lows)
+    rows2, keys2 = N.segment_keys(one ^ wrong[0].astype(np.uint64), two ^ wrong[1].astype(np.uint64), moved)
+    assert len(keys) < 60 * 2000
     mine = set(zip(rows.tolist(), keys.tolist()))
     assert len({r for r, k in zip(rows2.tolist(), keys2.tolist()) if (r, k) in mine}) >= least * 2000
 
 
+def test_texts_share_smallest_hashes_as_often_as_they_are_alike():
+    rng = np.random.default_rng(9)
+    same, alike = [], []
+    for _ in range(100):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+        a, b = " ".join(words), edited(rng, words, 6)
+        same.append(N.fingerprint_and_least(a.encode())[1] == N.fingerprint_and_least(b.encode())[1]), alike.append(jaccard(a, b))
+    assert abs(np.mean(same) - np.mean(alike)) < 0.05
+    assert (N.fingerprint_and_least(None)[1] == N.fingerprint_and_least(b" \n")[1]).all()
+
+
 def _groups_of_copies(rng):
     texts = []
     for g in range(25):
@@ -116,7 +129,8 @@ def test_small_components_of_a_crowded_bucket_are_compared(spark):
         x[1:3] = base[1:3]
         x[0] = -x[0] - 1
         prints.append(x)
-    df = spark.createDataFrame([tuple(int(v) for v in x) for x in prints], ", ".join(f"{w} long" for w in N.PRINT))
+    least = [0] * len(N.LEAST)  # as if all had the same smallest hashes
+    df = spark.createDataFrame([(*(int(v) for v in x), *least) for x in prints], ", ".join(f"{w} long" for w in [*N.PRINT, *N.LEAST]))
     _, roots = N.links(df, max_bucket=3)
     got = {}
     for r in roots.collect():
