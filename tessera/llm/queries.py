@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import balltree, html_density, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc
+from tessera.llm import balltree, html_density, merkle, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc
 from tessera.llm.common import crc32_text, table
 
 #: Target weights by level; sources weigh more the longer their name.
@@ -149,12 +149,62 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lower_cased_fifth())
+
+
+#: Levels of a tree in the SQL: 16^8 nodes.
+_DEPTH = 8
+
+
+def _tree_sql(name: str, first: str) -> str:
+    """Levels of the trees over ``first`` (tree, pos, digest), as SQL: name_0 to name_8 (tree, pos, digest, n)."""
+    out = f"{name}_0 AS (SELECT tree, pos, digest, count(*) OVER (PARTITION BY tree) AS n FROM {first})"
+    for k in range(_DEPTH):
+        up = f"SELECT tree, pos // 16 AS pos, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}_{k} GROUP BY tree, pos // 16"
+        out += f", {name}_{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM ({up}))"
+    return out
+
+
+def _fold_sql(name: str, rows: str, out: str) -> str:
+    """``rows`` (key, tree, at, proof, value) folded through the trees ``name``."""
+    sql, held = "", rows
+    for k in range(_DEPTH):
+        sql += f"""
+  {out}_{k} AS (SELECT r.key, r.tree, r.at // 16 AS at, r.proof || CASE WHEN max(x.n) = 1 THEN '' ELSE coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos <> r.at), '') END AS proof,
+    CASE WHEN max(x.n) = 1 THEN r.value ELSE sha256(string_agg(CASE WHEN x.pos = r.at THEN r.value ELSE x.digest END, '' ORDER BY x.pos)) END AS value
+    FROM {held} r JOIN {name}_{k} x ON x.tree = r.tree AND x.pos // 16 = r.at // 16 GROUP BY r.key, r.tree, r.at, r.proof, r.value),"""
+        held = f"{out}_{k}"
+    return sql
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+    return "sha256(" + " || ".join(part(text if f == "text" else f) for f in merkle.FIELDS) + ")"
+
+
+SQL_OP12 = f"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tab FROM range(256) t(b)),
+  marked AS (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 5 = 0 AS hit FROM documents, crc),
+  leaves AS (SELECT row_number() OVER () AS key, doc_id, source, coalesce('s' || source, 'n') AS tree, {_leaf_sql("text")} AS leaf,
+    CASE WHEN hit THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS value FROM marked),
+  sorted AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+  first AS (SELECT tree, pos, leaf AS digest FROM sorted), {_tree_sql("sub", "first")},
+  tops AS (SELECT '' AS tree, tree AS source_tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, digest FROM sub_{_DEPTH}), {_tree_sql("top", "tops")},
+  asked AS (SELECT key, tree, pos AS at, '' AS proof, value FROM sorted),{_fold_sql("sub", "asked", "low")}
+  mid AS (SELECT l.key, '' AS tree, t.pos AS at, l.proof, l.value FROM low_{_DEPTH - 1} l JOIN tops t ON l.tree = t.source_tree),{_fold_sql("top", "mid", "high")}
+  root AS (SELECT digest AS root FROM top_{_DEPTH})
+SELECT s.doc_id, s.leaf, t.digest AS subroot, root, sha256(h.proof) AS proof_sha256, h.value AS folded_root, h.value = root AS verified
+FROM sorted s JOIN tops t ON s.tree = t.source_tree JOIN high_{_DEPTH - 1} h USING (key), root"""
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_quality": op5_quality,
         "op6_urls": op6_urls, "op7_top_k": op7_top_k, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_toxicity": op10_toxicity,
+        "op12_merkle": op12_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op3_mixing": _sql_op3(), "op6_urls": SQL_OP6, "op7_top_k": SQL_OP7}
+    return {"op2_warc": SQL_OP2, "op3_mixing": _sql_op3(), "op6_urls": SQL_OP6, "op7_top_k": SQL_OP7, "op12_merkle": SQL_OP12}
