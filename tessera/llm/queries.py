@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import balltree, html_density, merkle, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc
+from tessera.llm import balltree, html_density, merkle, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc, whitening
 from tessera.llm.common import crc32_text, table
 
 #: Target weights by level; sources weigh more the longer their name.
@@ -198,11 +198,15 @@ SELECT s.doc_id, s.leaf, t.digest AS subroot, root, sha256(h.proof) AS proof_sha
 FROM sorted s JOIN tops t ON s.tree = t.source_tree JOIN high_{_DEPTH - 1} h USING (key), root"""
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_quality": op5_quality,
         "op6_urls": op6_urls, "op7_top_k": op7_top_k, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_toxicity": op10_toxicity,
-        "op12_merkle": op12_merkle,
+        "op12_merkle": op12_merkle, "op13_whitening": op13_whitening,
     }
 
 
