@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import balltree, html_density, merkle, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc, whitening
+from tessera.llm import balltree, debruijn, html_density, merkle, mixing, packing, quality, rpforest, simhash, toxicity, urls, warc, whitening
 from tessera.llm.common import crc32_text, table
 
 #: Target weights by level; sources weigh more the longer their name.
@@ -149,6 +149,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
+SQL_OP11 = f"""
+WITH w AS (SELECT row_number() OVER () AS key, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+  win AS (SELECT key, doc_id, i, array_to_string(ws[i + 1:i + {debruijn.K}], ' ') AS edge FROM (SELECT *, unnest(range(0, len(ws) - {debruijn.K - 1})) AS i FROM w)),
+  least AS (SELECT edge, min(doc_id) AS src FROM win GROUP BY edge),
+  gone AS (SELECT DISTINCT key, i + j AS at FROM (SELECT key, i FROM win JOIN least USING (edge) WHERE src < doc_id), range({debruijn.K}) t(j)),
+  kept AS (SELECT u.key, string_agg(word, ' ' ORDER BY u.at) AS text FROM (SELECT key, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM w) u LEFT JOIN gone g ON g.key = u.key AND g.at = u.at WHERE g.key IS NULL GROUP BY u.key)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (SELECT count(*) FROM gone g WHERE g.key = w.key)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k USING (key)"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lower_cased_fifth())
 
@@ -206,9 +219,9 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_quality": op5_quality,
         "op6_urls": op6_urls, "op7_top_k": op7_top_k, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_toxicity": op10_toxicity,
-        "op12_merkle": op12_merkle, "op13_whitening": op13_whitening,
+        "op11_passages": op11_passages, "op12_merkle": op12_merkle, "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": SQL_OP2, "op3_mixing": _sql_op3(), "op6_urls": SQL_OP6, "op7_top_k": SQL_OP7, "op12_merkle": SQL_OP12}
+    return {"op2_warc": SQL_OP2, "op3_mixing": _sql_op3(), "op6_urls": SQL_OP6, "op7_top_k": SQL_OP7, "op11_passages": SQL_OP11, "op12_merkle": SQL_OP12}
