@@ -1,19 +1,18 @@
 """Lexical retrieval of many queries over many chunks at once.
 
-Terms of the queries are a small rule table (checked by ``MAX_TERMS``).  One pass
-over the chunks finds each chunk's terms with their counts, its short terms, its
-field points and its domains, and writes them with the chunk: the index.  What is
-grouped and ranked afterwards are matches only, and bodies are read for the last
-hits alone.
+Terms of the queries are a small table (checked by ``MAX_TERMS``) that meets an
+inverted index built once.  What is grouped and ranked are matches only; texts
+are read for the last hits alone.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.inverted import ChunkIndex
 from tessera.rules import demo
 
 MAX_TERMS = 2000
@@ -40,57 +39,30 @@ def short_terms(queries=demo.QUERIES, most: int = 8) -> list[tuple[int, str]]:
     return [(q, t) for q, ts in found.items() for t in ts[:most]]
 
 
-def index(chunks: DataFrame, terms: list[tuple[int, str]], shorts: list[tuple[int, str]], domains: dict[str, str], weights: dict[str, float] = demo.FIELD_WEIGHTS) -> DataFrame:
-    """``chunks`` with trigrams, hits (term, tf), shorts (query ids), points (term, points) and domains (names).
+def term_rows(spark: SparkSession, terms: list[tuple[int, str]]) -> DataFrame:
+    """(query_id, term), as a table."""
+    return spark.createDataFrame(terms or [(0, "")], "query_id int, term string").filter("term <> ''")
 
-    ``tf`` counts a term in title and text, as a substring of lower-cased text;
-    ``points`` are min(length, 12) * weight for each field that holds it.
-    """
-    low = {f: F.col(f"low_{f}") for f in dict.fromkeys(["title", "text", *weights])}
-    rows = chunks.withColumns({f"low_{f}": F.lower(F.col(f)) for f in low})
-
-    def count(c: Column, term: str) -> Column:
-        return F.when(c.contains(term), ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int")).otherwise(0)
-
-    distinct = sorted({t for _, t in terms})
-    tf = [F.struct(F.lit(t).alias("term"), (count(low["title"], t) + count(low["text"], t)).alias("tf")) for t in distinct]
-    points = [F.struct(F.lit(t).alias("term"), sum(F.when(low[f].contains(t), F.lit(w * min(len(t), 12))).otherwise(0.0) for f, w in weights.items()).alias("points")) for t in distinct]
-    short = [F.when(low["title"].contains(t) | low["text"].contains(t), F.lit(q)) for q, t in shorts]
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    return rows.select(
-        *chunks.columns, (F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))).alias("trigrams"),
-        (F.filter(F.array(*tf), lambda x: x["tf"] > 0) if tf else empty("struct<term:string,tf:int>")).alias("hits"),
-        (F.array_distinct(F.array_compact(F.array(*short))) if short else empty("int")).alias("shorts"),
-        (F.filter(F.array(*points), lambda x: x["points"] > 0) if points else empty("struct<term:string,points:double>")).alias("points"),
-        F.array_compact(F.array(*(F.when(F.expr(p), F.lit(n)) for n, p in domains.items()))).alias("domains"),
-    )
-
-
-def _owners(terms: list[tuple[int, str]], c: Column) -> Column:
-    """The ids of the queries that a term belongs to."""
-    known: dict[str, list[int]] = {}
-    for q, t in terms:
-        known.setdefault(t, []).append(q)
-    pairs = [x for t, qs in sorted(known.items()) for x in (F.lit(t), F.array(*map(F.lit, sorted(qs))))]
-    return F.try_element_at(F.create_map(*pairs), c) if pairs else F.array().cast("array<int>")
-
-
-def term_matches(indexed: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
-    """doc_id, chunk_index, query_id, term, tf and trigrams of each match."""
-    hit = indexed.select("doc_id", "chunk_index", "trigrams", F.explode("hits").alias("hit"))
-    return hit.select("doc_id", "chunk_index", "trigrams", F.explode(_owners(terms, F.col("hit.term"))).alias("query_id"), "hit.term", "hit.tf")
-
-
-def bm25(indexed: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
-    """doc_id, chunk_index, query_id, bm25 over trigram lengths; idf at most 0 counts 1e-6."""
-    stats = indexed.agg(F.count("*").alias("n"), (F.sum("trigrams") / F.count("*")).alias("avg_trigrams"))
-    df = indexed.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+def term_matches(index: ChunkIndex, terms: list[tuple[int, str]], *fields: str) -> DataFrame:
+    """query_id, term, doc_id, chunk_index and the counts by field of each match."""
+    rows = term_rows(index.spark, terms)
+    return index.matches(rows).join(F.broadcast(rows), "term")  # MAX_TERMS rows at most
+
+
+def bm25(index: ChunkIndex, terms: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, chunk_index, query_id, bm25 over trigram lengths of titles and texts; idf at most 0 counts 1e-6."""
+    stats = index.stats
+    totals = stats.agg(F.count("*").alias("n"), (F.sum("trigrams") / F.count("*")).alias("avg_trigrams"))
+    met = index.matches(term_rows(index.spark, terms)).withColumn("tf", F.col("title") + F.col("text")).filter("tf > 0")
+    df = met.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # a row for each term at most, of which there are MAX_TERMS, and one row of statistics
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_trigrams")
-    scored = term_matches(indexed, terms).join(F.broadcast(idf), "term")
+    idf = df.crossJoin(F.broadcast(totals)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_trigrams")
+    scored = met.join(F.broadcast(idf), "term").join(stats.select("doc_id", "chunk_index", "trigrams"), ["doc_id", "chunk_index"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("trigrams") / F.col("avg_trigrams")))
-    return scored.groupBy("query_id", "doc_id", "chunk_index").agg(F.sum(part).alias("bm25"))
+    owned = scored.select("doc_id", "chunk_index", "term", part.alias("part")).join(F.broadcast(term_rows(index.spark, terms)), "term")
+    return owned.groupBy("query_id", "doc_id", "chunk_index").agg(F.sum("part").alias("bm25"))
 
 
 def top_per_query(scored: DataFrame, k: int, score: str = "bm25", order: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:
@@ -99,21 +71,10 @@ def top_per_query(scored: DataFrame, k: int, score: str = "bm25", order: tuple[s
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def field_score(indexed: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
-    """doc_id, chunk_index, query_id, score: the sum of the points of a query's terms in each chunk that has any."""
-    hit = indexed.select("doc_id", "chunk_index", F.explode("points").alias("x"))
-    rows = hit.select("doc_id", "chunk_index", F.explode(_owners(terms, F.col("x.term"))).alias("query_id"), "x.points")
-    return rows.groupBy("query_id", "doc_id", "chunk_index").agg(F.sum("points").alias("score"))
-
-
-def own_points(terms: list[tuple[int, str]], query_id: Column, points: Column) -> Column:
-    """The sum of ``points`` (term, points) whose term is one of the query's."""
-    known: dict[int, list[str]] = {}
-    for q, t in terms:
-        known.setdefault(q, []).append(t)
-    pairs = [x for q, ts in sorted(known.items()) for x in (F.lit(q), F.array(*map(F.lit, ts)))]
-    own = F.try_element_at(F.create_map(*pairs), query_id) if pairs else F.array().cast("array<string>")
-    return F.aggregate(points, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(own, x["term"]), x["points"]).otherwise(0.0))
+def field_score(index: ChunkIndex, terms: list[tuple[int, str]], weights: dict[str, float] = demo.FIELD_WEIGHTS) -> DataFrame:
+    """doc_id, chunk_index, query_id, score: min(length, 12) * weight of each field that holds a term, added up for the query's terms."""
+    held = sum(F.when(F.col(f) > 0, F.least(F.length("term"), F.lit(12)) * F.lit(w)).otherwise(0.0) for f, w in weights.items())
+    return term_matches(index, terms).groupBy("query_id", "doc_id", "chunk_index").agg(F.sum(held).alias("score"))
 
 
 def best_of_each(candidates: DataFrame, key: list[str], score: str, order: str) -> DataFrame:

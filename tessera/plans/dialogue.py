@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import dialogue as D
 from tessera.operators import retrieval as R
-from tessera.plans.common import SQL_CATALOGUE, SQL_CHUNKS, documents
+from tessera.plans.common import OVERLAP, SIZE, SQL_CATALOGUE, SQL_CHUNKS, documents
 from tessera.plans import retrieval as PR
 from tessera.operators import chunking
 from tessera.rules import demo
@@ -58,9 +58,10 @@ def _hits(spark, d):
     """The top hits with what evidence needs; bodies are read for these alone."""
     index = PR.indexed(spark, d)
     top = R.diversified(PR._scored(index), ["doc_id"], 10)
-    body = index.select("doc_id", "chunk_index", "title", F.col("text").alias("body"), "temporal_status", "effective_year")
     # ten rows a query at most
     top = F.broadcast(top.select("query_id", "doc_id", "chunk_index", "path", "score", F.col("place").alias("rank"), "source_priority"))
+    found = chunking.catalogue(documents(spark, d).join(top.select("doc_id").distinct(), "doc_id", "left_semi"))
+    body = chunking.chunk_windows(found, SIZE, OVERLAP).select("doc_id", "chunk_index", "title", F.col("text").alias("body"), "temporal_status", "effective_year")
     return body.join(top, ["doc_id", "chunk_index"])
 
 

@@ -260,7 +260,7 @@ def evidence_groups(spark, d):
 
 def direct_replies(spark, d):
     """An extractive reply where every hit of a query fits its domain: title and year of the best; else none."""
-    rows = _hits(spark, d).join(PR.indexed(spark, d).select("doc_id", "chunk_index", "record_type", "source", "lang"), ["doc_id", "chunk_index"])
+    rows = _hits(spark, d).join(PR.indexed(spark, d).stats.select("doc_id", "chunk_index", "record_type", "source", "lang"), ["doc_id", "chunk_index"])
     every = rows.groupBy("query_id").agg(F.bool_and(PR._in_domain()).alias("fits"), F.min_by(F.struct("title", "effective_year"), "rank").alias("b"))
     reply = F.when(F.col("fits"), F.concat(F.lit("See "), "b.title", F.lit(" of "), F.col("b.effective_year").cast("string"), F.lit(".")))
     return every.select("query_id", "fits", reply.alias("reply"))

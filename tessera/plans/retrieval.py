@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
-from tessera.plans.common import SQL_CHUNKS, chunks, values
+from tessera.operators.inverted import ChunkIndex, words_of
+from tessera.operators.ranking import ranked
+from tessera.plans.common import SQL_CHUNKS, chunks, documents, values
 from tessera.rules import demo
-from tessera.streaming.run import written
+from tessera.session import table
+from tessera.streaming.run import scratch
 
 TERMS, SHORT = R.split_terms(), R.short_terms()
 TOP_K = 3
 CUT = max(TOP_K * 30, 100)
-#: Ranks of a query that are reported.
-RANKED = 1000
 #: Domain that each demonstration query asks for
 WANTED = {1: "legal", 2: "people", 3: "support", 4: "people", 5: "people", 6: "legal", 7: "general", 8: "nowhere"}
 
@@ -25,16 +26,33 @@ def _in_domain(column: str = "query_id"):
     return out
 
 
+#: The index of each table of documents, by session, folder and the files' sizes and times.
+_INDEXES: dict[tuple, ChunkIndex] = {}
+FIELDS = ("title", "text", *(f for f in demo.FIELD_WEIGHTS if f not in ("title", "text")))
+
+
 def indexed(spark, d):
-    """The index of all chunks, written once for each query that is run."""
-    return written(R.index(chunks(spark, d), TERMS, SHORT, demo.DOMAIN_PREDICATES), "chunk-index")
+    """The inverted index of all chunks: built once for a state of the documents' files, then used by every query."""
+    files = documents(spark, d).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, d, *state)
+    if key not in _INDEXES:
+        _INDEXES[key] = ChunkIndex.build(chunks(spark, d), scratch(spark, "chunk-index"), FIELDS)
+    return _INDEXES[key]
 
 
 def fts_match(spark, d):
-    found = R.term_matches(indexed(spark, d), TERMS)
+    found = R.term_matches(indexed(spark, d), TERMS).withColumn("tf", F.col("title") + F.col("text")).filter("tf > 0")
     return found.groupBy("query_id", "doc_id", "chunk_index").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"))
 
 
+def unseen_query(spark, d):
+    """Words of the first question of each conversation, asked of the index as they are: chunks and occurrences of each."""
+    asked = table(spark, d, "conversations").filter("role = 'user' and turn = 0").select(F.explode(F.filter(words_of(F.col("text")), lambda w: F.length(w) >= 5)).alias("term"))
+    met = indexed(spark, d).matches(asked.distinct()).filter("text > 0")
+    return met.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("text").alias("occurrences"))
+
+
 def bm25_scores(spark, d):
     return R.bm25(indexed(spark, d), TERMS).select("query_id", "doc_id", "chunk_index", F.round("bm25", 6).alias("bm25"))
 
@@ -48,22 +66,28 @@ def fts_candidates(spark, d):
 
 
 def _short(index):
-    found = index.select("doc_id", "chunk_index", "record_type", "source", "lang", "path", F.explode("shorts").alias("query_id"))
-    return found.filter(_in_domain() | (F.col("record_type") == ""))
+    found = R.term_matches(index, SHORT).filter("title + text > 0").select("query_id", "doc_id", "chunk_index").distinct()
+    rows = found.join(index.stats.select("doc_id", "chunk_index", "record_type", "source", "lang", "path"), ["doc_id", "chunk_index"])
+    return rows.filter(_in_domain() | (F.col("record_type") == ""))
 
 
 def short_term_scan(spark, d):
     return _short(indexed(spark, d)).select("query_id", "doc_id", "chunk_index")
 
 
+def _domains():
+    return F.array_compact(F.array(*(F.when(F.expr(p), F.lit(n)) for n, p in demo.DOMAIN_PREDICATES.items())))
+
+
 def domain_scan(spark, d):
-    return indexed(spark, d).select("doc_id", "chunk_index", F.explode("domains").alias("domain"))
+    return indexed(spark, d).stats.select("doc_id", "chunk_index", F.explode(_domains()).alias("domain"))
 
 
 def _of_domain(index):
     """(query_id, doc_id, chunk_index): the chunks of the domain that each query asks for."""
     wanted = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(n).alias("domain")) for q, n in WANTED.items()))
-    return index.select("doc_id", "chunk_index", F.explode(F.filter(wanted, lambda w: F.array_contains("domains", w["domain"]))).alias("w")).select("w.query_id", "doc_id", "chunk_index")
+    rows = index.stats.withColumn("domains", _domains())
+    return rows.select("doc_id", "chunk_index", F.explode(F.filter(wanted, lambda w: F.array_contains("domains", w["domain"]))).alias("w")).select("w.query_id", "doc_id", "chunk_index")
 
 
 def _union(index):
@@ -87,16 +111,17 @@ def field_weighted_score(spark, d):
 
 
 def _scored(index):
-    """Candidates with their score and the fields of their chunk; bodies are left where they are."""
+    """Candidates with their score and the fields of their chunk; texts are not read."""
     best = R.best_of_each(_union(index), ["query_id", "doc_id", "chunk_index"], "bm25", "src")
-    rows = best.join(index.select("doc_id", "chunk_index", "path", "record_type", "source", "lang", "source_priority", "points"), ["doc_id", "chunk_index"])
+    rows = best.join(R.field_score(index, TERMS).withColumnRenamed("score", "points"), ["query_id", "doc_id", "chunk_index"], "left")
+    rows = rows.join(index.stats.select("doc_id", "chunk_index", "path", "record_type", "source", "lang", "source_priority"), ["doc_id", "chunk_index"])
     priority = F.when(F.col("source_priority") == "P0", 4.0).when(F.col("source_priority") == "P1", 2.0).otherwise(0.0)
-    points = R.own_points(TERMS, F.col("query_id"), F.col("points"))
-    return rows.withColumn("score", F.round(points + 0.25 * F.col("bm25") + priority, 8)).drop("points").filter("score > 0")
+    return rows.withColumn("score", F.round(F.coalesce("points", F.lit(0.0)) + 0.25 * F.col("bm25") + priority, 8)).drop("points").filter("score > 0")
 
 
 def ranked_hits(spark, d):
-    rows = R.top_per_query(_scored(indexed(spark, d)), RANKED, "score", ("path", "chunk_index"))
+    """All hits of each query with their ranks."""
+    rows = ranked(_scored(indexed(spark, d)), "query_id", [F.col("score").desc(), F.col("path"), F.col("chunk_index")])
     return rows.select("query_id", "doc_id", "chunk_index", "score", "rank")
 
 
@@ -109,7 +134,7 @@ def diversified_topk(spark, d):
     return R.diversified(_scored(indexed(spark, d)), ["doc_id"], TOP_K).select("query_id", "doc_id", "chunk_index", "score", "place")
 
 
-QUERIES = {f.__name__: f for f in (fts_match, bm25_scores, fts_candidates, short_term_scan, domain_scan, candidate_union, dedupe_best, field_weighted_score, ranked_hits, domain_fallback, diversified_topk)}
+QUERIES = {f.__name__: f for f in (fts_match, unseen_query, bm25_scores, fts_candidates, short_term_scan, domain_scan, candidate_union, dedupe_best, field_weighted_score, ranked_hits, domain_fallback, diversified_topk)}
 
 _TF = "((length({0}) - length(replace({0}, term, ''))) // length(term))"
 _MATCH = f"""terms AS (SELECT * FROM terms_v t(query_id, term)),
@@ -140,6 +165,8 @@ _RANKED = f"""{_UNION}, {_FIELD},
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, chunk_index)::INT AS rank FROM scored WHERE score > 0)"""
 SQL = {
     "fts_match": f"{_BASE} SELECT query_id, doc_id, chunk_index, count(*) AS terms, sum(tf)::BIGINT AS occurrences FROM hits GROUP BY ALL",
+    "unseen_query": rf"""WITH {SQL_CHUNKS}, asked AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 5)) AS term FROM conversations WHERE role = 'user' AND turn = 0),
+        met AS (SELECT term, {_TF.format("lower(text)")} AS tf FROM chunks JOIN asked ON contains(lower(text), term)) SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS occurrences FROM met GROUP BY term""",
     "bm25_scores": f"{_BM25} SELECT * FROM bm",
     "fts_candidates": f"{_BM25} SELECT * FROM cand",
     "short_term_scan": f"{_UNION} SELECT * FROM short",
@@ -147,7 +174,7 @@ SQL = {
     "candidate_union": f"{_UNION} SELECT query_id, src, count(*) AS candidates FROM uni GROUP BY ALL",
     "dedupe_best": f"{_UNION} SELECT * FROM best",
     "field_weighted_score": f"{_BASE}, {_FIELD} SELECT * FROM pts",
-    "ranked_hits": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, rank FROM ranked WHERE rank <= {RANKED}",
+    "ranked_hits": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, rank FROM ranked",
     "domain_fallback": f"""{_RANKED}, f AS (SELECT *, {_WANTED} AS m, bool_or({_WANTED}) OVER (PARTITION BY query_id) AS any_in FROM ranked)
         SELECT query_id, count(*) AS hits, bool_and(m) AS all_match, max(score) AS best FROM f WHERE m OR NOT any_in GROUP BY query_id""",
     "diversified_topk": f"""{_RANKED}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) > 1 AS later FROM ranked),
