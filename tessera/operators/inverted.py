@@ -60,7 +60,8 @@ class ChunkIndex:
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/postings")
+        counts = ", ".join(f"n{n} array<int>" for n in range(len(self.fields)))
+        return self.spark.read.schema(f"token string, block long, gaps array<long>, {counts}, most int, bucket int").parquet(f"{self.root}/postings")
 
     @property
     def grams(self) -> DataFrame:
