@@ -48,7 +48,7 @@ _FOUND = "kind int, doc_id long, n_words long, n_removed long, kept_sha256 strin
 
 def _pack_batches(batches):
     """Blocks of documents by id (null ids last): their words, one space between, a line a document."""
-    task, number, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6)
+    task, number, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=11)
 
     def block(held):
         nonlocal number
@@ -126,9 +126,9 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def _press(press, extra: int, h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> bytes:
-    """Sorted hashes as differences, with ids, byte by byte of all rows together."""
+    """Ascending hashes (or places) as differences, with ids, byte by byte of all rows together."""
     planes = lambda a, n=8: np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
-    return press.compress(planes(np.diff(h, prepend=np.uint64(0))) + planes(ids) + planes(g, extra))
+    return press.compress(planes(np.diff(h, prepend=np.uint64(0))) + planes(ids) + (planes(g, extra) if extra else b""))
 
 
 def _unpress(data: bytes, n: int, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,13 +144,19 @@ def _blocks_of(batches) -> Iterator[tuple]:
             yield tuple(c[at].as_py() for c in batch.columns)
 
 
+def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range of sorted hashes starts, and the end."""
+    inner = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    return np.concatenate([[0], inner, [len(h)]])
+
+
 def _edge_batches(bits: int, extra: int, seed: int):
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for block, ids, counts, texts in _blocks_of(batches):
             e = Edges(ids, counts, texts, seed, extra)
-            cuts = np.searchsorted(e.h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            spans = [(b, a, z) for b, (a, z) in enumerate(zip([0, *cuts], [*cuts, len(e.h)])) if z > a]
+            cuts = _cuts(e.h, bits)
+            spans = [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array([z - a for _, a, z in spans], pa.int32()), pa.array([_press(press, extra, e.h[a:z], e.g[a:z], e.least[a:z]) for _, a, z in spans], pa.binary())],
                 ["bucket", "block", "n", "edges"],
@@ -160,7 +166,7 @@ def _edge_batches(bits: int, extra: int, seed: int):
 
 
 def _source_batches(extra: int):
-    """For each block of a range the edges that other blocks have too, with their sources."""
+    """For each block of a range the places, in its list, of the edges that other blocks have too, with their sources."""
 
     def solve(rows):
         press = zstandard.ZstdCompressor(level=1)
@@ -180,7 +186,8 @@ def _source_batches(extra: int):
             span = slice(ends[i] - r[2], ends[i])
             mark = told[span]
             if mark.any():
-                yield r[0], r[1], int(mark.sum()), _press(press, extra, h[span][mark], g[span][mark], source[span][mark])
+                places = np.flatnonzero(mark).astype(np.uint64)
+                yield r[0], r[1], len(places), _press(press, 0, places, places[:0], source[span][mark])
 
     def run(batches):
         held, bucket = [], None
@@ -215,20 +222,17 @@ def _paths(e: Edges, marked: np.ndarray, source: np.ndarray) -> Iterator[tuple[i
         yield int(owner[a]), int(at[a]), int(at[z] - at[a]) + K, int(src[a])
 
 
-def _found_batches(extra: int, seed: int):
+def _found_batches(bits: int, extra: int, seed: int):
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("src", pa.int64())]))), ("src", pa.int64()), ("path", pa.string())])
 
     def one(ids, counts, texts, told):
         e = Edges(ids, counts, texts, seed, extra)
         source, shared = e.least.copy(), e.shared.copy()
-        if told:
-            h, g, src = (np.concatenate(c) for c in zip(*(_unpress(t["edges"], t["n"], extra) for t in told)))
-            # each edge that is told is one of the block's, so both lists meet in one order
-            every = np.concatenate([e.h, h]), np.concatenate([e.g, g]), np.repeat([0, 1], [len(e.h), len(h)])
-            order = np.lexsort((every[2], every[1], every[0]))
-            hit = np.flatnonzero(every[2][order] == 1)
-            mine = order[hit - 1]
-            source[mine], shared[mine] = src[order[hit] - len(e.h)], True
+        starts = _cuts(e.h, bits)
+        for t in told or ():
+            places, _, src = _unpress(t["edges"], t["n"], 0)
+            mine = places.astype(np.int64) + starts[t["bucket"]]
+            source[mine], shared[mine] = src, True
         source, shared = source[e.group], shared[e.group]
         removed = source < e.doc
         cover = np.zeros(len(e.words) + 1, np.int64)
@@ -293,9 +297,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         edges = blocks.mapInArrow(_edge_batches(bits, extra, seed), _EDGES).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
         told = edges.mapInArrow(_source_batches(extra), _EDGES)
         # the edges of one block: as bounded as the block
-        told = told.groupBy("block").agg(F.collect_list(F.struct("n", "edges")).alias("told"))
+        told = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "edges")).alias("told"))
         met = blocks.join(told, "block", "left").select("block", "ids", "words", "texts", "told")
-        found = written(met.mapInArrow(_found_batches(extra, seed), _FOUND), "passages")
+        found = written(met.mapInArrow(_found_batches(bits, extra, seed), _FOUND), "passages")
         if _unverified(found).isEmpty():
             return found.filter("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
     raise RuntimeError(f"false matches with {ATTEMPTS} seeds")
