@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import pages as P
 from tessera.functions import query_text as Q
 from tessera.functions import readings
+from tessera.functions import segments as S
 from tessera.functions import text as T
 from tessera.operators import chunking
 from tessera.plans import retrieval as PR
@@ -341,9 +342,15 @@ def stream_segments(spark, d):
     return drained(segment_stream(rows, "conv_id", "turn", "text", "ends", "failed"), "segments")
 
 
+def stream_replies(spark, d):
+    """Assistant messages as they stream, each a reply: sentences, a soft cut at 60 characters, the first clause early."""
+    rows = _with_last(spark, d, "conversations", "conv_id", "turn").withColumn("failed", F.lit(False))
+    return drained(segment_stream(rows, "conv_id", "turn", "text", "ends", "failed", S.REPLY), "replies")
+
+
 def progressive_segments(spark, d):
     """Segments of whole messages, with other limits (Arrow batches)."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(Q.segments_of(32, 64, 8)("text")).alias("pos", "segment"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(S.segments_of(S.Rules(soft=32, hard=64, spaces=True))("text")).alias("pos", "segment"))
 
 
 def stream_frames(spark, d):
@@ -357,7 +364,7 @@ QUERIES = {
     for f in (
         normalized_queries, asr_replacements, content_terms, query_locations, previous_messages, person_gate, provider_limits, transcript_gate, speakable, front_matter, prompt_bodies, validated_hosts, page_lines,
         link_labels, page_headings, bounded_hosts, category_pages, manifest_sources, source_url_mismatches, json_rows, without_known_bad, required_evidence, strict_domain, rule_boosts, evidence_text, expected_hits,
-        zipped_citations, evidence_groups, direct_replies, query_payloads, turn_files, english_speech, spoken_dates, furigana, mono_pcm, early_pauses, relayed, stream_segments, progressive_segments, stream_frames,
+        zipped_citations, evidence_groups, direct_replies, query_payloads, turn_files, english_speech, spoken_dates, furigana, mono_pcm, early_pauses, relayed, stream_segments, stream_replies, progressive_segments, stream_frames,
     )
 }
 

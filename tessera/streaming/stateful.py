@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.functions.query_text import Segmenter
+from tessera.functions.segments import Rules, Segmenter
 
 #: A piece and the marks that end it.
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]+")
@@ -90,12 +90,16 @@ def utterance_stream(frames: DataFrame, key: str, seq: str, voiced: str, last: s
     return frames.select(key, seq, voiced, last).groupBy(key).applyInPandasWithState(run, f"{key} long, first long, last long, frames long, voiced_frames long", held, "append", GroupStateTimeout.NoTimeout)
 
 
-def segment_stream(deltas: DataFrame, key: str, seq: str, delta: str, last: str, failed: str, soft: int = 28, hard: int = 56, least: int = 8) -> DataFrame:
-    """(key, segment_no, segment) of speakable segments; the last delta flushes, a failed stream only what is a complete sentence."""
+def segment_stream(deltas: DataFrame, key: str, seq: str, delta: str, last: str, failed: str, rules: Rules = Rules()) -> DataFrame:
+    """(key, segment_no, segment) of speakable segments; the last delta flushes, a failed stream only what is a complete sentence.
+
+    The state of a key is its open text and whether its first segment is out (for
+    ``rules.opening``).
+    """
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n = state.get if state.exists else ("", 0)
-        work, out, ended = Segmenter(soft, hard, least, held), [], False
+        held, n, opened = state.get if state.exists else ("", 0, False)
+        work, out, ended = Segmenter(rules, held, opened), [], False
         for _, text, ended, bad in pd.concat(list(batches)).sort_values(seq, kind="stable")[[seq, delta, last, failed]].itertuples(index=False):
             out += work.push(text or "")
             if ended:
@@ -103,11 +107,11 @@ def segment_stream(deltas: DataFrame, key: str, seq: str, delta: str, last: str,
         if ended:
             state.remove()
         else:
-            state.update((work.held, n + len(out)))
+            state.update((work.held, n + len(out), work.opened))
         rows = [(k[0], n + i, x) for i, x in enumerate(out)]
         yield pd.DataFrame(rows, columns=[key, "segment_no", "segment"]).astype({key: "int64", "segment_no": "int64"})
 
-    return deltas.select(key, seq, delta, last, failed).groupBy(key).applyInPandasWithState(run, f"{key} long, segment_no long, segment string", "held string, n long", "append", GroupStateTimeout.NoTimeout)
+    return deltas.select(key, seq, delta, last, failed).groupBy(key).applyInPandasWithState(run, f"{key} long, segment_no long, segment string", "held string, n long, opened boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def frame_stream(payloads: DataFrame, key: str, seq: str, payload: str, size: int) -> DataFrame:

@@ -19,31 +19,6 @@ def test_normalized_query(text, want):
     assert Q.normalized_query.func(pd.Series([text]))[0] == want
 
 
-def test_segments_wait_for_what_belongs_to_them():
-    s = Q.Segmenter()
-    assert s.push("It is 1.") == [] and s.push("5 now. ") == ["It is 1.5 now."]
-    assert s.push("「はい。") == [] and s.push("」と") == ["「はい。」"]
-    assert s.push("言う... まだ") == [] and s.flush() == ["と言う... まだ"]
-    assert s.push("It costs 250,") == [] and s.push("000 and more, then it goes on") == ["It costs 250,000 and more, then it goes"]
-    assert s.flush(complete_only=True) == [] and s.push("x" * 60) == ["x" * 56] and s.flush() == ["xxxx"]
-    assert s.push("Done.") == [] and s.flush(complete_only=True) == ["Done."]
-    assert s.push("?! ... \n") == [] and s.flush() == []
-
-
-def test_segments_keep_every_letter_however_text_comes():
-    rng = random.Random(4)
-    for _ in range(200):
-        text = "".join(rng.choice("ab1 ,.。、」\n!") for _ in range(rng.randrange(120)))
-        s, out, at = Q.Segmenter(), [], 0
-        while at < len(text):
-            n = rng.randrange(1, 9)
-            out += s.push(text[at : at + n])
-            at += n
-        out += s.flush()
-        assert all(len(x) <= s.hard for x in out[:-1])
-        assert [c for x in out for c in x if c.isalnum()] == [c for c in text if c.isalnum()]
-
-
 def utterances(flags, start, end, least, most, lead):
     """A plain fold over all frames."""
     out, at = [], 0
