@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,11 +13,12 @@ from tessera.functions import query_text as Q
 from tessera.functions import readings
 from tessera.functions import segments as S
 from tessera.functions import text as T
+from tessera.functions.spoken import Rewriter
 from tessera.operators import chunking
 from tessera.plans import retrieval as PR
 from tessera.plans.common import SQL_CATALOGUE, documents
 from tessera.plans.dialogue import _HITS, _hits
-from tessera.rules import demo
+from tessera.rules import demo, spoken
 from tessera.session import table
 from tessera.streaming.run import drained, scratch
 from tessera.streaming.stateful import frame_stream, segment_stream
@@ -30,9 +32,7 @@ PLACES = ("berlin", "paris", "madrid", "london", "this", "that")
 #: (rank, name, condition over a document, points): of each name the first rule that fits counts
 BOOSTS = [(1, "type", "record_type = 'guide'", 60), (2, "type", "record_type = 'notice'", 25), (3, "type", "record_type <> ''", -10), (1, "source", "source_priority = 'P0'", 40), (2, "source", "source_priority = 'P1'", 15), (1, "status", "temporal_status like 'current%'", 30), (2, "status", "temporal_status like 'historical%'", -45)]
 OUTAGE = ("error",)
-MONTHS = ["いちがつ", "にがつ", "さんがつ", "しがつ", "ごがつ", "ろくがつ", "しちがつ", "はちがつ", "くがつ", "じゅうがつ", "じゅういちがつ", "じゅうにがつ"]  # fixed values
-DAYS = "ついたち ふつか みっか よっか いつか むいか なのか ようか ここのか とおか".split()  # fixed values of the first ten
-ODD_DAYS = {14: "じゅうよっか", 20: "はつか", 24: "にじゅうよっか"}  # fixed values
+READ_ALOUD = Rewriter.of(spoken.STAGES)
 LIMIT = 3
 
 
@@ -288,15 +288,24 @@ def english_speech(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(c, r"(?<=[.!?])\s+")).alias("pos", "s")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.md5("s").alias("digest"))
 
 
+@F.pandas_udf("string")
+def _spoken(texts: pd.Series) -> pd.Series:
+    return texts.map(READ_ALOUD, na_action="ignore")
+
+
 def spoken_dates(spark, d):
     """Order dates as they are read: year, month and day, the irregular days included."""
-    days = [DAYS[i - 1] if i <= 10 else ODD_DAYS.get(i) for i in range(1, 32)]
-    day = F.dayofmonth("o_orderdate")
-    named = F.element_at(F.array(*(F.lit(x) for x in days)), day)
-    plain = F.concat(readings.integer_reading(day), F.lit("にち"))
-    year = F.regexp_replace(readings.integer_reading(F.year("o_orderdate")), "よん$", "よ")
-    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month("o_orderdate"))
-    return table(spark, d, "orders").select("o_orderkey", F.concat(year, F.lit("ねん"), month, F.coalesce(named, plain)).alias("spoken"))
+    day = table(spark, d, "orders").groupBy("o_orderdate").agg(F.count("*").alias("orders"))
+    written = F.concat(F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月"), F.dayofmonth("o_orderdate"), F.lit("日"))
+    return day.select("o_orderdate", "orders", _spoken(written).alias("spoken"))
+
+
+def spoken_quantities(spark, d):
+    """Quantities, places and discounts of line items as they are read with their counters."""
+    n = lambda c: c.cast("int").cast("string")
+    written = F.concat(n(F.col("l_quantity")), F.lit("本、"), n(F.col("l_linenumber")), F.lit("階、"), n(F.round(F.col("l_discount") * 100)), F.lit("%"))
+    each = table(spark, d, "lineitem").groupBy(written.alias("written")).agg(F.count("*").alias("n"))
+    return each.withColumn("spoken", _spoken("written"))
 
 
 def furigana(spark, d):
@@ -364,7 +373,7 @@ QUERIES = {
     for f in (
         normalized_queries, asr_replacements, content_terms, query_locations, previous_messages, person_gate, provider_limits, transcript_gate, speakable, front_matter, prompt_bodies, validated_hosts, page_lines,
         link_labels, page_headings, bounded_hosts, category_pages, manifest_sources, source_url_mismatches, json_rows, without_known_bad, required_evidence, strict_domain, rule_boosts, evidence_text, expected_hits,
-        zipped_citations, evidence_groups, direct_replies, query_payloads, turn_files, english_speech, spoken_dates, furigana, mono_pcm, early_pauses, relayed, stream_segments, stream_replies, progressive_segments, stream_frames,
+        zipped_citations, evidence_groups, direct_replies, query_payloads, turn_files, english_speech, spoken_dates, spoken_quantities, furigana, mono_pcm, early_pauses, relayed, stream_segments, stream_replies, progressive_segments, stream_frames,
     )
 }
 
@@ -382,16 +391,17 @@ def _in(words):
 _LEFT_OUT = reduce(lambda x, t: f"regexp_replace({x}, '(?is)<{t}[ >].*?</{t}>', ' ', 'g')", P.LEFT_OUT, "html")
 _KINDS = {"guide_p0": "record_type = 'guide' AND source_priority = 'P0'", "future": "effective_year >= 2030", "french": "lang = 'fr'"}
 _FIRST_RULE = ", ".join(f"CASE {' '.join(f'WHEN {c} THEN {p}' for _, m, c, p in BOOSTS if m == n)} END AS {n}_points" for n in dict.fromkeys(b[1] for b in BOOSTS))
-_DAY = "CASE extract(day FROM o_orderdate) " + " ".join(f"WHEN {i} THEN '{DAYS[i - 1] if i <= 10 else ODD_DAYS[i]}'" for i in [*range(1, 11), *ODD_DAYS])
-
 
-def _short_number(n):
-    read = lambda names, place: f"[{', '.join(repr(x) for x in names)}][((({n}) // {10**place}) % 10 + 1)::INT]"
-    return " || ".join(read(t, p) for t, p in ((readings.THOUSANDS, 3), (readings.HUNDREDS, 2), (readings.TENS, 1), (readings.ONES, 0)))
 
 
 _NOTED = """noted AS (SELECT doc_id, 'https://' || CASE doc_id % 3 WHEN 0 THEN 'www.example.com/' WHEN 1 THEN 'example.org/' ELSE 'other.net/' END || source AS source_url, lang AS record_type,
     CASE WHEN doc_id % 2 = 0 THEN '2026-01-02' ELSE '' END AS accessed, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE 'unknown_key: x' || chr(10) || 'publisher:' || chr(10) || coalesce(text, '') END AS body FROM documents)"""
+_LITERALS = lambda words: ", ".join(f"'{w}'" for w in words.split())
+#: 1992 to 2003
+_SQL_YEARS = """せんきゅうひゃくきゅうじゅうに せんきゅうひゃくきゅうじゅうさん せんきゅうひゃくきゅうじゅうよ せんきゅうひゃくきゅうじゅうご せんきゅうひゃくきゅうじゅうろく せんきゅうひゃくきゅうじゅうなな
+    せんきゅうひゃくきゅうじゅうはち せんきゅうひゃくきゅうじゅうきゅう にせん にせんいち にせんに にせんさん"""
+_SQL_DAYS = """ついたち ふつか みっか よっか いつか むいか なのか ようか ここのか とおか じゅういちにち じゅうににち じゅうさんにち じゅうよっか じゅうごにち じゅうろくにち じゅうななにち じゅうはちにち じゅうくにち はつか
+    にじゅういちにち にじゅうににち にじゅうさんにち にじゅうよっか にじゅうごにち にじゅうろくにち にじゅうななにち にじゅうはちにち にじゅうくにち さんじゅうにち さんじゅういちにち"""
 SQL = {
     "asr_replacements": f"SELECT conv_id, turn, md5({_replaced('text', ASR_RULES)}) AS digest FROM {_U}",
     "content_terms": f"""WITH w AS (SELECT conv_id, turn, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') AS ws FROM {_U})
@@ -434,7 +444,13 @@ SQL = {
     "turn_files": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role",
     "english_speech": r"""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\b1,000\b', 'one thousand', 'g'), '\b[Ee]\.g\.', 'for example', 'g') AS c FROM conversations),
         s AS (SELECT conv_id, turn, string_split(regexp_replace(c, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM c) SELECT conv_id, turn, unnest(range(0, len(s))) AS pos, md5(unnest(s)) AS digest FROM s""",
-    "spoken_dates": f"""SELECT o_orderkey, regexp_replace({_short_number('extract(year FROM o_orderdate)')}, 'よん$', 'よ') || 'ねん' || [{_in(MONTHS)}][extract(month FROM o_orderdate)] || {_DAY} ELSE {_short_number('extract(day FROM o_orderdate)')} || 'にち' END AS spoken FROM orders""",
+    "spoken_dates": f"""SELECT o_orderdate, count(*) AS orders, [{_LITERALS(_SQL_YEARS)}][(year(o_orderdate) - 1991)::INT] || 'ねん'
+        || [{_LITERALS("いちがつ にがつ さんがつ しがつ ごがつ ろくがつ しちがつ はちがつ くがつ じゅうがつ じゅういちがつ じゅうにがつ")}][month(o_orderdate)::INT] || CASE day(o_orderdate) WHEN 1 THEN ' ' ELSE '' END
+        || [{_LITERALS(_SQL_DAYS)}][day(o_orderdate)::INT] AS spoken FROM orders GROUP BY o_orderdate""",
+    "spoken_quantities": f"""WITH t AS (SELECT l_quantity::INT AS q, l_linenumber::INT AS f, round(l_discount * 100)::INT AS p, count(*) AS n FROM lineitem GROUP BY ALL)
+        SELECT q || '本、' || f || '階、' || p || '%' AS written, n, [{_LITERALS("じゅう にじゅう さんじゅう よんじゅう ごじゅう")}, ''][CASE WHEN q < 10 OR q % 10 = 0 THEN 6 ELSE q // 10 END]
+        || CASE WHEN q % 10 = 0 THEN [{_LITERALS("じゅっぽん にじゅっぽん さんじゅっぽん よんじゅっぽん ごじゅっぽん")}][q // 10] ELSE [{_LITERALS("いっぽん にほん さんぼん よんほん ごほん ろっぽん ななほん はっぽん きゅうほん")}][q % 10] END
+        || '、' || [{_LITERALS("いっかい にかい さんがい よんかい ごかい ろっかい ななかい")}][f] || '、' || [{_LITERALS("ぜろ いち に さん よん ご ろく なな はち きゅう じゅっ")}][p + 1] || 'ぱーせんと' AS spoken FROM t""",
     "furigana": "SELECT doc_id, 'とうきょう、' || coalesce(lang, '') || ' 、a 、b、' || doc_id AS spoken FROM documents",
     "mono_pcm": """WITH m AS (SELECT vec_id, list_transform(range(0, len(embedding) // 2), lambda i: (embedding[2 * i + 1]::DOUBLE * 4 + embedding[2 * i + 2]::DOUBLE * 4) / 2) AS m FROM embeddings),
         p AS (SELECT *, greatest(list_max(list_transform(m, lambda y: abs(y))), 1.0::DOUBLE) AS peak FROM m) SELECT vec_id, len(m) AS samples, list_sum(list_transform(m, lambda y: abs(round_even(y / peak * 32767, 0)::BIGINT)))::BIGINT AS level FROM p""",
