@@ -42,10 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[int, list[str]] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors.  ``options`` are the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.setdefault(id(df.sparkSession), []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -264,7 +264,8 @@ def _found_batches(bits: int, extra: int, seed: int):
 
 def _unverified(found: DataFrame) -> DataFrame:
     """The paths (src, path) that their source document does not hold word by word."""
-    paths = found.filter("kind = 1").select("src", "path").distinct()
+    # each block tells a path once; its copies in other blocks are checked there and then, not gathered first
+    paths = found.filter("kind = 1").select("src", "path")
     # the paths of one document: no more text than it has
     held = found.filter("kind = 2").groupBy("src").agg(F.collect_list("path").alias("held"))
     has = lambda c: F.exists("held", lambda r: F.concat(F.lit(" "), r, F.lit(" ")).contains(F.concat(F.lit(" "), c, F.lit(" "))))
@@ -299,7 +300,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         # the edges of one block: as bounded as the block
         told = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "edges")).alias("told"))
         met = blocks.join(told, "block", "left").select("block", "ids", "words", "texts", "told")
-        found = written(met.mapInArrow(_found_batches(bits, extra, seed), _FOUND), "passages")
+        found = written(met.mapInArrow(_found_batches(bits, extra, seed), _FOUND), "passages", compression="zstd")
         if _unverified(found).isEmpty():
             return found.filter("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
     raise RuntimeError(f"false matches with {ATTEMPTS} seeds")
