@@ -18,7 +18,7 @@ hash with probability J, others hardly ever.  Texts that share a key are verifie
 by counting differing bits, first of one word, then of all.
 
 Keys that more than ``max_bucket`` texts share: each text is compared with the
-bucket's first one.  Then, a few times over, those of a bucket that are not in
+first one of one of its buckets.  Then, a few times over, those of a bucket that are not in
 its largest component are compared with one text of that component, and in the
 end with all of the bucket that are still in other components; pairs within a
 component need no comparison.  So no link that a bucket holds is lost, and a
@@ -140,8 +140,7 @@ def _apart(a: str, b: str, words: list[str]) -> Column:
 def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(edges, roots) of ``groups`` (a row for each f0, with f0 to f7 and m0 to m5).
 
-    Edges (a > b) are verified links; roots (node, root) are the components of
-    all nodes that have an edge.
+    Edges (a > b) are verified links; roots (node, root) has the component of each node.
     """
     most = differing_bits(similarity)
     keyed = groups.select("f0", "f1", "f2", *LEAST).mapInArrow(_key_batches, "key long, f0 long")
@@ -159,14 +158,24 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
     first, second = small.select("key", F.col("f0").alias("a")), small.select("key", F.col("f0").alias("b"))
     within = first.join(second, "key").filter((F.col("a") > F.col("b")) & near).select("a", "b")
     direct = shared.filter("members = 2").select(F.col("last").alias("a"), F.col("lead").alias("b"))
-    stars = large.select(F.col("f0").alias("a"), F.col("lead").alias("b"))
+    # one star a text: the smallest first text of its crowded keys; the rounds below see to the rest
+    stars = large.groupBy("f0").agg(F.min("lead").alias("b")).select(F.col("f0").alias("a"), "b")
     edges = written(verified(direct.unionByName(within).unionByName(stars)), "near-links")
-    roots = written(components(edges), "near-roots")
+    found = components(edges).withColumnRenamed("node", "f0")
+    roots = written(groups.select("f0").join(found, "f0", "left").select("f0", F.coalesce("root", "f0").alias("root")), "near-roots")
+
+    def merged(more: DataFrame) -> DataFrame:
+        """``roots`` with the components joined that ``more`` links: only components are nodes of that graph."""
+        for side in "ab":
+            more = more.join(roots.select(F.col("f0").alias(side), F.col("root").alias(f"{side}_root")), side)
+        between = more.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).filter("a > b").distinct()
+        new = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        return roots.join(new, "root", "left").select("f0", F.coalesce("new", "root").alias("root"))
 
     # crowded buckets whose members lie in several components
-    crowd = written(large.select("key", "f0").join(groups.select(*PRINT), "f0"), "near-crowd")
+    crowd = large.select("key", "f0")
     for turn in range(ROUNDS + 1):
-        placed = written(crowd.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0")), "near-placed")
+        placed = written(crowd.join(roots, "f0"), "near-placed")
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("f0", F.xxhash64("f0", F.lit(turn))).alias("one"))
         main = parts.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main.*")
         main = written(main.withColumnRenamed("root", "main"), "near-main")
@@ -178,15 +187,16 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
         if turn < ROUNDS:
             more = verified(others.select(F.col("f0").alias("a"), F.col("one").alias("b")))
         else:
-            left = others.select("key", F.col("root").alias("own"), *(F.col(w).alias(f"a{w}") for w in PRINT))
-            right = placed.join(main.select("key"), "key").select("key", "root", *(F.col(w).alias(f"b{w}") for w in PRINT))
+            prints = groups.select(*PRINT)
+            left = others.select("key", "f0", F.col("root").alias("own")).join(prints, "f0").select("key", "own", *(F.col(w).alias(f"a{w}") for w in PRINT))
+            right = placed.select("key", "f0", "root").join(prints, "f0").select("key", "root", *(F.col(w).alias(f"b{w}") for w in PRINT))
             alike = (F.col("own") != F.col("root")) & (_apart("a", "b", PRINT[:1]) <= FIRST_BITS) & (_apart("a", "b", PRINT) <= most)
             more = left.join(right, (left["key"] == right["key"]) & alike).select(F.greatest("af0", "bf0").alias("a"), F.least("af0", "bf0").alias("b")).distinct()
         more = written(more, "near-links")
         if not more.isEmpty():
-            edges = written(edges.unionByName(more).distinct(), "near-links")
-            roots = written(components(edges), "near-roots")
-    return edges, roots
+            edges = edges.unionByName(more).distinct()
+            roots = written(merged(more), "near-roots")
+    return edges, roots.withColumnRenamed("f0", "node")
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -218,7 +228,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _rooted(groups: DataFrame, similarity: float, max_bucket: int) -> DataFrame:
     _, roots = links(groups, similarity, max_bucket)
-    return groups.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+    return groups.join(roots.withColumnRenamed("node", "f0"), "f0")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
