@@ -13,6 +13,7 @@ from tessera.functions import query_text as Q
 from tessera.functions import readings
 from tessera.functions import segments as S
 from tessera.functions import text as T
+from tessera.functions import vocabulary as V
 from tessera.functions.spoken import Rewriter
 from tessera.operators import chunking
 from tessera.plans import retrieval as PR
@@ -56,6 +57,15 @@ def content_terms(spark, d):
     return _users(spark, d).select("conv_id", "turn", F.array_join(kept, " ").alias("terms"))
 
 
+def segmented_terms(spark, d):
+    """Words of six letters or more of each question that no sequence of short benchmark words spells."""
+    short = F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w).between(2, 4))).alias("w")
+    words = V.collected(table(spark, d, "benchmark").select(short))
+    rows = _users(spark, d)
+    rules = V.TermRules(run="(?<![^ .,;:!?])[a-z]{6,}(?![^ .,;:!?])")
+    return rows.select("conv_id", "turn", F.array_join(V.content_terms_of(F.translate(F.lower("text"), "\n\t", "  "), rows, words, rules), " ").alias("terms"))
+
+
 def query_locations(spark, d):
     low = F.lower("text")
     found = F.array_compact(F.array(*(F.when(low.contains(p), F.lit(p)) for p in PLACES)))
@@ -371,7 +381,7 @@ def stream_frames(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_queries, asr_replacements, content_terms, query_locations, previous_messages, person_gate, provider_limits, transcript_gate, speakable, front_matter, prompt_bodies, validated_hosts, page_lines,
+        normalized_queries, asr_replacements, content_terms, segmented_terms, query_locations, previous_messages, person_gate, provider_limits, transcript_gate, speakable, front_matter, prompt_bodies, validated_hosts, page_lines,
         link_labels, page_headings, bounded_hosts, category_pages, manifest_sources, source_url_mismatches, json_rows, without_known_bad, required_evidence, strict_domain, rule_boosts, evidence_text, expected_hits,
         zipped_citations, evidence_groups, direct_replies, query_payloads, turn_files, english_speech, spoken_dates, spoken_quantities, furigana, mono_pcm, early_pauses, relayed, stream_segments, stream_replies, progressive_segments, stream_frames,
     )
@@ -444,6 +454,12 @@ SQL = {
     "turn_files": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role",
     "english_speech": r"""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\b1,000\b', 'one thousand', 'g'), '\b[Ee]\.g\.', 'for example', 'g') AS c FROM conversations),
         s AS (SELECT conv_id, turn, string_split(regexp_replace(c, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM c) SELECT conv_id, turn, unnest(range(0, len(s))) AS pos, md5(unnest(s)) AS digest FROM s""",
+    "segmented_terms": r"""WITH RECURSIVE vocab AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) BETWEEN 2 AND 4)) AS v FROM benchmark),
+        asked AS (SELECT conv_id, turn, list_distinct(ws) AS d, ws FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ .,;:!?\n\t\r]+'), lambda w: regexp_full_match(w, '[a-z]{6,}')) AS ws FROM conversations WHERE role = 'user')),
+        words AS (SELECT DISTINCT unnest(d) AS w FROM asked),
+        reach AS (SELECT w, 0::BIGINT AS pos FROM words UNION SELECT r.w, r.pos + length(v) FROM reach r JOIN vocab ON substr(r.w, r.pos + 1, length(v)) = v),
+        spelled AS (SELECT list(DISTINCT w) AS s FROM reach WHERE pos = length(w))
+        SELECT conv_id, turn, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i AND NOT coalesce(list_contains(s, w), false)), ' ') AS terms FROM asked, spelled""",
     "spoken_dates": f"""SELECT o_orderdate, count(*) AS orders, [{_LITERALS(_SQL_YEARS)}][(year(o_orderdate) - 1991)::INT] || 'ねん'
         || [{_LITERALS("いちがつ にがつ さんがつ しがつ ごがつ ろくがつ しちがつ はちがつ くがつ じゅうがつ じゅういちがつ じゅうにがつ")}][month(o_orderdate)::INT] || CASE day(o_orderdate) WHEN 1 THEN ' ' ELSE '' END
         || [{_LITERALS(_SQL_DAYS)}][day(o_orderdate)::INT] AS spoken FROM orders GROUP BY o_orderdate""",
