@@ -1,32 +1,18 @@
-"""Coverage of query terms by texts: word break over a vocabulary, partial credit."""
+"""Relevance of texts to the terms of a query: word break over a vocabulary, synonyms, partial credit."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def breaks(term: str, haystack: str, vocabulary: frozenset[str]) -> bool:
-    """Can ``term`` be cut into vocabulary words and pieces of at least two characters of ``haystack``?"""
-    ok = [True] + [False] * len(term)
-    for end in range(1, len(term) + 1):
-        ok[end] = any(ok[at] and (term[at:end] in vocabulary or (end - at >= 2 and term[at:end] in haystack)) for at in range(end))
-    return ok[-1]
-
-
-def credit(term: str, haystack: str, vocabulary: frozenset[str]) -> float:
-    """1 if covered; else half the share of the longest piece (two characters or more, no vocabulary word) that occurs."""
-    if not term or breaks(term, haystack, vocabulary):
-        return 1.0
-    for size in range(len(term) - 1, 1, -1):
-        if any((p := term[at : at + size]) in haystack and p not in vocabulary for at in range(len(term) - size + 1)):
-            return 0.5 * size / len(term)
-    return 0.0
+from tessera.functions.vocabulary import Vocabulary, credit, has_term
 
 
-def relevance(terms: Column, title: Column, body: Column, vocabulary: frozenset[str], head: int = 160) -> Column:
-    """150 * mean credit of the terms in the body, half as much again in titles, a quarter in the body's beginning.
+def relevance(terms: Column, title: Column, body: Column, vocabulary: Vocabulary, synonyms: Mapping[str, Iterable[str]] = {}, head: int = 160) -> Column:
+    """150 * mean credit of the terms in the body, half as much again for a term of the title, a quarter for one of the body's beginning.
 
     For candidates, not for whole corpora: it runs in Python, in Arrow batches.
     """
@@ -37,7 +23,7 @@ def relevance(terms: Column, title: Column, body: Column, vocabulary: frozenset[
             ts, t, b = list(ts) if ts is not None else [], (t or "").lower(), (b or "").lower()
             if not ts:
                 return 0.0
-            score = sum(credit(x, b, vocabulary) + 0.5 * (x in t) + 0.25 * (x in b[:head]) for x in ts)
+            score = sum(credit(x, b, vocabulary, synonyms) + 0.5 * has_term(t, x) + 0.25 * has_term(b[:head], x) for x in ts)
             return round(150 * score / len(ts), 6)
 
         return pd.Series([one(*r) for r in zip(terms, title, body)])

@@ -9,6 +9,7 @@ from tessera.functions import binary, readings
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators import series as X
+from tessera.functions.vocabulary import Vocabulary
 from tessera.operators import terms
 from tessera.plans import analytics, dialogue
 from tessera.operators import chunking
@@ -89,7 +90,7 @@ def content_relevance(spark, d):
         if found:
             column = F.when(F.col("query_id") == q, F.array(*map(F.lit, found))).otherwise(column)
     rows = dialogue._hits(spark, d)
-    return rows.select("query_id", "rank", "doc_id", terms.relevance(column, F.col("title"), F.col("body"), frozenset({"the", "of", "this"})).alias("relevance"))
+    return rows.select("query_id", "rank", "doc_id", terms.relevance(column, F.col("title"), F.col("body"), Vocabulary({"the", "of", "this"})).alias("relevance"))
 
 
 def thinking_stripped(spark, d):
