@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantiles
+
 
 def latency_summary(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Nearest-rank and interpolated p95, median, min, max of each group."""
-    v = F.col(value)
-    return rows.groupBy(key).agg(
-        F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95_rank"), F.percentile(v, 0.95).alias("p95"), F.percentile(v, 0.5).alias("p50"),
-        F.percentile(v, 0.9).alias("p90"), F.min(v).alias("least"), F.max(v).alias("most"),
-    )
+    """Nearest-rank and interpolated p95, median, p90, min, max of each group."""
+    return quantiles(rows, key, value, {"p95": 0.95, "p50": 0.5, "p90": 0.9}, {"p95_rank": 0.95})
 
 
 def counts_with_zeros(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

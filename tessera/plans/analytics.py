@@ -12,6 +12,7 @@ from tessera.operators import crawl
 from tessera.operators import evaluation as E
 from tessera.operators import series as X
 from tessera.plans.common import documents
+from tessera.operators.ranking import quantiles
 from tessera.session import table
 
 SILENCE = 21600.0
@@ -73,8 +74,7 @@ def rtfx_ratio(spark, d):
 
 
 def grouped_p50_p90(spark, d):
-    line = table(spark, d, "lineitem")
-    return line.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.5).alias("p50"), F.percentile("l_extendedprice", 0.9).alias("p90"))
+    return quantiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": 0.5, "p90": 0.9}).drop("least", "most")
 
 
 def zero_count_groups(spark, d):

@@ -1,4 +1,4 @@
-"""The inverted index against plain scans."""
+"""The inverted index against plain scans; ranks and quantiles of large groups."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
 from tessera.operators.inverted import ChunkIndex
-from tessera.operators.ranking import ranked
+from tessera.operators.ranking import quantiles, ranked
 
 SCHEMA = "doc_id long, chunk_index int, title string, text string, path string"
 
@@ -85,3 +85,14 @@ def test_ranks_of_ties_and_one_large_group(spark):
     for key in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
         assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(1 if rng.random() < 0.8 else rng.randrange(2, 6), float(rng.randrange(40))) for _ in range(900)] + [(None, 3.0), (7, None), (8, 2.5)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    got = {r.k: r for r in quantiles(df, "k", "v", {"half": 0.5, "most_of": 0.9}, {"near": 0.95}).collect()}
+    plain = df.groupBy("k").agg(F.percentile("v", 0.5).alias("half"), F.percentile("v", 0.9).alias("most_of"), F.expr("percentile_disc(0.95) within group (order by v)").alias("near"), F.min("v").alias("least"), F.max("v").alias("most"))
+    want = {r.k: r for r in plain.collect() if r.half is not None}
+    assert got == want
+    assert "percentile" not in quantiles(df, "k", "v", {"half": 0.5})._jdf.queryExecution().toString()
