@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
+
+from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from tessera.operators import chunking
 from tessera.plans.common import SQL_CATALOGUE, documents
 from tessera.rules import demo
 from tessera.session import table
+from tessera.sources import zips
+from tessera.streaming.run import scratch
 
 FILLER_AFTER = 3600.0
 TARGETS = ["click", "error", "idle", "purchase"]
@@ -110,6 +117,33 @@ def decoded_pages(spark, d):
     return rows.select("page_id", F.md5("html").alias("digest"))
 
 
+def archive_members(spark, d):
+    """Pages as members of ZIP archives with their checksums, read back by many tasks and verified."""
+    folder = scratch(spark, "zips")
+
+    def pack(batches):
+        for pdf in batches:
+            sums = "".join(f"{hashlib.sha256((h or '').encode()).hexdigest()}  {i}.html\n" for i, h in zip(pdf["page_id"], pdf["html"]))
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("pages/checksums.sha256", sums)
+                for i, h in zip(pdf["page_id"], pdf["html"]):
+                    z.writestr(f"pages/{i}.html", h or "")
+            system, base = fs.FileSystem.from_uri(folder)
+            system.create_dir(base)
+            with system.open_output_stream(f"{base}/{pdf['page_id'].min()}.zip") as out:
+                out.write(buffer.getvalue())
+            yield pdf[["page_id"]]
+
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("page_id"), "html")
+    pages.mapInPandas(pack, "page_id string").count()
+    spark.dataSource.register(zips.ZipSource)
+    read = spark.read.format("zip").option("root", "pages").option("required", "checksums.sha256").load(folder)
+    faults = zips.problems(read).select("archive", "member", "problem")
+    found = zips.digests(read.filter("member <> 'checksums.sha256'"))
+    return found.join(faults, ["archive", "member"], "left").select(F.regexp_replace("member", ".html$", "").cast("long").alias("page_id"), "size", "sha256", F.coalesce("problem", F.lit("none")).alias("problem"))
+
+
 def prebuffer(spark, d):
     """For each user, the event with which five frames are buffered, and all that come after."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -129,7 +163,7 @@ def vocabulary_union(spark, d):
 
 
 _RULE_WORDS = ([t for _, t in demo.QUERIES], [w for _, ts, _, _ in demo.INTENTS for w in ts], [k for _, k, _ in demo.KEYWORDS], [n for _, n, _ in demo.DOMAINS])
-QUERIES = {f.__name__: f for f in (number_readings, filler_timeouts, blend_weights, paragraph_gaps, scripted_replies, unknown_names, effective_year, score_filter, content_relevance, thinking_stripped, wav_files, decoded_pages, prebuffer, vocabulary_union)}
+QUERIES = {f.__name__: f for f in (number_readings, filler_timeouts, blend_weights, paragraph_gaps, scripted_replies, unknown_names, effective_year, score_filter, content_relevance, thinking_stripped, wav_files, decoded_pages, archive_members, prebuffer, vocabulary_union)}
 
 
 def _pick(names, n, place):
@@ -175,6 +209,7 @@ SQL = {
     "decoded_pages": "SELECT page_id, md5(html) AS digest FROM pages",
     "prebuffer": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS have FROM events)
         SELECT user_id, min(event_id) FILTER (have = 5) AS starts_at, count(*) FILTER (have > 5) AS after FROM r GROUP BY user_id""",
+    "archive_members": "SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS size, sha256(coalesce(html, '')) AS sha256, 'none' AS problem FROM pages",
     "vocabulary_union": f"""WITH {SQL_CATALOGUE}, t AS (SELECT * FROM cat WHERE doc_id IN (SELECT doc_id FROM labels)),
         r AS (SELECT unnest([{", ".join("'" + w.replace("'", "''") + "'" for ws in _RULE_WORDS for w in ws)}]) AS w UNION ALL SELECT title FROM t UNION ALL SELECT source FROM t),
         w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(w), '[^\\p{{L}}]+')) AS w FROM r) SELECT length(w) AS chars, count(*) AS n FROM w WHERE w <> '' GROUP BY 1""",
