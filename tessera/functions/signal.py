@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,3 +75,49 @@ def trim_quiet(frame: int, above_db: float = 12.0):
         return series.map(one)
 
     return run
+
+
+def polyphase_taps(rate_in: int, rate_out: int, crossings: int = 32, edge: float = 0.92, beta: float = 9.0):
+    """(up, down, first offset, taps of each phase): a Kaiser-windowed sinc below both bands' ends, each phase summing to one."""
+    import numpy as np
+
+    common = math.gcd(rate_in, rate_out)
+    up, down = rate_out // common, rate_in // common
+    # the cut in cycles of an input sample, and how far the sinc reaches
+    cut = edge * min(1.0, up / down)
+    half = math.ceil(crossings / cut)
+    offsets = np.arange(-half, half + 1)
+    away = np.arange(up)[:, None] / up - offsets[None, :]
+    window = np.i0(beta * np.sqrt(np.clip(1 - (away / (half + 1)) ** 2, 0, None))) / np.i0(beta)
+    taps = np.sinc(cut * away) * window
+    return up, down, -half, taps / taps.sum(1, keepdims=True)
+
+
+def band_limited(rate_in: int, rate_out: int):
+    """Resampling without what the new rate cannot hold, to round(length * out / in) samples, as a pandas UDF.
+
+    A polyphase filter: each output has one of ``up`` sets of taps over the inputs
+    around it.  Beyond its ends a signal is silent; null stays null.
+    """
+    import numpy as np
+
+    up, down, first, taps = polyphase_taps(rate_in, rate_out)
+
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None or not len(x) or up == down:
+                return x
+            x = np.asarray(x, float)
+            n = max(1, round(len(x) * rate_out / rate_in))
+            padded = np.concatenate([np.zeros(-first), x, np.zeros(-first + down + 1)])
+            out = np.empty(n)
+            for at in range(0, n, 8192):
+                places = np.arange(at, min(n, at + 8192)) * down
+                around = padded[(places // up)[:, None] + np.arange(taps.shape[1])[None, :]]
+                out[at : at + 8192] = np.einsum("ij,ij->i", around, taps[places % up])
+            return out.tolist()
+
+        return series.map(one)
+
+    return run

@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import binary, readings
+from tessera.functions import binary, readings, signal
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators import series as X
@@ -21,7 +21,7 @@ from tessera.operators import chunking
 from tessera.plans.common import SQL_CATALOGUE, documents
 from tessera.rules import demo
 from tessera.session import table
-from tessera.sources import zips
+from tessera.sources import artefacts, zips
 from tessera.streaming.run import scratch
 
 FILLER_AFTER = 3600.0
@@ -144,6 +144,23 @@ def archive_members(spark, d):
     return found.join(faults, ["archive", "member"], "left").select(F.regexp_replace("member", ".html$", "").cast("long").alias("page_id"), "size", "sha256", F.coalesce("problem", F.lit("none")).alias("problem"))
 
 
+def turn_artefacts(spark, d):
+    """A WAV file for each turn, put in place when all are written, and read back."""
+    folder = scratch(spark, "artefacts")
+    artefacts.register(spark)
+    rows = table(spark, d, "conversations").select(F.format_string("%d/turn-%d.wav", "conv_id", "turn").alias("name"), binary.wav(F.encode("text", "UTF-8"), 16000).alias("content"))
+    rows.write.format("artefacts").mode("append").save(folder)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    place = lambda n: F.regexp_extract("path", r"([0-9]+)/turn-([0-9]+)\.wav$", n).cast("long")
+    return read.select(place(1).alias("conv_id"), place(2).alias("turn"), F.col("length").alias("bytes"), F.md5(F.expr("substring(content, 45)")).alias("samples"))
+
+
+def band_limited(spark, d):
+    """Vectors as signals of 48 kHz brought to 16 kHz without what that cannot hold (Arrow batches)."""
+    rows = table(spark, d, "embeddings").select("vec_id", signal.band_limited(48000, 16000)(F.col("embedding").cast("array<double>")).alias("y"))
+    return rows.select("vec_id", F.size("y").cast("long").alias("samples"), F.round(F.aggregate("y", F.lit(0.0), lambda a, y: a + y * y), 6).alias("energy"))
+
+
 def prebuffer(spark, d):
     """For each user, the event with which five frames are buffered, and all that come after."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -163,7 +180,7 @@ def vocabulary_union(spark, d):
 
 
 _RULE_WORDS = ([t for _, t in demo.QUERIES], [w for _, ts, _, _ in demo.INTENTS for w in ts], [k for _, k, _ in demo.KEYWORDS], [n for _, n, _ in demo.DOMAINS])
-QUERIES = {f.__name__: f for f in (number_readings, filler_timeouts, blend_weights, paragraph_gaps, scripted_replies, unknown_names, effective_year, score_filter, content_relevance, thinking_stripped, wav_files, decoded_pages, archive_members, prebuffer, vocabulary_union)}
+QUERIES = {f.__name__: f for f in (number_readings, filler_timeouts, blend_weights, paragraph_gaps, scripted_replies, unknown_names, effective_year, score_filter, content_relevance, thinking_stripped, wav_files, decoded_pages, archive_members, turn_artefacts, band_limited, prebuffer, vocabulary_union)}
 
 
 def _pick(names, n, place):
@@ -209,6 +226,7 @@ SQL = {
     "decoded_pages": "SELECT page_id, md5(html) AS digest FROM pages",
     "prebuffer": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS have FROM events)
         SELECT user_id, min(event_id) FILTER (have = 5) AS starts_at, count(*) FILTER (have > 5) AS after FROM r GROUP BY user_id""",
+    "turn_artefacts": "SELECT conv_id, turn, (octet_length(encode(text)) + 44)::BIGINT AS bytes, md5(text) AS samples FROM conversations",
     "archive_members": "SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS size, sha256(coalesce(html, '')) AS sha256, 'none' AS problem FROM pages",
     "vocabulary_union": f"""WITH {SQL_CATALOGUE}, t AS (SELECT * FROM cat WHERE doc_id IN (SELECT doc_id FROM labels)),
         r AS (SELECT unnest([{", ".join("'" + w.replace("'", "''") + "'" for ws in _RULE_WORDS for w in ws)}]) AS w UNION ALL SELECT title FROM t UNION ALL SELECT source FROM t),
