@@ -116,16 +116,17 @@ def top_k(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, bounds: np.n
 
 
 def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) of each finite vector, whole numbers held as doubles."""
-    clean = finite(vectors)
-    return clean.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    """(vec_id, v) with v = floor(scale * x) of each finite vector, whole numbers held as doubles; rows that are equal then are one."""
+    clean = finite(vectors, once=False)
+    return clean.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")).distinct()
 
 
 def maximum_inner_product(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k highest inner products.
 
     Vectors that are null, empty or hold null or non-finite components take no
-    part, nor do rows without an id; repeated rows count once; rows of the
+    part, nor do rows without an id; rows of one id count once where they are equal
+    as whole numbers; rows of the
     query's own id are not its candidates.  Scores must fit a long.  All but ids
     and vectors is passed over, whatever its name.  An empty table, or one
     without queries, gives an empty result.

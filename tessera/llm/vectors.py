@@ -28,13 +28,14 @@ WAVE = 3
 MAX_TASKS = 100_000
 
 
-def finite(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) without null ids, null or empty vectors and those with null or non-finite components; repeated rows once."""
+def finite(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", once: bool = True) -> DataFrame:
+    """(vec_id, v) without null ids, null or empty vectors and those with null or non-finite components; repeated rows once, unless all are asked for."""
     v = F.col("v")
     sound = F.size(v) > 0
     sound = sound & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False))).distinct()
+    kept = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False)))
+    return kept.distinct() if once else kept
 
 
 def waves(shards: int) -> list[tuple[int, int]]:

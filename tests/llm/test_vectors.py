@@ -40,6 +40,12 @@ def test_top_k_is_exact(spark):
     assert sorted(map(tuple, balltree.maximum_inner_product(df).collect())) == brute_ip(rows)
 
 
+def test_rows_of_one_id_that_are_equal_as_whole_numbers_count_once(spark):
+    rows = [(100, [1.0, 1.0], "x"), (100, [1.00001, 1.0], "x"), (7, [0.5, 0.5], "x"), (7, [0.50001, 0.5], "x")] + [(i, [i / 50, 0.25], "x") for i in range(8, 30)]
+    got = sorted(map(tuple, balltree.maximum_inner_product(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == brute_ip(rows) and len({r[2] for r in got}) == len(got) == 10
+
+
 def test_top_k_over_several_shards_and_waves(spark):
     rows = table_of(np.random.default_rng(1), 600)
     df = balltree.quantized(spark.createDataFrame(rows, SCHEMA))
