@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea title iframe".split()}
 _SPLIT = re.compile(r"[^a-z]+")
@@ -144,7 +145,8 @@ def parse(page: str) -> Node:
 
 def _hidden(name: str, attributes: str) -> bool:
     low = attributes.lower()
-    return "hidden" in low and name not in ("html", "body", "article", "main") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", low))
+    # what stands in quotes is a value, not a name
+    return "hidden" in low and name not in ("html", "body", "article", "main") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _QUOTED.sub("''", low)))
 
 
 def _beside(name: str, attributes: str) -> str:

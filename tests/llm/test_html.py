@@ -157,3 +157,13 @@ def test_readers_do_not_win_by_length():
 def test_deep_pages_without_hints():
     deep = "<div>" * 5000 + f"<p>{LONG}</p><p>{LONG}</p>" + "</div>" * 5000
     assert H.main_text(f"<body><div><p>Aside words</p></div>{deep}<div>me</div></body>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_hidden_is_the_name_of_an_attribute():
+    page = '<body><article><p title="a hidden gem">One paragraph with words enough.</p><p data-note=\'not hidden here\'>Second with words enough.</p><p>See <a href="/" title="the hidden cost">the cost</a> of it all.</p><p hidden>Gone.</p><p class="x" hidden="">Gone too.</p></article></body>'
+    assert H.main_text(page).split("\n\n") == ["One paragraph with words enough.", "Second with words enough.", "See the cost of it all."]
+
+
+def test_comments_end_as_browsers_end_them():
+    page = "<body><article><p>Before it all stands this.</p><!-- note --!><p>After it comes that one.</p><!-- a --><p>And more of it.</p></article></body>"
+    assert H.main_text(page).split("\n\n") == ["Before it all stands this.", "After it comes that one.", "And more of it."]
