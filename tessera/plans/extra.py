@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import pages as P
 from tessera.functions import query_text as Q
@@ -298,7 +299,7 @@ def english_speech(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(c, r"(?<=[.!?])\s+")).alias("pos", "s")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.md5("s").alias("digest"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spoken(texts: pd.Series) -> pd.Series:
     return texts.map(READ_ALOUD, na_action="ignore")
 
