@@ -161,8 +161,8 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
     # one star a text: the smallest first text of its crowded keys; the rounds below see to the rest
     stars = large.groupBy("f0").agg(F.min("lead").alias("b")).select(F.col("f0").alias("a"), "b")
     edges = written(verified(direct.unionByName(within).unionByName(stars)), "near-links")
-    # copies of one another have many links: first the two outermost of each text, then what these leave apart
-    outer = edges.groupBy("a").agg(F.min("b").alias("b")).unionByName(edges.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")).distinct()
+    # copies of one another have many links: first the outermost of each text, then what these leave apart
+    outer = edges.groupBy("a").agg(F.min("b").alias("b"))
     found = components(outer).withColumnRenamed("node", "f0")
     roots = written(groups.select("f0").join(found, "f0", "left").select("f0", F.coalesce("root", "f0").alias("root")), "near-roots")
 
