@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Every row is in every tree of its shard.  A tree splits its rows at the median
-of a random direction, one for each level; the margins of a query to the splits that it stands on
-the wrong side of, squared and added up, are a leaf's distance.  The leaves of
-all trees wait in one priority queue by that distance.  Each leaf that is taken
-gives its rows credit, the more the nearer it is, until ``TAKEN`` of the leaves
-are used; the rows of the highest credit over all trees are the candidates,
-which are reranked by exact cosines in double precision.
+of a random direction, one for each level.  The nodes of all trees that a query
+has not entered wait in one priority queue by the sum of the query's squared
+margins to the splits it stands on the wrong side of.  The nearest node is taken
+and descended to one leaf, the other child of each split on the way goes into
+the queue; this ends when the leaves taken hold ``TOUCHED`` of the shard's rows
+(``LEAST`` a wanted neighbour at least).  All of these rows, each once, are
+reranked by exact cosines in double precision; no other row is looked at.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +21,10 @@ from pyspark.sql import functions as F
 from tessera.llm.vectors import finite, search
 
 TREES = 48
-LEAF = 16
-#: Part of the leaves of all trees that a query takes from the queue.
-TAKEN = 0.25
-#: Part of a shard's rows that are reranked, those of the highest credit, and their number for each wanted neighbour at least.
-RERANKED = 0.05
-LEAST = 32
+LEAF = 32
+#: Part of a shard's rows that a query looks at, and their number for each wanted neighbour at least.
+TOUCHED = 0.32
+LEAST = 256
 SEED = 11
 
 
@@ -55,28 +56,24 @@ class Forest:
             self.cuts.append(cuts)
             self.starts = np.sort(np.concatenate([self.starts, middle]))
 
-    def distances(self, queries: np.ndarray) -> np.ndarray:
-        """(query, tree, leaf): the sum of squared margins to the splits that part query and leaf."""
-        out = np.zeros((len(queries), self.trees, 1))
-        for normals, cuts in zip(self.normals, self.cuts):
-            margin = (queries @ normals.T)[:, :, None] - cuts
-            out = np.stack([out + np.maximum(margin, 0) ** 2, out + np.minimum(margin, 0) ** 2], -1).reshape(len(queries), self.trees, -1)
-        return out
-
-    def candidates(self, distances: np.ndarray, taken: float, wanted: int) -> np.ndarray:
-        """Rows of the highest credit after ``taken`` of the leaves were used, nearest first from all trees; ``distances`` are one query's."""
-        leaves, n = distances.shape[1], self.order.shape[1]
-        flat = distances.ravel()
-        last = min(len(flat) - 1, max(self.trees, int(taken * len(flat))))
-        used = np.argpartition(flat, last)[: last + 1]
-        limit = flat[used].max()
-        tree, leaf = used // leaves, used % leaves
-        sizes = self.starts[leaf + 1] - self.starts[leaf]
-        first = np.cumsum(sizes) - sizes
-        at = np.arange(sizes.sum()) + np.repeat(tree * n + self.starts[leaf] - first, sizes)
-        credit = np.bincount(self.order.ravel()[at], np.repeat(limit - flat[used] + 1e-12, sizes), n)
-        best = np.argpartition(-credit, min(wanted, n) - 1)[:wanted] if wanted < n else np.arange(n)
-        return best[credit[best] > 0]
+        self.splits = [level.tolist() for level in self.cuts]
+
+    def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
+        """Rows of the leaves nearest to a unit vector over all trees, as many leaves as hold ``wanted`` different rows."""
+        along, splits, starts = (self.normals @ query).tolist(), self.splits, self.starts
+        queue = [(0.0, tree, 0, 0) for tree in range(self.trees)]
+        seen, met = np.zeros(self.order.shape[1], bool), 0
+        while queue and met < wanted:
+            distance, tree, level, node = heapq.heappop(queue)
+            for level in range(level, self.depth):
+                margin = along[level][tree] - splits[level][tree][node]
+                near = 2 * node + (margin > 0)
+                heapq.heappush(queue, (distance + margin * margin, tree, level + 1, near ^ 1))
+                node = near
+            rows = self.order[tree, starts[node] : starts[node + 1]]
+            met += len(rows) - np.count_nonzero(seen[rows])
+            seen[rows] = True
+        return np.flatnonzero(seen)
 
 
 class Shard:
@@ -84,22 +81,21 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, seed):
         self.ids, self.points, self.norms = ids, points, np.sqrt((points * points).sum(1))
-        self.forest = Forest(points / self.norms[:, None], seed)
+        self.forest, self.touched = Forest(points / self.norms[:, None], seed), 0
 
 
-def nearest(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, k: int, taken: float = TAKEN, reranked: float = RERANKED):
+def nearest(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, k: int, touched: float = TOUCHED):
     """(query number, id, cosine) of the k best candidates of each query."""
     qnorms = np.sqrt((queries * queries).sum(1))
-    wanted = max(LEAST * k, int(reranked * len(shard.ids)))
+    wanted = max(LEAST * k, int(touched * len(shard.ids)))
     out_q, out_i, out_s = [], [], []
-    for at in range(0, len(queries), 64):
-        distances = shard.forest.distances(queries[at : at + 64] / qnorms[at : at + 64, None])
-        for n, own in enumerate(distances, at):
-            rows = shard.forest.candidates(own, taken, wanted)
-            rows = rows[shard.ids[rows] != query_ids[n]]
-            score = (shard.points[rows] * queries[n]).sum(1) / (shard.norms[rows] * qnorms[n])
-            best = np.lexsort((shard.ids[rows], -score))[:k]
-            out_q.append(np.full(len(best), n)), out_i.append(shard.ids[rows[best]]), out_s.append(score[best])
+    for n, query in enumerate(queries):
+        rows = shard.forest.candidates(query / qnorms[n], wanted)
+        shard.touched += len(rows)
+        rows = rows[shard.ids[rows] != query_ids[n]]
+        score = (shard.points[rows] * query).sum(1) / (shard.norms[rows] * qnorms[n])
+        best = np.lexsort((shard.ids[rows], -score))[:k]
+        out_q.append(np.full(len(best), n)), out_i.append(shard.ids[rows[best]]), out_s.append(score[best])
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 

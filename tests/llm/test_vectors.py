@@ -141,43 +141,72 @@ def test_queries_on_table(spark):
 
 
 def forest_recall(points, asked, seed, shards=1, k=5):
-    """Recall of the forest over ``shards`` shards, and the share of rows reranked."""
-    ids, found, scored = np.arange(len(points)), {}, 0
+    """Recall of the forest over ``shards`` shards, and the share of rows that a query looks at."""
+    ids, found, touched = np.arange(len(points)), {}, 0
     for part in range(shards):
         mine = ids[ids % shards == part]
         shard = rpforest.Shard(mine, points[mine], [seed, part])
-        scored += max(rpforest.LEAST * k, int(rpforest.RERANKED * len(mine)))
         for n, i, s in zip(*rpforest.nearest(shard, asked, points[asked], k)):
             found.setdefault(n, []).append((-s, i))
+        touched += shard.touched
     unit = points / np.linalg.norm(points, axis=1)[:, None]
     cos = unit[asked] @ unit.T
     cos[np.arange(len(asked)), asked] = -2
     kth = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
     hits = sum(cos[n, i] >= kth[n] for n, got in found.items() for _, i in sorted(got)[:k])
-    return hits / (k * len(asked)), scored / len(points)
+    return hits / (k * len(asked)), touched / len(asked) / len(points)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_forest_recall_with_every_row_a_query(spark, seed):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
     points = np.array([r.embedding for r in rows], float)
-    got, scored = forest_recall(points, np.arange(len(points)), seed)
-    assert got >= 0.9 and scored <= 0.1
+    got, touched = forest_recall(points, np.arange(len(points)), seed)
+    assert got >= 0.9 and touched <= 0.66
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_forest_recall_over_several_shards(seed):
     """Without any structure in 64 dimensions, which is hardest."""
     points = np.random.default_rng(seed).standard_normal((24_000, 64))
-    got, scored = forest_recall(points, np.arange(0, 24_000, 240), seed, shards=3)
-    assert got >= 0.9 and scored <= 0.06
+    got, touched = forest_recall(points, np.arange(0, 24_000, 240), seed, shards=3)
+    assert got >= 0.9 and touched < 1 / 3
+
+
+def test_forest_on_a_full_shard_looks_at_less_than_a_third():
+    points = np.random.default_rng(4).standard_normal((V.SHARD, 64))
+    got, touched = forest_recall(points, np.arange(0, V.SHARD, 160), 4)
+    assert got >= 0.9 and touched < 1 / 3
+
+
+def test_forest_queue_takes_the_nearest_leaves_first():
+    """The leaves taken are those of the smallest sums of squared margins, as told by all leaves of all trees."""
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((900, 8))
+    forest = rpforest.Forest(points, 1, trees=5, leaf=20)
+    for query in rng.standard_normal((10, 8)):
+        leaves = []
+        for tree in range(5):
+            for leaf in range(2**forest.depth):
+                gap, node = 0.0, 0
+                for level in range(forest.depth):
+                    margin, side = forest.normals[level, tree] @ query - forest.cuts[level][tree, node], leaf >> (forest.depth - 1 - level) & 1
+                    gap, node = gap + (margin**2 if side != (margin > 0) else 0.0), 2 * node + side
+                leaves.append((gap, tree, leaf))
+        want = set()
+        for _, tree, leaf in sorted(leaves):
+            if len(want) >= 200:
+                break
+            want |= set(forest.order[tree, forest.starts[leaf] : forest.starts[leaf + 1]].tolist())
+        got = set(forest.candidates(query, 200).tolist())
+        assert got == want
 
 
 def test_search_streams_several_shards_and_dims(spark):
     rng = np.random.default_rng(5)
     rows = table_of(rng, 400) + [(10_000 + i, v, "x") for i, v, _ in table_of(rng, 300, 8)]
     df = spark.createDataFrame(rows, SCHEMA)
-    whole = lambda shard, ids, queries, bounds, k: rpforest.nearest(shard, ids, queries, k, 1.0, 1.0)
+    whole = lambda shard, ids, queries, bounds, k: rpforest.nearest(shard, ids, queries, k, 1.0)
     got = V.search(rpforest.finite(df), F.col("vec_id") % 50 == 0, 5, lambda ids, p, key: rpforest.Shard(ids, p, 1), whole, shard=60, score="double").collect()
     for dim, low in ((16, 0), (8, 10_000)):
         mine = [r for r in rows if len(r[1]) == dim]
