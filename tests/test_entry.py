@@ -9,9 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
-from tessera.plans import analytics, corpus, dialogue, extra, more, retrieval, streams
+from tessera.plans import analytics, corpus, dialogue, extra, more, retrieval, streams, web_pages
 
-OWN = {k: m for m in (corpus, retrieval, dialogue, analytics, more, streams, extra) for k in m.QUERIES}
+OWN = {k: m for m in (corpus, retrieval, dialogue, analytics, more, streams, extra, web_pages) for k in m.QUERIES}
 
 
 @pytest.fixture(scope="module")
