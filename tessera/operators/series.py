@@ -48,15 +48,20 @@ def frame_span(k: Column, rate: int, fps: int) -> Column:
     return F.struct(edge(k).alias("start"), edge(k + 1).alias("end"))
 
 
-def interval_join(samples: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float) -> DataFrame:
-    """Left range join of ``spans`` with the samples at start <= t <= end.
+def interval_matches(samples: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float) -> DataFrame:
+    """Spans with each of their samples at start <= t <= end.
 
     Both sides meet on time buckets of ``width``: an interval is repeated for
     each bucket it touches, so the join is an equi-join with a residual filter.
     """
     bucket = lambda c: F.floor(F.col(c) / width)
     wide = spans.withColumn("bucket", F.explode(F.sequence(bucket(start), bucket(end))))
-    met = wide.join(samples.withColumn("bucket", bucket(t)), "bucket").filter((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))).drop("bucket")
+    return wide.join(samples.withColumn("bucket", bucket(t)), "bucket").filter((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))).drop("bucket")
+
+
+def interval_join(samples: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float) -> DataFrame:
+    """Left range join of ``spans`` with the samples at start <= t <= end."""
+    met = interval_matches(samples, spans, t, start, end, width)
     missing = spans.join(met.select(*spans.columns).distinct(), spans.columns, "left_anti")
     return met.unionByName(missing, allowMissingColumns=True)
 
