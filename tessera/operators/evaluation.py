@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import quantiles
@@ -18,6 +18,19 @@ def counts_with_zeros(rows: DataFrame, dimension: DataFrame, key: str) -> DataFr
     return dimension.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def mean_reaches(value: Column, bound: float) -> Column:
+    """Whether the mean of a group is at least ``bound``, whatever the order of its rows.
+
+    Sums of doubles depend on the order, so a mean that lies on the bound came out
+    on either side.  Values are added as decimals of 12 places; groups with
+    values from 10^12 on or without a number are judged by their plain mean.
+    """
+    plain = F.abs(value) < 1e12
+    whole = F.sum(F.when(plain, value).otherwise(0.0).cast("decimal(28,12)"))
+    least = F.count(value).cast("decimal(20,0)") * F.lit(bound).cast("decimal(14,4)")
+    return F.when(F.bool_and(plain), whole >= least).otherwise(F.avg(value) >= bound)
+
+
 def bootstrap_means(rows: DataFrame, key: str, value: str, resamples: int = 200, seed: int = 7) -> DataFrame:
     """95 % interval of the mean of each group by the Poisson bootstrap, which needs no group in one place.
 

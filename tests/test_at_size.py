@@ -20,3 +20,13 @@ def test_orders_of_a_day_meet_events_once(spark, tmp_path):
     assert len(got) == 1000 and {(r.o_orderkey % 2, r.n, r.mean_value, r.peak) for r in got} == {(0, 121, 60.0, 120.0), (1, 1, 399.0, 399.0)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Generate explode.*\n.*Aggregate \[start", plan)
+
+
+def test_mean_on_the_bound_whatever_the_order(spark, tmp_path):
+    """Exact means of 50 are reached in every order of the rows."""
+    values = [[0.1] * 10 + [99.9] * 10, [99.9] * 10 + [0.1] * 10, [33.3, 66.7] * 7, [0.7, 0.1, 149.2], [49.99, 50.0]]
+    rows = [(u, i, v) for u, vs in enumerate(values) for i, v in enumerate(vs)]
+    day = F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts")
+    spark.createDataFrame(rows, "user_id long, event_id long, value double").coalesce(1).select("*", day).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.speech for r in analytics.energy_vad(spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False}
