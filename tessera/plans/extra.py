@@ -305,10 +305,11 @@ def _spoken(texts: pd.Series) -> pd.Series:
 
 
 def spoken_dates(spark, d):
-    """Order dates as they are read: year, month and day, the irregular days included."""
-    day = table(spark, d, "orders").groupBy("o_orderdate").agg(F.count("*").alias("orders"))
+    """The date of each order as it is read: year, month and day, the irregular days included."""
     written = F.concat(F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月"), F.dayofmonth("o_orderdate"), F.lit("日"))
-    return day.select("o_orderdate", "orders", _spoken(written).alias("spoken"))
+    orders = table(spark, d, "orders").select("o_orderkey", written.alias("written"))
+    read = orders.select("written").distinct().withColumn("spoken", _spoken("written"))
+    return orders.join(read, "written", "left").select("o_orderkey", "spoken")
 
 
 def spoken_quantities(spark, d):
@@ -461,9 +462,9 @@ SQL = {
         reach AS (SELECT w, 0::BIGINT AS pos FROM words UNION SELECT r.w, r.pos + length(v) FROM reach r JOIN vocab ON substr(r.w, r.pos + 1, length(v)) = v),
         spelled AS (SELECT list(DISTINCT w) AS s FROM reach WHERE pos = length(w))
         SELECT conv_id, turn, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i AND NOT coalesce(list_contains(s, w), false)), ' ') AS terms FROM asked, spelled""",
-    "spoken_dates": f"""SELECT o_orderdate, count(*) AS orders, [{_LITERALS(_SQL_YEARS)}][(year(o_orderdate) - 1991)::INT] || 'ねん'
+    "spoken_dates": f"""SELECT o_orderkey, [{_LITERALS(_SQL_YEARS)}][(year(o_orderdate) - 1991)::INT] || 'ねん'
         || [{_LITERALS("いちがつ にがつ さんがつ しがつ ごがつ ろくがつ しちがつ はちがつ くがつ じゅうがつ じゅういちがつ じゅうにがつ")}][month(o_orderdate)::INT] || CASE day(o_orderdate) WHEN 1 THEN ' ' ELSE '' END
-        || [{_LITERALS(_SQL_DAYS)}][day(o_orderdate)::INT] AS spoken FROM orders GROUP BY o_orderdate""",
+        || [{_LITERALS(_SQL_DAYS)}][day(o_orderdate)::INT] AS spoken FROM orders""",
     "spoken_quantities": f"""WITH t AS (SELECT l_quantity::INT AS q, l_linenumber::INT AS f, round(l_discount * 100)::INT AS p, count(*) AS n FROM lineitem GROUP BY ALL)
         SELECT q || '本、' || f || '階、' || p || '%' AS written, n, [{_LITERALS("じゅう にじゅう さんじゅう よんじゅう ごじゅう")}, ''][CASE WHEN q < 10 OR q % 10 = 0 THEN 6 ELSE q // 10 END]
         || CASE WHEN q % 10 = 0 THEN [{_LITERALS("じゅっぽん にじゅっぽん さんじゅっぽん よんじゅっぽん ごじゅっぽん")}][q // 10] ELSE [{_LITERALS("いっぽん にほん さんぼん よんほん ごほん ろっぽん ななほん はっぽん きゅうほん")}][q % 10] END

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.plans import analytics
+from tessera.plans import analytics, extra
 
 
 def test_orders_of_a_day_meet_events_once(spark, tmp_path):
@@ -30,3 +30,11 @@ def test_mean_on_the_bound_whatever_the_order(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_id long, value double").coalesce(1).select("*", day).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: r.speech for r in analytics.energy_vad(spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_dates_of_all_orders_are_read(spark, tmp_path):
+    """A row for each order, those of one day and those without a date included."""
+    rows = [(1, "1996-01-01 00:00:00"), (2, "1996-01-01 00:00:00"), (3, "1997-04-19 00:00:00"), (4, None)]
+    spark.createDataFrame(rows, "o_orderkey long, d string").select("o_orderkey", F.col("d").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.spoken for r in extra.spoken_dates(spark, str(tmp_path)).collect()}
+    assert got == {1: "せんきゅうひゃくきゅうじゅうろくねんいちがつ ついたち", 2: "せんきゅうひゃくきゅうじゅうろくねんいちがつ ついたち", 3: "せんきゅうひゃくきゅうじゅうななねんしがつじゅうくにち", 4: None}
