@@ -150,9 +150,9 @@ def turn_artefacts(spark, d):
     artefacts.register(spark)
     rows = table(spark, d, "conversations").select(F.format_string("%d/turn-%d.wav", "conv_id", "turn").alias("name"), binary.wav(F.encode("text", "UTF-8"), 16000).alias("content"))
     rows.write.format("artefacts").mode("append").save(folder)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    place = lambda n: F.regexp_extract("path", r"([0-9]+)/turn-([0-9]+)\.wav$", n).cast("long")
-    return read.select(place(1).alias("conv_id"), place(2).alias("turn"), F.col("length").alias("bytes"), F.md5(F.expr("substring(content, 45)")).alias("samples"))
+    read = spark.read.format("artefacts").load(folder)
+    place = lambda n: F.regexp_extract("name", r"([0-9]+)/turn-([0-9]+)\.wav$", n).cast("long")
+    return read.select(place(1).alias("conv_id"), place(2).alias("turn"), F.length("content").cast("long").alias("bytes"), F.md5(F.expr("substring(content, 45)")).alias("samples"))
 
 
 def band_limited(spark, d):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from tessera.plans import analytics, extra
+from tessera.sources import artefacts
 
 
 def test_orders_of_a_day_meet_events_once(spark, tmp_path):
@@ -38,3 +40,18 @@ def test_dates_of_all_orders_are_read(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, d string").select("o_orderkey", F.col("d").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.spoken for r in extra.spoken_dates(spark, str(tmp_path)).collect()}
     assert got == {1: "せんきゅうひゃくきゅうじゅうろくねんいちがつ ついたち", 2: "せんきゅうひゃくきゅうじゅうろくねんいちがつ ついたち", 3: "せんきゅうひゃくきゅうじゅうななねんしがつじゅうくにち", 4: None}
+
+
+def test_many_artefacts_are_put_in_place_in_linear_time(spark, tmp_path):
+    """The check for names that come twice sorted all names once for each name."""
+    artefacts.register(spark)
+    writer = artefacts.ArtefactWriter({"path": str(tmp_path)}, False)
+    drafts = tmp_path / writer.drafts / "0"
+    drafts.mkdir(parents=True)
+    names = [(str(drafts / str(i)), f"{i % 300}/turn-{i}.wav") for i in range(12000)]
+    for place, _ in names:
+        open(place, "wb").close()
+    start = time.monotonic()
+    writer.commit([artefacts.Drafts(names)])
+    assert time.monotonic() - start < 12
+    assert {r.name for r in spark.read.format("artefacts").load(str(tmp_path)).collect()} == {n for _, n in names}
