@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tessera.operators.inverted import ChunkIndex
 from tessera.plans import analytics, extra
 from tessera.sources import artefacts
 
@@ -55,3 +56,14 @@ def test_many_artefacts_are_put_in_place_in_linear_time(spark, tmp_path):
     writer.commit([artefacts.Drafts(names)])
     assert time.monotonic() - start < 12
     assert {r.name for r in spark.read.format("artefacts").load(str(tmp_path)).collect()} == {n for _, n in names}
+
+
+def test_long_documents_are_indexed_and_found_in_linear_time(spark, tmp_path):
+    """A word's list within a block was walked once for each of its entries, when it was written and when it was read."""
+    n = 20000
+    chunks = spark.range(0, n, 1, 2).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), F.lit("t").alias("title"), F.concat(F.lit("word w"), F.col("id") % 3).alias("text"))
+    start = time.monotonic()
+    index = ChunkIndex.build(chunks, f"file://{tmp_path}/i", ("title", "text"), 2)
+    rows = index.matches(spark.createDataFrame([("ord",), ("w1",)], "term string")).collect()
+    assert time.monotonic() - start < 40
+    assert {(r.term, r.chunk_index, r.doc_id, r.text) for r in rows} == {("ord", i, 7, 1) for i in range(n)} | {("w1", i, 7, 1) for i in range(1, n, 3)}
