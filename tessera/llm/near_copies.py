@@ -15,7 +15,8 @@ texts would meet on it in numbers that grow with the square of the input.  A key
 is therefore a segment's index together with the text's smallest shingle hash
 under that segment's own mixing: texts of similarity J have the same smallest
 hash with probability J, others hardly ever.  Texts that share a key are verified
-by counting differing bits, first of one word, then of all.
+by counting differing bits, first of one word, then of all, in the join in which
+they meet.
 
 Keys that more than ``max_bucket`` texts share: each text is compared with the
 first one of one of its buckets.  Then, a few times over, those of a bucket that are not in
@@ -145,7 +146,11 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
     most = differing_bits(similarity)
     keyed = groups.select("f0", "f1", "f2", *LEAST).mapInArrow(_key_batches, "key long, f0 long")
     shared = written(keyed.groupBy("key").agg(F.min("f0").alias("lead"), F.max("f0").alias("last"), F.count("*").alias("members")).filter("members > 1"), "near-keys")
-    crowds = written(keyed.join(shared.filter("members > 2").select("key", "lead", "members"), "key"), "near-crowds")
+    # a row for each text with the keys that it shares with two texts or more, of which it has 23 a segment at most
+    crowds = keyed.join(shared.filter("members > 2").select("key", "lead", "members"), "key")
+    few = F.col("members") <= max_bucket
+    keys = crowds.groupBy("f0").agg(F.collect_list(F.when(few, F.col("key"))).alias("small"), F.collect_list(F.when(~few, F.col("key"))).alias("large"), F.min(F.when(~few, F.col("lead"))).alias("lead"))
+    texts = written(keys.join(groups.select(*PRINT), "f0"), "near-crowds")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FIRST_BITS
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -154,13 +159,16 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
             pairs = pairs.join(groups.select(F.col("f0").alias(side), *(F.col(w).alias(f"{side}{w}") for w in PRINT[1:])), side)
         return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + _apart("a", "b", PRINT[1:]) <= most).select("a", "b")
 
-    small, large = crowds.filter(F.col("members") <= max_bucket), crowds.filter(F.col("members") > max_bucket)
-    first, second = small.select("key", F.col("f0").alias("a")), small.select("key", F.col("f0").alias("b"))
-    within = first.join(second, "key").filter((F.col("a") > F.col("b")) & near).select("a", "b")
+    def alike(a: str, b: str) -> Column:
+        return (_apart(a, b, PRINT[:1]) <= FIRST_BITS) & (_apart(a, b, PRINT) <= most)
+
+    # pairs of a key are compared where they meet, so that only links leave the join
+    first, second = (texts.select(F.explode("small").alias("key"), *(F.col(w).alias(f"{side}{w}") for w in PRINT)) for side in "ab")
+    within = first.join(second, (first["key"] == second["key"]) & (F.col("af0") > F.col("bf0")) & alike("a", "b")).select(F.col("af0").alias("a"), F.col("bf0").alias("b"))
     direct = shared.filter("members = 2").select(F.col("last").alias("a"), F.col("lead").alias("b"))
     # one star a text: the smallest first text of its crowded keys; the rounds below see to the rest
-    stars = large.groupBy("f0").agg(F.min("lead").alias("b")).select(F.col("f0").alias("a"), "b")
-    edges = written(verified(direct.unionByName(within).unionByName(stars)), "near-links")
+    stars = texts.filter("lead IS NOT NULL").select(F.col("f0").alias("a"), F.col("lead").alias("b"))
+    edges = written(verified(direct.unionByName(stars)).unionByName(within).distinct(), "near-links")
     # copies of one another have many links: first the outermost of each text, then what these leave apart
     outer = edges.groupBy("a").agg(F.min("b").alias("b"))
     found = components(outer).withColumnRenamed("node", "f0")
@@ -177,25 +185,25 @@ def links(groups: DataFrame, similarity: float = SIMILARITY, max_bucket: int = M
     roots = written(merged(edges), "near-roots")
 
     # crowded buckets whose members lie in several components
-    crowd = large.select("key", "f0")
+    crowd, main = texts.filter(F.size("large") > 0), None
     for turn in range(ROUNDS + 1):
-        placed = written(crowd.join(roots, "f0"), "near-placed")
+        last = turn == ROUNDS
+        placed = crowd.join(roots, "f0").select("root", *(PRINT if last else PRINT[:1]), F.explode("large").alias("key"))
+        if main is not None:
+            placed = placed.join(main.select("key"), "key", "left_semi")  # the other buckets are in one piece
+        placed = written(placed, "near-placed")
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("f0", F.xxhash64("f0", F.lit(turn))).alias("one"))
         main = parts.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main.*")
         main = written(main.withColumnRenamed("root", "main"), "near-main")
         if main.isEmpty():
             break
-        placed = written(placed.join(main.select("key"), "key", "left_semi"), "near-placed")
-        crowd = placed.drop("root")  # the other buckets are in one piece
         others = placed.join(main, "key").filter("root <> main")
-        if turn < ROUNDS:
+        if not last:
             more = verified(others.select(F.col("f0").alias("a"), F.col("one").alias("b")))
         else:
-            prints = groups.select(*PRINT)
-            left = others.select("key", "f0", F.col("root").alias("own")).join(prints, "f0").select("key", "own", *(F.col(w).alias(f"a{w}") for w in PRINT))
-            right = placed.select("key", "f0", "root").join(prints, "f0").select("key", "root", *(F.col(w).alias(f"b{w}") for w in PRINT))
-            alike = (F.col("own") != F.col("root")) & (_apart("a", "b", PRINT[:1]) <= FIRST_BITS) & (_apart("a", "b", PRINT) <= most)
-            more = left.join(right, (left["key"] == right["key"]) & alike).select(F.greatest("af0", "bf0").alias("a"), F.least("af0", "bf0").alias("b")).distinct()
+            left, right = (x.select("key", F.col("root").alias(f"{side}_root"), *(F.col(w).alias(f"{side}{w}") for w in PRINT)) for x, side in ((others, "a"), (placed, "b")))
+            apart = F.col("a_root") != F.col("b_root")
+            more = left.join(right, (left["key"] == right["key"]) & apart & alike("a", "b")).select(F.greatest("af0", "bf0").alias("a"), F.least("af0", "bf0").alias("b")).distinct()
         more = written(more, "near-links")
         if not more.isEmpty():
             edges = edges.unionByName(more).distinct()

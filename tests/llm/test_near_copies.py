@@ -138,6 +138,41 @@ def test_small_components_of_a_crowded_bucket_are_compared(spark):
     assert sorted(map(len, got.values()))[-1] == 12
 
 
+def join_rows(spark, since):
+    """Rows that left the joins of each execution after the first ``since``, by the most of one join."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for i in range(since, runs.size()):
+        number = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_texts_that_share_keys_and_are_no_copies_make_no_rows(spark):
+    """Sixty texts meet in each other's buckets; of 1,770 pairs three are links."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, N.WORDS)
+    prints = []
+    for k in range(60):
+        x = rng.integers(0, 1 << 62, N.WORDS)
+        x[:3] = base[:3]
+        x[0] ^= (1 << (k % 30)) | (1 << (30 + k // 30))
+        prints.append(x)
+    for k in range(3):
+        prints[k + 10][3:] = prints[k][3:]
+    df = spark.createDataFrame([(*(int(v) for v in x), *[0] * len(N.LEAST)) for x in prints], ", ".join(f"{w} long" for w in [*N.PRINT, *N.LEAST]))
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    edges, roots = N.links(df)
+    want = {(int(max(prints[k][0], prints[k + 10][0])), int(min(prints[k][0], prints[k + 10][0]))) for k in range(3)}
+    assert {tuple(r) for r in edges.collect()} == want
+    assert len({r.root for r in roots.collect()}) == 57
+    assert join_rows(spark, since) <= 40 * 60  # of a text and its keys; the pairs that share a key were 1,770 rows more for the joins that follow
+
+
 def test_recall_on_the_table(spark):
     """Of the pairs of different texts of at least 0.85 on sf0.1's first rows, most are linked; nothing below 0.65 is."""
     rows = spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(2500).collect()
