@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +21,8 @@ from tessera.sources.zips import safe_name
 
 #: Files that are looked for with one call, and calls at once, when drafts are put in place.
 AT_ONCE, CALLS = 1000, 16
+#: Times that the folder of drafts is deleted, should a late file of a task keep it from being empty, and seconds between.
+DELETIONS, PAUSE = 20, 0.1
 #: Entries of the first level that a task reads.
 FOLDERS = 128
 
@@ -80,7 +83,14 @@ class ArtefactWriter(DataSourceWriter):
         gone = f"{self.drafts}-gone"
         if system.get_file_info(f"{base}/{self.drafts}").type == fs.FileType.Directory:
             system.move(f"{base}/{self.drafts}", f"{base}/{gone}")
-            system.delete_dir(f"{base}/{gone}")
+            for left in reversed(range(DELETIONS)):
+                try:
+                    system.delete_dir(f"{base}/{gone}")
+                    break
+                except OSError:  # a file that a task was just opening when the folder moved
+                    if not left:
+                        raise
+                    time.sleep(PAUSE)
 
 
 class ArtefactReader(DataSourceReader):

@@ -39,6 +39,33 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     assert files(tmp_path) == []
 
 
+class LateFile:
+    """A file system on which a task's file appears while the folder is deleted for the first time."""
+
+    def __init__(self, system):
+        self.system, self.deletions = system, 0
+
+    def __getattr__(self, name):
+        return getattr(self.system, name)
+
+    def delete_dir(self, path):
+        self.deletions += 1
+        if self.deletions == 1:
+            self.system.create_dir(f"{path}/7")
+            self.system.open_output_stream(f"{path}/7/0").close()
+            raise OSError("Directory not empty")
+        self.system.delete_dir(path)
+
+
+def test_abort_deletes_a_file_that_comes_late(tmp_path, monkeypatch):
+    writer = artefacts.ArtefactWriter({"path": str(tmp_path)}, False)
+    system, base = writer._at()
+    late = LateFile(system)
+    monkeypatch.setattr(writer, "_at", lambda: (late, base))
+    writer.abort([])
+    assert late.deletions == 2 and os.listdir(tmp_path) == []
+
+
 def test_names_stay_inside_and_come_once(spark, tmp_path):
     artefacts.register(spark)
     for names, message in ((["../x"], "leaves"), (["a", "a"], "come twice")):
